@@ -15,17 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, shared_path
 
-#: A space where a text may be cut: byte-level BPE of this family never joins what stands on both sides of it.
+#: A space where a text may be cut: byte-level BPE of this family never joins what stands on both sides of it. Texts with other white
+#: space beside a space, or a space at an end, are cut one by one.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"\s\s")
-#: Pieces whose ids a worker keeps.
-KEPT = 400_000
+_BLANK = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD = rf"^ | $| {_BLANK}|{_BLANK} "
+#: Letters, with a space before them or not, and marks: two parts that are encoded each by itself.
+PLAIN = re.compile(r"(\x20?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?|]*)")
+#: Pieces and parts whose ids a worker keeps.
+KEPT = 700_000
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 _MASKS = (np.arange(4) < _LENGTHS[:, :, None]).reshape(256, 16)
@@ -37,40 +42,85 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> list[str]:
+    """Byte-level BPE's letter for each byte: itself where it is printable, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
 class Encoder:
-    """Ids of texts. Pieces between single spaces are encoded once and kept, at most ``KEPT`` of them."""
+    """Ids of texts by a tokenizers file. Texts are cut at single spaces; each distinct piece of a batch is encoded once, and pieces and
+    their parts are kept, at most KEPT of each. A file that isn't plain byte-level BPE encodes whole texts instead."""
 
     def __init__(self, path: str) -> None:
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        probe = ["a b", "A b 1 .", "x <|endoftext|> y"]
-        self.cuts = all(self._whole(p) == b"".join(self._pieces(self._cut(p))) for p in probe)
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        first, *rest = CUT.split(text) if ODD.search(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-                new = list(dict.fromkeys(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [self.known[p] for p in pieces]
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        return b"".join(self._pieces(self._cut(text))) if self.cuts else self._whole(text)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        pre = made.get("pre_tokenizer") or {}
+        added = made.get("added_tokens") or []
+        self.special = [t["content"] for t in added]
+        self.cuts = made["model"]["type"] == "BPE" and not made.get("normalizer") and not made.get("post_processor") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+        self.cuts = self.cuts and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+        self.model, self.pre, self.letters = self.tokenizer.model, self.tokenizer.pre_tokenizer, _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _part(self, part: str) -> bytes:
+        if (ids := self.parts.get(part)) is None:
+            ids = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part)])
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        if (ids := self.pieces.get(piece)) is not None:
+            return ids
+        if m := PLAIN.fullmatch(piece):
+            word, marks = m.groups()
+            name = word.replace(" ", "\u0120") if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            ids = self._part(name) + self._part(marks) if marks else self._part(name)
+        elif any(t in piece for t in self.special):
+            ids = self.whole(piece).tobytes()
+        else:
+            ids = b"".join([self._part(x) for x, _ in self.pre.pre_tokenize_str(piece)])
+        self.pieces[piece] = ids
+        return ids
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty."""
+        if not self.cuts:
+            return [self.whole(t or "") for t in texts.to_pylist()]
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        if len(self.parts) > KEPT:
+            self.parts.clear()
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(texts, " ")
+        flat, firsts = cut.flatten(), cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        named = flat.dictionary_encode()
+        codes = named.indices.to_numpy().astype(np.int64)
+        ids = [self._piece(" " + p) for p in named.dictionary.to_pylist()]
+        codes[firsts] = len(ids) + np.arange(len(firsts))
+        ids += [self._piece(p) for p in flat.take(pa.array(firsts)).to_pylist()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        each = size[codes]
+        upto = np.cumsum(each)
+        every = pool[np.arange(upto[-1] if len(upto) else 0) + np.repeat(start[codes] - upto + each, each)]
+        bounds = np.append(np.concatenate([[0], upto])[firsts], upto[-1] if len(upto) else 0)
+        out = [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)).tolist():
+            first, *rest = CUT.split(texts[i].as_py())
+            out[i] = np.frombuffer(b"".join([self._piece(first), *[self._piece(" " + x) for x in rest]]), "<u4")
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -109,17 +159,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     kind = dict(docs.dtypes)["doc_id"]
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in it:
-            ids = [enc(t or "") + end for t in b.column(1).to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            ids = [np.append(x, end) for x in enc(b.column(1))]
+            n = np.array([len(x) for x in ids], dtype=np.int64)
             upto = at + np.cumsum(n)
             at = int(upto[-1]) if len(n) else at
-            small = [np.frombuffer(x, "<u4") for x in ids]
-            ids = [x.astype("<u2").tobytes() if x.max(initial=0) < 1 << 16 else y for x, y in zip(small, ids, strict=True)]
+            ids = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), b.column(0), pa.array(n), pa.array(upto - n), pa.array(ids, pa.binary())], names=["shard", "doc_id", "n_tokens", "at", "ids"])
 
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,11 +46,15 @@ def test_odd_rows_and_ids(spark, odd, none, tokenizer):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab1'.s \n\t\x0b\x1c\x85  　é—<|>")), max_size=40))
+@given(st.lists(st.sampled_from([*"ab1'.s \n\t\x0b\x1c\x85\xa0\u2003\u3000é×ƒ—", "<|endoftext|>", ", ", "  "]), max_size=30).map("".join))
 def test_pieces_give_the_same_ids(text):
     enc = tokens.encoder(tokens.default_tokenizer())
     assert enc.cuts
-    assert enc(text) == enc._whole(text)
+    for kept in (0, 100):
+        tokens.KEPT = kept
+        got = enc(pa.array([text, None, "a b", text]))
+        want = [enc.whole(t).tolist() for t in (text, "", "a b", text)]
+        assert [x.tolist() for x in got] == want
 
 
 @settings(max_examples=200, deadline=None)
