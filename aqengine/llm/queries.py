@@ -99,4 +99,58 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM pairs QUALIFY rank <= 20
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op2_nearest_vectors": OP2}
+OP4 = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents
+), lines AS (
+  SELECT doc_id, line, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w, row_number() OVER (ORDER BY doc_id, line) AS pos FROM split
+), keyed AS (
+  SELECT doc_id, line, pos, len(w) AS n, array_to_string(w, ' ') AS k, w FROM lines
+), first AS (
+  SELECT k, n, min(pos) AS pos, any_value(w) AS w FROM keyed WHERE n > 0 GROUP BY k, n
+), variants AS (
+  SELECT k, n, pos, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM first WHERE n >= 5)
+), replaced AS (
+  SELECT k, pos, min(pos) OVER (PARTITION BY v, n, i) AS other FROM variants
+), shortened AS (
+  SELECT a.k AS ak, a.pos AS ap, b.k AS bk, b.pos AS bp FROM variants a JOIN first b ON a.v = b.k AND b.n = a.n - 1 AND b.n >= 5
+), near AS (
+  SELECT k FROM replaced WHERE other < pos UNION SELECT ak FROM shortened WHERE bp < ap UNION SELECT bk FROM shortened WHERE ap < bp
+), judged AS (
+  SELECT doc_id, line, coalesce(keyed.pos > first.pos, false) AS same, near.k IS NOT NULL AS near FROM keyed LEFT JOIN first ON keyed.k = first.k AND keyed.n = first.n LEFT JOIN near ON near.k = first.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (same) AS n_same, count(*) FILTER (near AND NOT same) AS n_near,
+  coalesce(array_to_string(list(line ORDER BY line) FILTER (same OR near), ','), '') AS removed
+FROM judged GROUP BY doc_id
+"""
+
+
+
+def _op9() -> str:
+    quoted = lambda p: "'" + p.replace("*+", "*").replace("}+", "}").replace("'", "''") + "'"
+    kinds = secrets.BASE | secrets.WEAK
+    each = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, string_split_regex(text, {quoted(p)}) AS g, regexp_extract_all(text, {quoted(p)}) AS v FROM t" for k, p in kinds.items())
+    rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(secrets.ORDER))
+    spans = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) {}, '')"
+    key = " AND ".join(f"regexp_matches(value, {quoted(p)})" for p in secrets.KEY)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({each}
+), placed AS (
+  SELECT doc_id, kind, v[i] AS value, length(array_to_string(g[1:i], '')) + length(array_to_string(v[1:i - 1], '')) AS s FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM found)
+), parts AS (
+  SELECT doc_id, kind, s, s + length(value) AS e, CASE kind {rank} END AS k, CASE WHEN kind IN ('access', 'ident') THEN 'identifier' WHEN kind = 'endpoint' THEN 'endpoint' ELSE 'secret' END AS role,
+    kind IN ('assign', 'access', 'hex') AS base FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(value, {quoted(secrets.HEAD)}, '')) >= 6 WHEN 'key' THEN {key} ELSE true END
+), near AS (
+  SELECT w.doc_id, w.kind, w.s, w.e, w.k, bool_or(p.role = 'identifier') AS i, bool_or(p.role = 'endpoint') AS n, bool_or(p.role = 'secret') AS c FROM parts w JOIN parts p ON w.doc_id = p.doc_id AND NOT w.base
+    AND p.s BETWEEN w.s - {secrets.SCOPE} AND w.e + {secrets.SCOPE} AND NOT (p.s >= w.s AND p.s < w.e) GROUP BY ALL
+), every AS (
+  SELECT doc_id, kind, s, e, k, base FROM parts WHERE base
+  UNION ALL SELECT doc_id, kind, s, e, k, false FROM near WHERE CASE kind WHEN 'key' THEN i OR n WHEN 'ident' THEN c ELSE i AND c END
+)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256({spans.format("FILTER (base)")}) AS base_sha256, {spans.format("")} AS spans
+FROM t LEFT JOIN every ON t.doc_id = every.doc_id GROUP BY t.doc_id"""
+
+
+ORACLES = {"op1_mix_sources": OP1, "op2_nearest_vectors": OP2, "op4_line_dedup": OP4, "op9_secrets": _op9()}

@@ -7,6 +7,9 @@ brings parts together.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +28,12 @@ BASE = {
 HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 # Weak candidates, by the part of a credential that they can be.
 WEAK = {
-    "key": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])",
+    "key": r"[A-Za-z0-9+/_=-]{40,}+",
     "ident": r"(?i:access_?key(?:_?id)?|client_?id|account_?key|user_?id|login)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9_.@-]{4,}+",
     "endpoint": r"(?i:https?|s3|jdbc:[a-z0-9]{2,16}|mongodb|postgres|redis|amqp|ftp)://[A-Za-z0-9_.:@/?&=%-]{4,}+",
 }
+#: Of these a key is what is 40 long, in base 64 without padding, and has all three kinds of characters.
+KEY = (r"^[A-Za-z0-9+/]{40}$", "[0-9]", "[a-z]", "[A-Z]")
 #: A cheap test that some weak candidate's format may match at all.
 HINT = r"://|(?i:access_?key|client_?id|account_?key|user_?id|login)|[A-Za-z0-9+/]{40}"
 ORDER = ("assign", "access", "hex", "endpoint", "ident", "key")
@@ -68,7 +73,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     assign = F.filter(_matches(F.col("text"), BASE["assign"], "assign"), lambda x: F.char_length(F.regexp_replace(x["value"], HEAD, "")) >= 6)
     base = F.concat(slim(assign), slim(_matches(F.col("text"), BASE["access"], "access")), slim(_matches(F.col("text"), BASE["hex"], "hex")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    weak = F.when(F.col("text").rlike(HINT), F.concat(*[slim(_matches(F.col("text"), p, k)) for k, p in WEAK.items()])).otherwise(none)
+    found = {k: _matches(F.col("text"), p, k) for k, p in WEAK.items()}
+    found["key"] = F.filter(found["key"], lambda x: reduce(and_, [x["value"].rlike(p) for p in KEY]))
+    weak = F.when(F.col("text").rlike(HINT), F.concat(*map(slim, found.values()))).otherwise(none)
     return own.select(F.monotonically_increasing_id().alias("_row"), "doc_id", base.alias("base"), weak.alias("weak"))
 
 
