@@ -58,9 +58,10 @@ class EmaProcessor(StatefulProcessor):
 
 
 class DedupProcessor(StatefulProcessor):
-    """Sends an alert unless its key's last one was sent less than the time to live before; forgets keys by timers."""
+    """Sends an alert unless its key's last one was sent less than the time to live before. With ``forget`` a timer drops a key's state when
+    the watermark has passed its time to live, after which it can hold nothing back."""
 
-    ttl_seconds = 3600
+    ttl_seconds, forget = 3600, False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -75,15 +76,23 @@ class DedupProcessor(StatefulProcessor):
                 last = at
                 out.append((*key, t, i, x))
         self.last.update((last,))
+        if self.forget:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last // 1000 + self.ttl_seconds * 1000)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def dedup_processor(ttl_seconds: int) -> DedupProcessor:
+def dedup_processor(ttl_seconds: int, forget: bool = False) -> DedupProcessor:
     made = DedupProcessor()
-    made.ttl_seconds = ttl_seconds
+    made.ttl_seconds, made.forget = ttl_seconds, forget
     return made
 
 
@@ -92,6 +101,13 @@ def ema_zscore_stream(m: DataFrame) -> DataFrame:
     return m.groupBy("city", "state", "pollutant").transformWithStateInPandas(EmaProcessor(), outputStructType=SCORED, outputMode="Append", timeMode="None")
 
 
-def dedup_alerts_stream(alerts: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """As ``stateful.dedup_alerts``, on a stream; times of events count."""
-    return alerts.groupBy("city", "state", "pollutant", "category").transformWithStateInPandas(dedup_processor(ttl_seconds), outputStructType=SENT, outputMode="Append", timeMode="None")
+def dedup_alerts_stream(alerts: DataFrame, ttl_seconds: int = 3600, grace: str | None = None) -> DataFrame:
+    """As ``stateful.dedup_alerts``, on a stream; times of events count.
+
+    With a ``grace`` alerts later than that are dropped, and keys are forgotten once their time to live is over, so state holds only
+    keys of the last hours; without one it holds every key there ever was.
+    """
+    if grace:
+        alerts = alerts.withWatermark("time", grace)
+    mode = "EventTime" if grace else "None"
+    return alerts.groupBy("city", "state", "pollutant", "category").transformWithStateInPandas(dedup_processor(ttl_seconds, bool(grace)), outputStructType=SENT, outputMode="Append", timeMode=mode)

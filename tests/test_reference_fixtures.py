@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aqengine import fixtures as fx
 from aqengine.functions.aqi import BANDS, CONCENTRATIONS, aqi_band, aqi_to_concentration, severity
 from aqengine.operators import aggregate, forecast, parse, series, stateful, topk, windows
-from aqengine.sources import feeds
+from aqengine.sources import feeds, sinks
 from aqengine.streaming import state
 from aqengine.streaming import topk as stream_topk
 from aqengine.streaming import windows as stream_windows
@@ -103,6 +104,15 @@ def test_streams_equal_tables(spark, tmp_path):
     cat = lambda df: df.withColumn("category", aqi_band("aqi"))
     both = [sorted((r.event_id, r.category) for r in df.collect()) for df in (run(state.dedup_alerts_stream(cat(m)), f"{tmp_path}/dedup"), stateful.dedup_alerts(cat(table)))]
     assert both[0] == both[1] and 0 < len(both[0]) < 600
+    forgetful = run(state.dedup_alerts_stream(cat(m), grace="10 minutes"), f"{tmp_path}/forget")
+    assert sorted((r.event_id, r.category) for r in forgetful.collect()) == both[1]
+
+
+def test_appended_aggregates(spark, sf_dir, tmp_path):
+    fx.measurements(spark, sf_dir).write.parquet(f"{tmp_path}/in")
+    m = spark.readStream.schema(fx.measurements(spark, sf_dir).schema).parquet(f"{tmp_path}/in")
+    sinks.append_aggregate(stream_windows.maxima(m), str(tmp_path), "max-city-hour", f"{tmp_path}/c", availableNow=True).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/max_city_hour").count() > 0
 
 
 def test_continuous_topk(spark, tmp_path):
