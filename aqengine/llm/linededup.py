@@ -19,6 +19,8 @@ from .words import BACK, STEP, mix, pieces, powers, word_hashes
 
 #: Shorter lines are repeated only if they are equal: one word in four is not a small edit.
 MIN_WORDS = 5
+#: Places of the bitmap of documents.
+BITS = 1 << 24
 _STEP, _BACK = int(STEP), int(BACK)
 
 
@@ -75,35 +77,45 @@ def line_table(docs: DataFrame) -> DataFrame:
     return batches(own, step, f"_row long, doc_id {kind}, _text long, line long, n long, h long, halves array<long>")
 
 
+def _held_by(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_id, _text, _utf8 of the documents that may hold a wanted line (_id, _text): a bitmap of BITS places, at most 2 MB however many lines there
+    are, spares the others the shuffle."""
+    place = F.pmod(F.xxhash64("_id", "_text"), F.lit(BITS))
+    own = docs.select(F.xxhash64("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), utf8().alias("_utf8")).withColumn("_place", place)
+    bits = wanted.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = own.withColumn("_bucket", F.bitmap_bucket_number("_place")).join(F.broadcast(bits), "_bucket")
+    return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select("_id", "_text", "_utf8")
+
+
 def _variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, line (words joined by a space), variants: for each wanted line (_id, _text, line, h) the hashes without its i-th word."""
-    asked = wanted.groupBy("_id", "_text").agg(F.collect_list(F.struct("line", "h")).alias("asked"))
-    own = docs.select(F.xxhash64("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), utf8().alias("_utf8")).join(asked, ["_id", "_text"])
+    """at, text (words joined by a space), variants: for each wanted line (_id, _text, line, at) the hashes without its i-th word."""
+    asked = wanted.groupBy("_id", "_text").agg(F.collect_list(F.struct("line", "at")).alias("asked"))
+    own = _held_by(docs, wanted).join(asked, ["_id", "_text"])
 
     def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts, asked = b.column(0).to_pylist(), b.column(1).to_pylist()
-            hs, lines, variants = [], [], []
-            for lo, owner, line, first, last, pre in _lines(texts):
+            ats, lines, variants = [], [], []
+            for lo, owner, _, first, last, pre in _lines(texts):
                 start = np.searchsorted(owner, np.arange(owner[-1] + 2)) if len(owner) else [0]
+                back = powers(_BACK, 1 << max(12, len(pre).bit_length()))
                 for i in range(len(start) - 1):
-                    split = None
+                    split = texts[lo + i].split(b"\n")
                     for want in asked[lo + i]:
-                        at = start[i] + want["line"]
-                        a, z = int(first[at]), int(last[at])
+                        a, z = int(first[start[i] + want["line"]]), int(last[start[i] + want["line"]])
                         j = np.arange(a, z)
                         # The words before the one left out, and those after it moved one place forward.
                         rest = (pre[j] - pre[a]) + (pre[z] - pre[j + 1]) * BACK
-                        split = split or texts[lo + i].split(b"\n")
-                        hs.append(want["h"])
+                        ats.append(want["at"])
                         lines.append(b" ".join(split[want["line"]].lower().split()).decode("utf-8", "replace"))
-                        back = powers(_BACK, 1 << max(12, len(pre).bit_length()))[a]
-                        variants.append(mix(rest * back + np.uint64(z - a - 1)).view(np.int64))
-            if hs:
+                        variants.append(mix(rest * back[a] + np.uint64(z - a - 1)).view(np.int64))
+            if ats:
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(v) for v in variants]), pa.int32()), pa.array(np.concatenate(variants)))
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(lines, pa.string()), flat], names=["h", "text", "variants"])
+                yield pa.RecordBatch.from_arrays([pa.array(ats, pa.int64()), pa.array(lines, pa.string()), flat], names=["at", "text", "variants"])
 
-    return batches(own.select("_utf8", "asked"), step, "h long, text string, variants array<long>").dropDuplicates(["h"])
+    return batches(own.select("_utf8", "asked"), step, "at long, text string, variants array<long>")
 
 
 def _without(text: str, i: str) -> Column:
@@ -112,36 +124,39 @@ def _without(text: str, i: str) -> Column:
     return F.when(F.col(i) < 0, w).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(F.col(i), F.lit(0))), F.slice(w, F.greatest(F.col(i), F.lit(0)) + 2, F.size(w))))
 
 
-def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(h, of): each distinct line with an earlier line within one edit, and the earliest such line.
+def near_lines(docs: DataFrame, table: DataFrame, first: DataFrame) -> DataFrame:
+    """h of each distinct line that has an earlier line within one edit.
 
-    ``first`` has each distinct line's h, n, halves and pos (doc_id, _row, line of its first place). Lines that share a variant at the
+    ``table`` is the line table; ``first`` has each distinct line's h, n, _text and pos (doc_id, _row, line of its first place). Lines that share a variant at the
     same place differ in that word alone, so each needs comparing only with the earliest of them; the same holds for a line
     and those that become it by losing a word. So no pairs within a group are made, and groups are summed before the shuffle.
+    Only lines that share a half with another are numbered (``at``, in the order of pos) and give variants, and only variants
+    that two lines share go on.
     """
     long = first.filter(F.col("n") >= MIN_WORDS)
-    halves = long.select(F.explode("halves").alias("half"), "h")
+    halves = table.filter(F.col("n") >= MIN_WORDS).select(F.explode("halves").alias("half"), "h")
     shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("half")
     asked = halves.join(shared, "half").select("h").distinct()
-    wanted = long.join(asked, "h").select(F.xxhash64("pos.doc_id").alias("_id"), "_text", F.col("pos.line").alias("line"), "h")
-    found = written(_variants(docs, wanted).join(long.select("h", "n", "pos"), "h"), "variants")
-    each = found.select("h", "pos", "n", F.posexplode("variants").alias("i", "v")).withColumn("size", F.col("n") - 1)
-    whole = found.select("h", "pos", "n", F.lit(-1).alias("i"), F.col("h").alias("v"), F.col("n").alias("size"))
-    every = each.unionByName(whole)
-    groups = every.groupBy("v", "size", "i").agg(F.min(F.struct("pos", "h")).alias("e"), F.max("h").alias("b"), F.min("h").alias("a"))
-    groups = written(groups, "groups")
-    keys = ["v", "size"]
-    replaced = each.join(groups.filter("i >= 0 and a <> b").select(*keys, "i", "e"), [*keys, "i"]).select("h", "pos", "i", F.col("e.h").alias("of"), F.col("e.pos").alias("of_pos"), F.col("i").alias("j"))
-    full = groups.filter("i < 0").select(*keys, F.col("e.h").alias("of"), F.col("e.pos").alias("of_pos"))
-    longer = each.join(full, keys).select("h", "pos", "i", "of", "of_pos", F.lit(-1).alias("j"))
-    longest = groups.filter("i >= 0").groupBy(*keys).agg(F.min(F.struct("e.pos", "e.h", "i")).alias("e"))
-    shorter = full.join(longest, keys).select(F.col("of").alias("h"), F.col("of_pos").alias("pos"), F.lit(-1).alias("i"), F.col("e.h").alias("of"), F.col("e.pos").alias("of_pos"), F.col("e.i").alias("j"))
-    pairs = replaced.unionByName(longer).unionByName(shorter).filter("of_pos < pos and h <> of")
-    pairs = pairs.groupBy("h", "of").agg(F.min("of_pos").alias("of_pos"), F.min(F.struct("i", "j")).alias("ij")).select("h", "of", "of_pos", "ij.i", "ij.j")
-    text = found.select("h", "text")
-    pairs = pairs.join(text, "h").join(text.select(F.col("h").alias("of"), F.col("text").alias("of_text")), "of")
+    ranked = long.join(asked, "h").orderBy("pos").select("h", F.monotonically_increasing_id().alias("at"), F.xxhash64("pos.doc_id").alias("_id"), "_text", F.col("pos.line").alias("line"))
+    ranked = written(ranked, "ranked")
+    found = written(_variants(docs, ranked), "variants")
+    every = found.select("at", F.posexplode("variants").alias("i", "v")).unionByName(ranked.select("at", F.lit(-1).alias("i"), F.col("h").alias("v")))
+    live = every.groupBy("v").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a <> b").select("v")
+    every = written(every.join(live, "v").select("v", "i", "at"), "shared")
+    each, whole = every.filter("i >= 0"), every.filter("i < 0")
+    least = each.groupBy("v", "i").agg(F.min("at").alias("of"))
+    replaced = each.join(least, ["v", "i"]).select("at", "i", "of", F.col("i").alias("j"))
+    full = whole.groupBy("v").agg(F.min("at").alias("of"))
+    longer = each.join(full, "v").select("at", "i", "of", F.lit(-1).alias("j"))
+    # The earliest line that becomes a whole one by losing a word, and the word: the least of the least by word.
+    longest = least.groupBy("v").agg(F.min("of").alias("of")).join(least, ["v", "of"]).groupBy("v", "of").agg(F.min("i").alias("j"))
+    shorter = full.withColumnRenamed("of", "at").join(longest, "v").select("at", F.lit(-1).alias("i"), "of", "j")
+    pairs = replaced.unionByName(longer).unionByName(shorter).filter("of < at")
+    pairs = pairs.groupBy("at", "of").agg(F.min(F.struct("i", "j")).alias("ij")).select("at", "of", "ij.i", "ij.j")
+    text = found.select("at", "text")
+    pairs = pairs.join(text, "at").join(text.select(F.col("at").alias("of"), F.col("text").alias("of_text")), "of")
     pairs = pairs.filter(_without("text", "i") == _without("of_text", "j"))
-    return pairs.groupBy("h").agg(F.min_by("of", "of_pos").alias("of"))
+    return pairs.select("at").distinct().join(ranked, "at").select("h")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -151,10 +166,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     table = written(line_table(docs), "lines")
     pos = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "line").alias("pos")
-    words = table.filter("n > 0").select("h", "n", "halves", "_text", pos)
-    first = written(words.groupBy("h", "n").agg(F.min(F.struct("pos", "_text", "halves")).alias("f")).select("h", "n", "f.*"), "first")
-    near = near_lines(docs, first)
-    verdict = first.join(near, "h", "left").select("h", "n", F.col("pos").alias("first"), F.col("of").isNotNull().alias("near"))
+    words = table.filter("n > 0").select("h", "n", "_text", pos)
+    first = written(words.groupBy("h", "n").agg(F.min(F.struct("pos", "_text")).alias("f")).select("h", "n", "f.*"), "first")
+    near = near_lines(docs, table, first)
+    near = near.withColumn("near", F.lit(True))
+    verdict = first.join(near, "h", "left").select("h", "n", F.col("pos").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     here = table.select("_row", "doc_id", "line", "n", "h", pos)
     judged = here.filter("n > 0").join(verdict, ["h", "n"]).select("_row", "doc_id", "line", "n", (F.col("pos") != F.col("first")).alias("same"), "near")
     return judged.unionByName(here.filter("n = 0").select("_row", "doc_id", "line", "n", F.lit(False).alias("same"), F.lit(False).alias("near")))
