@@ -29,8 +29,8 @@ _BLANK = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 ODD = rf"^ | $| {_BLANK}|{_BLANK} "
 #: Letters, with a space before them or not, and marks: two parts that are encoded each by itself.
 PLAIN = re.compile(r"(\x20?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?|]*)")
-#: Pieces and parts whose ids a worker keeps.
-KEPT = 700_000
+#: Pieces and parts of pieces whose ids a worker keeps; a part costs more to encode again.
+KEPT, KEPT_PARTS = 300_000, 600_000
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 _MASKS = (np.arange(4) < _LENGTHS[:, :, None]).reshape(256, 16)
@@ -51,7 +51,7 @@ def _byte_letters() -> list[str]:
 
 class Encoder:
     """Ids of texts by a tokenizers file. Texts are cut at single spaces; each distinct piece of a batch is encoded once, and pieces and
-    their parts are kept, at most KEPT of each. A file that isn't plain byte-level BPE encodes whole texts instead."""
+    their parts are kept, at most KEPT and KEPT_PARTS of them. A file that isn't plain byte-level BPE encodes whole texts instead."""
 
     def __init__(self, path: str) -> None:
         import json
@@ -100,7 +100,7 @@ class Encoder:
             return [self.whole(t or "") for t in texts.to_pylist()]
         if len(self.pieces) > KEPT:
             self.pieces.clear()
-        if len(self.parts) > KEPT:
+        if len(self.parts) > KEPT_PARTS:
             self.parts.clear()
         texts = pc.fill_null(texts, "")
         cut = pc.split_pattern(texts, " ")
