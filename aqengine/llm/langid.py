@@ -27,7 +27,7 @@ def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """A hash of the n codes that end at each position; meaningless for the first n - 1."""
     h = np.full(len(codes), n, np.uint64)
     for i in range(n - 1, -1, -1):
-        h[i:] = (h[i:] ^ codes[: len(codes) - i]) * _MIX
+        h[i:] = (h[i:] ^ codes[: max(0, len(codes) - i)]) * _MIX
         h ^= h >> np.uint64(29)
     return h
 
