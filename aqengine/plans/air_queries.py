@@ -317,8 +317,10 @@ _SITES = ["CA-0", "NY-0", "TX-0"]
 
 @query(f"""{_SERIES} SELECT {sql_stamp('"timestamp"')} AS "timestamp", {", ".join(f"""round(avg(PM25) FILTER (SiteID = '{s}'), 6) AS "{s}" """ for s in _SITES)} FROM series WHERE SiteID IN ('CA-0', 'NY-0', 'TX-0') GROUP BY series."timestamp" """)
 def pivot_sensors(spark, sf_dir):
-    p = aggregate.pivot_sensors(fx.series(spark, sf_dir), _SITES)
-    return p.select(stamp("timestamp").alias("timestamp"), *[F.round(f"`{s}`", 6).alias(s) for s in _SITES])
+    s = fx.series(spark, sf_dir)
+    sites = sorted(r["SiteID"] for r in s.select("SiteID").distinct().collect())  # these become the columns
+    p = aggregate.pivot_sensors(s, sites)
+    return p.select(stamp("timestamp").alias("timestamp"), *[F.round(f"`{x}`", 6).alias(x) for x in sites])
 
 
 @query(f"""{_SERIES}, f AS (SELECT SiteID, min(PM25) AS lo, max(PM25) AS hi FROM series GROUP BY SiteID)
