@@ -41,7 +41,7 @@ def _anomaly_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 
 @query()
 def cluster_sweep(spark, sf_dir):
-    return cluster.sweep_clusters(_profiles(spark, sf_dir), (2, 3, 4))
+    return cluster.sweep_clusters(_profiles(spark, sf_dir))
 
 
 @query()
@@ -101,7 +101,7 @@ def dbscan(spark, sf_dir):
 
 @query()
 def dbscan_sweep(spark, sf_dir):
-    return cluster.dbscan_sweep(_spots(spark, sf_dir), "id", ["x", "y"], (0.5, 1.0))
+    return cluster.dbscan_sweep(_spots(spark, sf_dir), "id", ["x", "y"])
 
 
 @query()
@@ -131,12 +131,12 @@ def site_status(spark, sf_dir):
 
 @query()
 def forecast_gbt(spark, sf_dir):
-    return aggregate.forecast_metrics(forecast.forecast_gbt(fx.series(spark, sf_dir), _cutoff(), trees=20))
+    return aggregate.forecast_metrics(forecast.forecast_gbt(fx.series(spark, sf_dir), _cutoff()))
 
 
 @query()
 def tune_gbt(spark, sf_dir):
-    return forecast.tune_gbt(fx.series(spark, sf_dir), _cutoff(), draws=2, folds=2, grid={"trees": [5, 10], "depth": [2, 3], "rate": [0.05, 0.1]})
+    return forecast.tune_gbt(fx.series(spark, sf_dir), _cutoff())
 
 
 @query(f"""{_SERIES}, marked AS (SELECT *, percent_rank() OVER (PARTITION BY SiteID ORDER BY series."timestamp") < 0.8 AS train FROM series),

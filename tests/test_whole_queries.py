@@ -33,3 +33,34 @@ def test_pivot_sensors_has_a_column_for_each_site(spark, sf_dir):
     assert len(got) == len({t for _, t, _ in rows})
     cells = [(s, r["timestamp"], round(v, 5)) for r in got for s, v in r.asDict().items() if s != "timestamp" and v is not None]
     assert sorted(cells) == sorted(rows)
+
+
+def test_sweeps_and_boosted_trees_take_the_survey_s_settings(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from aqengine.operators import cluster, forecast
+
+    made, larger = [], sf_dir.replace("sf0.001", "sf0.01")  # the smallest tables have no rows before the cutoff
+
+    class Trees:
+        def __init__(self, maxIter, maxDepth, stepSize, **_):
+            made.append((maxIter, maxDepth, stepSize))
+
+        def fit(self, df):
+            return self
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.lit(0.0))
+
+    monkeypatch.setattr(forecast, "GBTRegressor", Trees)
+    registry.QUERIES["forecast_gbt"](spark, larger)
+    assert made == [(80, 4, 0.05)]
+    made.clear()
+    registry.QUERIES["tune_gbt"](spark, larger)
+    assert len(made) == 9 and len(set(made)) == 3
+    assert all(t in (50, 100, 150) and d in (3, 5, 7) and r in (0.01, 0.05, 0.1) for t, d, r in made)
+    sweeps = {}
+    monkeypatch.setattr(cluster, "dbscan", lambda df, key, cols, eps, min_pts: sweeps.setdefault(eps, df.limit(0).select(F.lit(0).alias("cluster"))))
+    registry.QUERIES["dbscan_sweep"](spark, sf_dir)
+    assert sorted(sweeps) == [0.5, 1.0, 1.5, 2.0]
+    assert sorted(r.k for r in registry.QUERIES["cluster_sweep"](spark, sf_dir).collect()) == [2, 3, 4, 5, 6]
