@@ -17,7 +17,7 @@ from .common import batches, written
 SAMPLE, ROUNDS = 20_000, 6
 #: Weight of the error parallel to a vector against that across it.
 PARALLEL = 4.0
-#: Candidates for each query that are reranked, and vectors (coded) and queries of one scan.
+#: Candidates for each query and block that are reranked at least, and vectors (coded) and queries of one scan.
 RERANK, BLOCK, QUERIES = 200, 1 << 16, 2048
 SPREAD = 32
 
@@ -111,8 +111,8 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return codes[:, ::2] | codes[:, 1::2] << 4
 
 
-def scan(code: np.ndarray, tables: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best coded vectors by summed table entries: number of the query, places, scores."""
+def scan(code: np.ndarray, tables: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query its number, and its summed table entries with all coded vectors."""
     for lo in range(0, tables.shape[2], 128):
         t = np.ascontiguousarray(tables[:, :, lo : lo + 128])
         score = np.empty((t.shape[2], len(code)), np.float32)
@@ -122,8 +122,31 @@ def scan(code: np.ndarray, tables: np.ndarray, k: int) -> Iterator[tuple[int, np
                 part += t[b][code[a : a + 2048, b]]
             score[:, a : a + 2048] = part.T
         for i, s in enumerate(score):
-            at = np.argpartition(-s, k - 1)[:k] if k < len(s) else np.arange(len(s))
-            yield lo + i, at, s[at]
+            yield lo + i, s
+
+
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, dimension after dimension."""
+    out = np.zeros(len(x))
+    for d in range(len(q)):
+        out += x[:, d] * q[d]
+    return out
+
+
+def _leading(score: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best scores (ties: smaller ``least``) up to the k-th different ``least``; all if there are fewer."""
+    size = 2 * k
+    while True:
+        at = np.arange(len(score))
+        if size < len(score):
+            at = np.flatnonzero(score >= -np.partition(-score, size - 1)[size - 1])
+        at = at[np.lexsort((least[at], -score[at]))]
+        _, first = np.unique(least[at], return_index=True)
+        if len(first) >= k:
+            return at[: np.sort(first)[k - 1] + 1]
+        if len(at) == len(score):
+            return at
+        size *= 4
 
 
 def _ranked(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -134,9 +157,10 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the k rows of largest inner product among all others.
 
     Codebooks are fitted on at most ``sample`` vectors; every vector is coded, every code is scanned for every query in blocks, and the best
-    ``rerank`` of each query are scored exactly (double precision, dimension after dimension). Vectors are searched once for each
-    distinct value, whose k + 1 smallest vec_ids stand for it: so large groups of equal vectors cost one candidate, and ties go to
-    the smaller vec_id. Queries that are equal are searched once.
+    ``rerank`` of each query and block are scored exactly (double precision, dimension after dimension). So are all others of the
+    block whose table score, with the length of what the code leaves out of the vector, may reach the k + 1 best of these: the
+    result is exact. Vectors are searched once for each distinct value, whose k + 1 smallest vec_ids stand for it, and ties go
+    to the smaller vec_id. Queries that are equal are searched once.
 
     Rows whose vector is null, empty, zero or has a null or non-finite component take no part, nor do rows with a null vec_id, nor vectors
     of another length than the most frequent one. Rows that repeat a vec_id are all its own, never its candidates, and are queries
@@ -149,11 +173,12 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK
     if size is None:
         return spark.createDataFrame([], schema)
     v = v.filter(F.size("v") == size["n"]).withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(SPREAD)))
-    # The k + 1 smallest ids of each distinct vector: first within slices of it, so that no task has all its copies.
+    # The k + 1 smallest different ids of each distinct vector: first within slices of it, so that no task has all its copies.
+    v = v.groupBy("v", "_salt", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("times"))
     v = _ranked(v, ["v", "_salt"], [F.col("vec_id")], k + 1)
     v = _ranked(v, ["v"], [F.col("vec_id")], k + 1)
-    classes = v.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "v", "ids"), "classes")
+    classes = v.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "times"))).alias("ids"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "v", F.col("ids.vec_id").alias("ids"), F.col("ids.times").alias("times")), "classes")
     asked = table.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("v")).filter(F.expr(f"query_id % {every} = 0") & valid("v"))
     asked = written(asked.join(classes.select("c", "v"), "v").select("query_id", "c").distinct(), "asked")
     n, n_asked = classes.count(), asked.select("c").distinct().count()
@@ -165,10 +190,12 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            codes = packed(book.encode(_padded(x.astype(np.float32), book.centres.shape[2])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in codes], pa.binary())], names=["c", "code"])
+            wide = _padded(x.astype(np.float32), book.centres.shape[2])
+            codes = book.encode(wide)
+            left_out = np.linalg.norm(wide.astype(float) - book.centres[np.arange(codes.shape[1]), codes].reshape(len(x), -1), axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in packed(codes)], pa.binary()), pa.array(left_out)], names=[*b.schema.names, "code", "left_out"])
 
-    coded = batches(classes.select("c", "v"), code, "c long, code binary")
+    coded = batches(classes, code, f"c long, v {dict(classes.dtypes)['v']}, ids array<long>, times array<long>, code binary, left_out double")
     blocks, groups = -(-n // BLOCK), -(-n_asked // QUERIES)
     number = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "c"), F.lit(m)).cast("int")
     left = coded.withColumn("block", number("b", blocks)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -176,20 +203,39 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK
 
     def search(codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(codes) or not len(queries):
-            return pd.DataFrame({"q": [], "c": [], "s": []})
+            return pd.DataFrame({"q": [], "vec_id": [], "times": [], "s": []})
         code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
-        ids, out = codes["c"].to_numpy(), []
+        x, left_out = np.stack(codes["v"].to_numpy()).astype(float), codes["left_out"].to_numpy()
+        ids, times = codes["ids"].to_numpy(), codes["times"].to_numpy()
+        least, out = np.array([i[0] for i in ids]), []
+        long = np.linalg.norm(x, axis=1) + left_out
         for lo in range(0, len(queries), 256):
             part = queries.iloc[lo : lo + 256]
-            qs = part["c"].to_numpy()
-            out += [(np.full(len(at), qs[i]), ids[at], s) for i, at, s in scan(code, book.tables(np.stack(part["v"].to_numpy())), rerank)]
-        return pd.DataFrame({"q": np.concatenate([o[0] for o in out]), "c": np.concatenate([o[1] for o in out]), "s": np.concatenate([o[2] for o in out]).astype(float)})
-
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(search, "q long, c long, s double")
-    best = _ranked(found, ["q"], [F.desc("s"), F.col("c")], rerank).select("q", "c")
-    exact = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = best.join(classes, "c").join(classes.select(F.col("c").alias("q"), F.col("v").alias("w")), "q").select("q", "ids", exact.alias("score"))
-    # k + 1 rows of each distinct query are enough once its own row is left out.
-    rows = _ranked(scored.withColumn("vec_id", F.explode("ids")), ["q"], [F.desc("score"), F.col("vec_id")], k + 1).select(F.col("q").alias("c"), "vec_id", "score")
-    own = asked.join(rows, "c").filter("vec_id <> query_id")
-    return _ranked(own, ["query_id", "c"], [F.desc("score"), F.col("vec_id")], k).select("query_id", F.col("_rank").cast("int").alias("rank"), "vec_id", "score")
+            qs, vs = part["c"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float)
+            for i, s in scan(code, book.tables(vs)):
+                length = np.linalg.norm(vs[i])
+                at = np.argpartition(-s, rerank - 1)[:rerank] if rerank < len(s) else np.arange(len(s))
+                score = exact(x[at], vs[i])
+                # What may still be among them: the tables' single precision is allowed for.
+                lead = _leading(score, least[at], k + 1)
+                enough = len(np.unique(least[at[lead]])) > k
+                may = s + length * (left_out + 1e-5 * long) >= score[lead[-1]] if enough else np.ones(len(s), bool)
+                may[at] = False
+                if len(more := np.flatnonzero(may)):
+                    near = x[more] @ vs[i]
+                    if enough:
+                        more = more[near >= score[lead[-1]] - 1e-9 * length * long[more]]
+                    at, score = np.concatenate([at, more]), np.concatenate([score, exact(x[more], vs[i])])
+                    lead = _leading(score, least[at], k + 1)
+                at, score = at[lead], score[lead]
+                own, n = np.concatenate(ids[at]), np.concatenate(times[at])
+                each = np.repeat(score, [len(ids[j]) for j in at])
+                first = _leading(each, own, k + 1)
+                out.append((np.full(len(first), qs[i]), own[first], n[first], each[first]))
+        return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("q", "vec_id", "times", "s"))})
+
+    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(search, "q long, vec_id long, times long, s double")
+    # Own rows go out first. A row that is there more than once counts as often.
+    own = asked.join(found.select(F.col("q").alias("c"), "vec_id", "times", F.col("s").alias("score")), "c").filter("vec_id <> query_id")
+    own = _ranked(own, ["query_id", "c"], [F.desc("score"), F.col("vec_id")], k).drop("_rank").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return _ranked(own, ["query_id", "c"], [F.desc("score"), F.col("vec_id"), F.col("_time")], k).select("query_id", F.col("_rank").cast("int").alias("rank"), "vec_id", "score")

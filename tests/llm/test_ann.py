@@ -65,3 +65,21 @@ def test_parallel_errors_weigh_more():
         return np.abs(((x - back) * x).sum(1)).mean()
 
     assert error(4.0) < error(1.0)
+
+
+def agrees(spark, rows, **how):
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), **how).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute(rows, 20)
+    assert {q: [j for j, _ in v] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-9 for q in want for a, b in zip(got[q], want[q], strict=True))
+
+
+def test_near_copies_at_two_sizes(spark):
+    rng = np.random.default_rng(3)
+    for n in (600, 2400):
+        base = rng.standard_normal(16)
+        x = rng.standard_normal((n, 16))
+        x[::3] = base + 1e-4 * rng.standard_normal((len(x[::3]), 16))
+        agrees(spark, [(i, v.astype(np.float32).tolist(), 0, 0.0, 1, "x") for i, v in enumerate(x)])
