@@ -83,3 +83,9 @@ def test_near_copies_at_two_sizes(spark):
         x = rng.standard_normal((n, 16))
         x[::3] = base + 1e-4 * rng.standard_normal((len(x[::3]), 16))
         agrees(spark, [(i, v.astype(np.float32).tolist(), 0, 0.0, 1, "x") for i, v in enumerate(x)])
+
+
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).astype(np.float32).tolist(), 0, 0.0, 1, "x") for i in range(200)]
+    agrees(spark, rows + [rows[0]] * 25 + [rows[20]] + [rows[7]] * 3)
