@@ -16,8 +16,10 @@ from .common import batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 5
-#: Whole texts that are learned from, for each language at most; and languages at most (the most frequent).
-TEXTS, LANGUAGES = 400, 200
+#: Whole texts that are learned from, for each language at most.
+TEXTS = 400
+#: Robust deviations above the median cost at which a text is rejected.
+SPREADS = 10
 #: Words whose scores a worker keeps, and the longest of them.
 KEPT, LONGEST = 300_000, 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -170,10 +172,10 @@ class Scorer:
 
 
 def learned_sample(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
-    """(lang, text) of at most ``texts`` whole texts of each of the most frequent languages, chosen by a hash of doc_id."""
+    """(lang, text) of at most ``texts`` whole texts of each language, chosen by a hash of doc_id."""
     known = docs.filter("lang is not null and text is not null")
     h = F.pmod(F.xxhash64(F.lit("learned"), "doc_id"), F.lit(1_000_000))
-    n = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    n = known.groupBy("lang").agg(F.count("*").alias("n"))
     near = known.select("lang", "text", h.alias("h")).join(F.broadcast(n), "lang").filter(F.col("h") < F.greatest(F.lit(1), F.ceil(F.lit(2e6 * texts) / F.col("n"))))
     first = Window.partitionBy("lang").orderBy("h", "text")
     return near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= texts).select("lang", "text")
@@ -182,8 +184,8 @@ def learned_sample(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
 def fit(docs: DataFrame, texts: int = TEXTS) -> Model:
     """A model of each language in ``docs`` (lang, text, doc_id), and the rejection level.
 
-    The level is calibrated on every fifth sampled text, scored by models of the others: a text is rejected if its letters cost
-    more than 1.75 times any of these, or than the mean by ten standard deviations, whichever is more.
+    The level is calibrated on every fifth sampled text, scored by models of the others: the highest ``_level`` of any language. It is made
+    of medians, so a few odd or mislabelled texts don't move it.
     """
     rows = sorted((r["lang"], r["text"]) for r in learned_sample(docs, texts).collect())
     words = [Counter(LETTERS.findall(t.lower())) for _, t in rows]
@@ -198,12 +200,23 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> Model:
     model = fit_words(counts(lambda i: True))
     part = fit_words(counts(lambda i: i % 5))
     if part.langs:
-        cost, n = Scorer(part)([t for i, (_, t) in enumerate(rows) if i % 5 == 0])
-        if len(best := cost.min(1)[n >= 20]):
-            model.reject_above = float(max(1.75 * best.max(), best.mean() + 10 * best.std()))
+        tried = [row for i, row in enumerate(rows) if i % 5 == 0]
+        cost, n = Scorer(part)([t for _, t in tried])
+        by: dict[str, list[float]] = {}
+        for (lang, _), c, size in zip(tried, cost.min(1).tolist(), n.tolist(), strict=True):
+            if size >= 20:
+                by.setdefault(lang, []).append(c)
+        if by:
+            model.reject_above = max(map(_level, by.values()))
     return model
 
 
+def _level(costs: list[float]) -> float:
+    """1.75 times the median, or SPREADS robust deviations (1.4826 times the median distance) above it, whichever is more."""
+    mid = float(np.median(costs))
+    return max(1.75 * mid, mid + SPREADS * 1.4826 * float(np.median(np.abs(np.array(costs) - mid))))
+
+
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` and lang_pred, score (0 to 1), cost (nats for each letter or word end, null if there is none), rejected.
 

@@ -98,3 +98,18 @@ def test_long_words_and_a_full_memo_change_nothing(spark, monkeypatch):
     small = langid.Scorer(model)
     assert np.allclose(np.concatenate([small([t])[0] for t in texts]), want)
     assert (want[-2].argmin(), want[-1].argmin()) == (0, 0)
+
+
+def test_odd_texts_do_not_lift_the_level(spark):
+    """With one language left out its texts are rejected, though a few sampled texts are in no language's letters."""
+    odd = ["zzz " + " ".join(chr(first + (7 * i + j) % 20) * 3 for i in range(12) for j in range(3)) for first in (0x3B1, 0x430, 0x5D0, 0x627, 0x561)]
+    known = [r for r in corpus(240) if r[2] != "zz"]
+    model = langid.fit(frame(spark, known + [(1000 + i, t, "xx", "s", 0, 0.0, 0, 0, 0, 0, "") for i, t in enumerate(odd)]))
+    new = [(2000 + i, text("zz" if i < 20 else "xx", 5000 + i), None, "s", 0, 0.0, 0, 0, 0, 0, "") for i in range(40)]
+    got = {r.doc_id: r.rejected for r in langid.predict(frame(spark, new), model).collect()}
+    assert all(got[2000 + i] == (i < 20) for i in range(40))
+
+
+def test_all_labels_are_learned(spark):
+    docs = frame(spark, [(i, text("xx", i, 5), f"l{i:03}", "s", 0, 0.0, 0, 0, 0, 0, "") for i in range(210)])
+    assert len(langid.fit(docs).langs) == 210
