@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, shared_path
+from .memo import Memo, gathered, places
 
 #: White space other than the space and the line feed, by the tokenizer's pattern.
 _OTHER = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -75,7 +76,7 @@ class Encoder:
         feed = self.whole("\n")
         self.cuts, self.feed = self.cuts and len(feed) == 1, feed[:1]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.known, self.ends, self.pool, self.uses = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.memo = Memo(self._new, lambda: KEPT, LONGEST)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -107,38 +108,15 @@ class Encoder:
             at = end
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _lookup(self, pieces: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For distinct pieces, met so many times: a pool of ids, and where in it each has its own and how many."""
-        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
-        new = np.flatnonzero(at < 0)
-        at[new] = len(self.known) + np.arange(len(new))
-        added = pieces.take(pa.array(new))
-        words = pc.match_substring_regex(added, LETTERS).to_numpy(zero_copy_only=False)
-        others = ~words & pc.invert(pc.is_in(added, pa.array(["", " "]))).to_numpy(zero_copy_only=False)  # no text has a space alone
-        pool, sizes = [self.pool], np.zeros(len(added), np.int64)
-        start = np.zeros(len(added), np.int64)
+    def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = pc.match_substring_regex(pieces, LETTERS).to_numpy(zero_copy_only=False)
+        others = ~words & pc.invert(pc.is_in(pieces, pa.array(["", " "]))).to_numpy(zero_copy_only=False)  # no text has a space alone
+        start, size, pool = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), np.zeros(0, np.uint32)
         for own, make in ((words, self._words), (others, self._others)):
-            ids, n = make(added.filter(pa.array(own)).to_pylist())
-            start[own] = sum(map(len, pool)) + np.cumsum(n) - n
-            sizes[own] = n
-            pool.append(ids)
-        pool = np.concatenate(pool)
-        start, sizes = np.concatenate([self.ends[:-1], start]), np.concatenate([np.diff(self.ends), sizes])
-        uses = np.concatenate([self.uses, np.zeros(len(added), np.int64)])
-        uses[at] += times
-        if len(added):
-            self._keep(pa.concat_arrays([self.known, added]), pool, start, sizes, uses)
-        else:
-            self.uses = uses
-        return pool, start[at], sizes[at]
-
-    def _keep(self, pieces: pa.Array, pool: np.ndarray, start: np.ndarray, sizes: np.ndarray, uses: np.ndarray) -> None:
-        keep = np.flatnonzero(pc.less_equal(pc.binary_length(pieces), LONGEST).to_numpy(zero_copy_only=False))
-        if len(keep) > KEPT:  # half of them go, the least used first
-            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: KEPT // 2]])
-            uses = uses // 2
-        self.known, self.uses = pieces.take(pa.array(keep)), uses[keep]
-        self.pool, self.ends = pool[_runs(start[keep], sizes[keep])], np.concatenate([[0], np.cumsum(sizes[keep])])
+            ids, n = make(pieces.filter(pa.array(own)).to_pylist())
+            start[own], size[own] = len(pool) + np.cumsum(n) - n, n
+            pool = np.concatenate([pool, ids])
+        return pool, start, size
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has; null counts as empty."""
@@ -162,10 +140,10 @@ class Encoder:
         units = pa.concat_arrays([pc.if_else(whole, every, stem), pc.if_else(whole, "", marks)]).dictionary_encode()
         of = units.indices.to_numpy().reshape(2, -1)
         times = np.bincount(codes, minlength=len(every))
-        pool, start, sizes = self._lookup(units.dictionary, np.bincount(of.ravel(), np.tile(times, 2), len(units.dictionary)).astype(np.int64))
+        pool, start, sizes = self.memo(units.dictionary, np.bincount(of.ravel(), np.tile(times, 2), len(units.dictionary)).astype(np.int64))
         pool = np.append(pool, self.feed[0])
         size = np.stack([feed.to_numpy(zero_copy_only=False).astype(np.int64), *sizes[of]], 1)
-        pool = pool[_runs(np.stack([np.full(len(every), len(pool) - 1), *start[of]], 1).ravel(), size.ravel())]
+        pool = pool[places(np.stack([np.full(len(every), len(pool) - 1), *start[of]], 1).ravel(), size.ravel())]
         size = size.sum(1)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(pool, pa.uint32()))
         out = lists.take(pa.array(codes)).flatten().to_numpy()
@@ -184,12 +162,6 @@ class Encoder:
         return np.split(out, np.cumsum(count)[:-1])
 
 
-def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1 and so on, size[0] of them, then the same of the next."""
-    upto = np.cumsum(size)
-    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - upto + size, size)
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -206,7 +178,7 @@ def pack_all(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= less[:, None]]
     controls = -(-sizes // 4)
     four = np.zeros(4 * int(controls.sum()), np.uint8)
-    four[_runs(4 * (np.cumsum(controls) - controls), sizes)] = less
+    four[places(4 * (np.cumsum(controls) - controls), sizes)] = less
     upto = np.concatenate([[0], np.cumsum(less + np.int64(1))])
     last = np.cumsum(sizes)
     return (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8), data, controls, upto[last] - upto[last - sizes]
@@ -215,7 +187,7 @@ def pack_all(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 def unpack_all(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The values of all records; a table over control bytes says where each data byte goes."""
     controls = -(-sizes // 4)
-    where = _MASKS[control].reshape(-1, 4)[_runs(4 * (np.cumsum(controls) - controls), sizes)]
+    where = _MASKS[control].reshape(-1, 4)[places(4 * (np.cumsum(controls) - controls), sizes)]
     out = np.zeros((len(where), 4), np.uint8)
     out[where] = data
     return out.view("<u4").ravel()
@@ -257,11 +229,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, at, total = encoder(tokenizer), TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
         names = ["shard", "doc_id", "n_tokens", "at", "ids", "counts"]
-        for ids_col, texts in _gathered(it):
+        for ids_col, texts in gathered(it, 1, GATHERED):
             ids, n = enc.flat(texts)
             # Every text's end goes behind it.
             every = np.full(len(ids) + len(n), end_id, np.uint32)
-            every[_runs(np.cumsum(n + 1) - n - 1, n)] = ids
+            every[places(np.cumsum(n + 1) - n - 1, n)] = ids
             n = n + 1
             upto = at + np.cumsum(n)
             at = int(upto[-1])
@@ -312,20 +284,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     out.sortWithinPartitions("shard", "start").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").partitionBy("shard").parquet(f"{path}/ids")
 
 
-def _gathered(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """The two columns of several batches at once, some GATHERED bytes of them."""
-    held, size = [], 0
-    for b in it:
-        if b.num_rows:
-            held.append(b)
-            size += b.column(1).nbytes
-        if size >= GATHERED:
-            yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
-            held, size = [], 0
-    if held:
-        yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
-
-
 def read_ids(spark: SparkSession, path: str, doc_id: str = "long", texts: bool = False) -> DataFrame:
     """Each document of the files: doc_id, start, n_tokens, ids_crc32 of its ids as little-endian 32-bit integers; with
     ``texts`` (meant for tests and samples) also ids."""
