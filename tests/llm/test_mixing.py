@@ -67,3 +67,11 @@ def test_documents_are_repeated(odd, none):
         want[r.doc_id, r.text] = want.get((r.doc_id, r.text), 0) + r.copies
     assert times == {k: v for k, v in want.items() if v}
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(none).count() == 0
+
+
+def test_texts_without_words_are_taken_as_often_as_others(spark):
+    rows = [(i, "" if i % 2 else words(i, 9), "en", "small", 0, 0.0, 0, 0, 0, 0, "") for i in range(60)] + [(i, words(i, 30), "en", "t", 0, 0.0, 0, 0, 0, 0, "") for i in range(60, 200)]
+    got = mixing.mix_sources(frame(spark, rows), weights=(5, 1)).collect()
+    assert {r.copies for r in got if r.doc_id < 60} == {2}
+    docs = mixing.mixed_documents(frame(spark, rows), weights=(5, 1)).groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in docs) == 2 and sum(r["count"] for r in docs) == sum(r.copies for r in got)
