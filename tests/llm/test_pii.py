@@ -97,3 +97,17 @@ def test_odd_rows(odd, none):
     got = pii.personal_data(odd, model).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got if r.doc_id in (1, 2, 3))
     assert pii.personal_data(none, pii.fit(none)).collect() == []
+
+
+def test_addresses_are_those_of_the_pattern_in_linear_time():
+    import time
+
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    r = random.Random(0)
+    for _ in range(3000):
+        text = "".join(r.choice("ab.@@_-% ") for _ in range(r.randrange(40)))
+        assert pii._mails(text) == [m.span() for m in plain.finditer(text)], text
+    began = time.time()
+    for text in ("a" * 1_000_000 + "@b", "a@" * 500_000, "a.b@c_" * 200_000, "@" * 1_000_000):
+        assert pii._mails(text) == []
+    assert time.time() - began < 5
