@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters alone: of what counts as part of a word, no digits, and no number signs (fractions, superscripts, numbers in circles).
+_SIGNS = "".join(chr(c) for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
 ORDER = 5
 #: Whole texts that are learned from, for each language at most.
 TEXTS = 400

@@ -5,7 +5,7 @@ import numpy as np
 
 from aqengine.llm import langid
 
-from .conftest import ODD, frame
+from .conftest import ODD, frame, words
 
 
 def text(lang, seed, n=60):
@@ -113,3 +113,12 @@ def test_odd_texts_do_not_lift_the_level(spark):
 def test_all_labels_are_learned(spark):
     docs = frame(spark, [(i, text("xx", i, 5), f"l{i:03}", "s", 0, 0.0, 0, 0, 0, 0, "") for i in range(210)])
     assert len(langid.fit(docs).langs) == 210
+
+
+def test_number_signs_are_no_letters(spark):
+    learned = [(i, words(i, 20), "en", "s", 0, 0.0, 0, 0, 0, 0, "") for i in range(30)]
+    model = langid.fit(frame(spark, learned))
+    signs = ["½", "² ①", "Ⅷ ↉ ½", "12 345", "_", "٣"]
+    got = langid.predict(frame(spark, [(i, t, "en", "s", 0, 0.0, 0, 0, 0, 0, "") for i, t in enumerate(signs)]), model).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
+    assert langid.LETTERS.findall("añ²b é½ Ωmega") == ["añ", "b", "é", "Ωmega"]
