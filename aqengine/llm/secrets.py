@@ -17,6 +17,8 @@ from .common import written
 
 #: Code points within which parts of one credential stand.
 SCOPE = 256
+#: Lengths that are summed up at a time.
+CHUNK = 64
 
 # The base formats; ``hex`` and ``access`` with their least lengths, which here give the same matches.
 BASE = {
@@ -39,23 +41,24 @@ HINT = r"://|(?i:access_?key|client_?id|account_?key|user_?id|login)|[A-Za-z0-9+
 ORDER = ("assign", "access", "hex", "endpoint", "ident", "key")
 
 
+def _starts(lengths: Column) -> Column:
+    """The sum of the lengths before each: within chunks of CHUNK, and of whole chunks, so that no long array is copied for each element."""
+    added = lambda first, a: F.aggregate(a, F.array(first), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))
+    before = added(F.lit(0), F.transform(chunks, lambda a: F.aggregate(a, F.lit(0), lambda acc, n: acc + n)))
+    return F.flatten(F.transform(F.arrays_zip(chunks.alias("a"), before.alias("at")), lambda c: F.when(c["a"].isNull(), F.array().cast("array<int>")).otherwise(F.slice(added(c["at"], c["a"]), F.lit(1), F.size(c["a"])))))
+
+
 def _matches(text: Column, pattern: str, kind: str) -> Column:
     """Array of (kind, start, end, value) of a pattern's leftmost non-overlapping matches; positions in code points.
 
-    What stands between matches and the matches themselves alternate, so a running sum of their lengths places them.
+    What stands between matches and the matches themselves alternate, so running sums of their lengths place them.
     """
     between = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
     got = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
-    pairs = F.arrays_zip(between.alias("gap"), got.alias("value"))
-
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.coalesce(x["gap"], F.lit(0))
-        b = a + F.char_length(F.coalesce(x["value"], F.lit("")))
-        one = F.array(F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["value"].alias("value")))
-        return F.struct(b.alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    return F.when(F.size(got) > 0, F.aggregate(pairs, empty, add, lambda acc: acc["out"])).otherwise(empty["out"])
+    found = F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size(got)).alias("gap"), got.alias("value")), lambda x: F.struct(x["gap"].alias("gap"), F.char_length(x["value"]).alias("n"), x["value"].alias("value")))
+    placed = F.zip_with(found, _starts(F.transform(found, lambda x: x["gap"] + x["n"])), lambda x, at: F.struct(F.lit(kind).alias("kind"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["value"].alias("value")))
+    return F.when(F.size(got) > 0, placed).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
 
 
 def _spans(found: Column) -> Column:
@@ -83,13 +86,13 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(_row, added): weak candidates near which a complementary part stands.
 
     A key needs an identifier (``access`` or ident) or an endpoint; an ident needs a secret (``assign``, ``hex`` or key); an endpoint needs both
-    an identifier and a secret. Parts are summed up for each row, bin and role by their first and last place, so the join
+    an identifier and a secret. Parts are gathered for each row, bin and role by their starts, at most ``scope`` of them, so the join
     brings three rows at most to a candidate and role, however many parts a text has.
     """
     asked = found.filter(F.size("weak") > 0)
     role = F.when(F.col("p.kind").isin("access", "ident"), "identifier").when(F.col("p.kind") == "endpoint", "endpoint").otherwise("secret")
-    parts = asked.select("_row", F.explode(F.concat("base", "weak")).alias("p")).select("_row", role.alias("role"), F.floor(F.col("p.start") / scope).alias("bin"), F.col("p.start").alias("s"), F.col("p.end").alias("e"))
-    parts = parts.groupBy("_row", "role", "bin").agg(F.min("s").alias("first"), F.max("s").alias("last"), F.max("e").alias("end"), F.collect_set("s").alias("at"))
+    parts = asked.select("_row", F.explode(F.concat("base", "weak")).alias("p")).select("_row", role.alias("role"), F.floor(F.col("p.start") / scope).alias("bin"), F.col("p.start").alias("s"))
+    parts = parts.groupBy("_row", "role", "bin").agg(F.collect_set("s").alias("at"))
     weak = asked.select("_row", F.explode("weak").alias("w")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("w.start") / scope) - 1, F.floor(F.col("w.end") / scope) + 1)))
     near = weak.join(parts, ["_row", "bin"]).filter(F.exists("at", lambda s: (s <= F.col("w.end") + scope) & (s >= F.col("w.start") - scope) & ~((s >= F.col("w.start")) & (s < F.col("w.end")))))
     roles = near.groupBy("_row", "w").agg(F.collect_set("role").alias("roles"))

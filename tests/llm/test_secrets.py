@@ -69,3 +69,10 @@ def test_many_parts_in_one_text(spark):
     rows = [(1, text, "en", "s", 0, 0.0, 0, 0, 0, 0, "")]
     got = check(frame(spark, rows), rows)
     assert got[1][0][4].count("endpoint:") == 2000
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é ".join("deadbeef" * 3 + str(i % 10) + "x" * (i % 5) for i in range(5000))
+    got = secrets.secrets(frame(spark, [(1, text, "en", "s", 0, 0.0, 0, 0, 0, 0, "")])).first()
+    want = [m.span() for m in re.finditer(r"[0-9a-f]{24,}", text)]
+    assert got.n_hex == 5000 and got.spans == ",".join(f"hex:{a}:{b}" for a, b in want)
