@@ -40,16 +40,16 @@ def fingerprint(words: list[bytes], k: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long. A null text counts as empty."""
+def fingerprints(docs: DataFrame, k: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep`` and fp of each row; fp is the fingerprint of its text as a signed long. A null text counts as empty."""
 
     def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fp = np.array([fingerprint(t.lower().split(), k) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t.lower().split(), k) for t in b.column(len(keep)).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fp)], names=[*keep, "fp"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return batches(docs.select("doc_id", utf8().alias("_text")), step, f"doc_id {kind}, fp long")
+    kinds = dict(docs.dtypes)
+    return batches(docs.select(*keep, utf8().alias("_text")), step, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", fp long")
 
 
 class BKTree:
@@ -202,15 +202,28 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = RADIUS) -> DataFr
     ignored.
     """
     own = written(fingerprints(docs, k), "fingerprints")
-    fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    named = _firsts(own.withColumn("first", F.col("doc_id")), radius).withColumnRenamed("first", "component_id")
+    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _firsts(own: DataFrame, radius: int) -> DataFrame:
+    """(fp, first): for each fingerprint in ``own`` (fp, first) the least ``first`` of its component."""
+    fps = written(own.groupBy("fp").agg(F.min("first").alias("least")), "distinct")
     roots = components(near_pairs(fps.select("fp"), radius))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return written(rooted.join(least, "root").select("fp", "first"), "components")
+
 
+def one_of_each(docs: DataFrame, k: int = 3, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, the one with the smallest doc_id, whatever the names of its columns.
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that with the smallest doc_id; rows with a null doc_id stay."""
-    keep = near_duplicates(docs, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    Groups are those of ``near_duplicates``, over rows: of several rows with the smallest doc_id one stays (the first as read), and rows that
+    repeat a doc_id but are unlike each other stay all. A row with a null doc_id stays only if no row of its group has one; of several such one stays. Texts
+    that are null, empty or blank are alike and one of them stays. An empty table gives an empty result.
+    """
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    own = written(fingerprints(packed, k, ("row", "doc_id", "doc")), "packed")
+    slim = own.select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("first"))
+    kept = _firsts(slim, radius).select("first.row").distinct()
+    return own.join(kept, "row", "left_semi").select("doc.*")

@@ -114,3 +114,12 @@ def test_large_shards_are_split_without_losing_links(spark):
         found = [(p.a % 2**64, p.b % 2**64) for p in simhash.near_pairs(fps, tree=tree).collect()]
         assert all((a ^ b).bit_count() <= 3 for a, b in found)
         assert groups(found, sorted(values)) == groups(pairs_of(sorted(values)), sorted(values))
+
+
+def test_one_of_each_keeps_unlike_rows_of_one_doc_id(spark):
+    one, other = words(1, 60), words(2, 60)
+    rows = [(5, one, 1, 1, "a", 0), (5, other, 2, 2, "b", 0), (5, other, 3, 3, "b", 0), (7, one, 4, 4, "c", 0), (None, one, 5, 5, "d", 0), (None, words(3, 60), 6, 6, "e", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long, fp long, doc string, _kept int")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.doc) for r in got.collect()) == [(0, "e"), (5, "a"), (5, "b")]
