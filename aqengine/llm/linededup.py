@@ -52,8 +52,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, _text (a hash of the whole text), line (from 0), n (words), h (of all words), halves.
+def line_table(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """_row (a number for each row, or the column ``row``), doc_id, _text (a hash of the whole text), line (from 0), n (words), h (of all words), halves.
 
     halves: hashes of the first and last floor(m / 2) words for m = n and m = n - 1. Lines of m words, or m and m + 1, that are one
     word apart have one of the halves of m in common; so lines without such a partner need no variants.
@@ -73,7 +73,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 at = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(line), pa.array(n), _signed(_ranged(pre, first, last)), halves], names=["_row", "doc_id", "_text", "line", "n", "h", "halves"])
 
-    own = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("_text"), utf8().alias("_utf8"))
+    own = docs.select((F.monotonically_increasing_id() if row is None else F.col(row)).alias("_row"), "doc_id", F.xxhash64("text").alias("_text"), utf8().alias("_utf8"))
     return batches(own, step, f"_row long, doc_id {kind}, _text long, line long, n long, h long, halves array<long>")
 
 
@@ -159,12 +159,12 @@ def near_lines(docs: DataFrame, table: DataFrame, first: DataFrame) -> DataFrame
     return pairs.select("at").distinct().join(ranked, "at").select("h")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, row: str | None = None) -> DataFrame:
     """The lines of ``docs`` with what becomes of them: _row, doc_id, line, n, same (an equal line stands earlier), near (a near one does).
 
     Earlier is by doc_id (null last), then row, then line. Lines without words are never repeated ones. Equality is that of words.
     """
-    table = written(line_table(docs), "lines")
+    table = written(line_table(docs, row), "lines")
     pos = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "line").alias("pos")
     words = table.filter("n > 0").select("h", "n", "_text", pos)
     first = written(words.groupBy("h", "n").agg(F.min(F.struct("pos", "_text")).alias("f")).select("h", "n", "f.*"), "first")
@@ -190,8 +190,14 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines taken out that ``line_report`` removes; rows are matched by doc_id and text, null texts stay."""
-    gone = repeated_lines(docs).filter("same or near").groupBy("_row", "doc_id").agg(F.collect_list("line").alias("_gone"))
-    at = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone.select("_row", "_gone"), "_row", "left")
-    kept = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("_gone", i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
-    return at.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with the lines taken out that ``line_report`` removes, whatever the names of its columns.
+
+    Rows are numbered once, in a table that holds them whole, and matched by that number; so null and repeated doc_ids do no harm. Null texts stay
+    null, and an empty table stays empty.
+    """
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    own = written(packed, "packed")
+    gone = repeated_lines(own.select("row", "doc_id", "text"), "row").filter("same or near").groupBy(F.col("_row").alias("row")).agg(F.collect_list("line").alias("gone"))
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i.cast("long")))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return own.join(gone, "row", "left").select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")

@@ -92,3 +92,13 @@ def test_lines_go_from_the_text(spark):
     assert got == {0: "one two three four five\nkeep me", 1: "first\n\nlast", 2: None, 3: ""}
     assert linededup.without_repeated_lines(docs).columns == docs.columns
     assert itertools is not None
+
+
+def test_lines_go_from_the_right_rows_whatever_the_columns(spark):
+    text = "one two three four five\nown line {} with some more words"
+    rows = [(i // 3, text.format(f"x{i} y{i} z{i}"), f"u{i}", i, "a", [i]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, row int, doc string, _gone array<int>").repartition(7)
+    got = linededup.without_repeated_lines(docs)
+    assert got.columns == docs.columns
+    kept = {r.row: r.text for r in got.collect()}
+    assert all(f"x{i} y{i} z{i}" in kept[i] for i in range(30)) and sum(t.startswith("one two") for t in kept.values()) == 1
