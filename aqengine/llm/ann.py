@@ -182,7 +182,8 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK
     asked = table.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("v")).filter(F.expr(f"query_id % {every} = 0") & valid("v"))
     asked = written(asked.join(classes.select("c", "v"), "v").select("query_id", "c").distinct(), "asked")
     n, n_asked = classes.count(), asked.select("c").distinct().count()
-    fit_on = classes.select("v").filter(F.pmod(F.xxhash64(F.lit("fit"), "v"), F.lit(1_000_000)) < max(1, int(1.2e6 * sample / n) if n > sample else 1_000_000)).limit(sample).collect()
+    h = F.pmod(F.xxhash64(F.lit("fit"), "v"), F.lit(1_000_000))
+    fit_on = classes.select("v", h.alias("h")).filter(F.col("h") < max(1, int(1.2e6 * sample / n) if n > sample else 1_000_000)).orderBy("h", "v").limit(sample).collect()
     if not fit_on or not n_asked:
         return spark.createDataFrame([], schema)
     book = Codebook.fit(np.array([r["v"] for r in fit_on]))

@@ -38,10 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose batches stay within some 16 MB, however long the texts."""
+def batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
+    """``mapInArrow`` whose batches stay within some 16 MB, however long the texts, and at most ``rows``. Sets the session's limits, which hold when the result is
+    computed."""
     conf = df.sparkSession.conf
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")):
         conf.set(key, value)
     return df.mapInArrow(step, schema)
 

@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import batches, utf8
+from .common import batches, utf8, written
+from .memo import places
 from .words import pieces, runs, word_hashes
 
 K, SIMILARITY = 5, 0.8
 #: Bits in which a window's fingerprint may differ from an item's. At similarity 0.8 about 13 of 64 differ, three more for a standard deviation.
 RADIUS = 24
-#: Items (and their bytes) that go to the executors at a time; more are taken in blocks, each a pass over the documents.
-ITEMS, ITEM_BYTES = 50_000, 64 << 20
+#: Items (and their shingles, some 40 bytes each) that go to the executors at a time; more are taken in blocks, each a pass over the documents.
+ITEMS, ITEM_SHINGLES = 50_000, 1_000_000
 _TABLE = 20
 
 
-def simhash(h: np.ndarray, w: np.ndarray) -> np.uint64:
-    """A bit is 1 if the shingles that have it weigh over half."""
+def simhash(h: np.ndarray, n: np.ndarray) -> np.uint64:
+    """A bit is 1 if over half of the shingles have it; h is there n times."""
     if not len(h):
         return np.uint64(0)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(2 * (w @ bits) > w.sum(), bitorder="little").view(np.uint64)[0]
+    return np.packbits(2 * (n @ bits) > n.sum(), bitorder="little").view(np.uint64)[0]
 
 
 class HammingIndex:
@@ -54,43 +54,49 @@ class HammingIndex:
 
 @dataclass
 class Items:
-    """A block of items: shingles with their weights, fingerprints, and of every shingle the places in items."""
+    """A block of items: each one's distinct shingles with their counts and weights, fingerprints, and of every shingle the places in items. Flat arrays all."""
 
     ids: list[int]
     sizes: np.ndarray
-    shingles: list[dict[int, tuple[int, float]]]
+    fps: np.ndarray
+    ends: np.ndarray
+    shingle: np.ndarray
+    count: np.ndarray
+    weight: np.ndarray
     by_k: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, bytes]]) -> Items:
-        words = [word_hashes([t])[0] for _, t in rows]
-        keep = [i for i, w in enumerate(words) if len(w)]
-        ids, words = [rows[i][0] for i in keep], [words[i] for i in keep]
-        runs_of = [runs(w, min(K, len(w))) for w in words]
-        in_items = Counter(s for r in runs_of for s in set(r.tolist()))
-        # A shingle that many items share says less: it weighs by the logarithm of the items' number over that of its own.
-        weight = lambda s: float(np.log1p(len(ids) / in_items[s]))
-        shingles = [{s: (c, weight(s)) for s, c in Counter(r.tolist()).items()} for r in runs_of]
+    def of(cls, rows: list[Row], total: int) -> Items:
+        """``rows``: item_id, n (words), h (of its shingles, in order), in_items (how many of all ``total`` items have each)."""
+        runs_of = [np.array(r["h"], np.int64).view(np.uint64) for r in rows]
+        fps, parts = [], []
+        for r, h in zip(rows, runs_of, strict=True):
+            u, first, n = np.unique(h, return_index=True, return_counts=True)
+            # A shingle that many items share says less: it weighs by the logarithm of the items' number over that of its own.
+            parts.append((u, n, np.log1p(total / np.array(r["in_items"], float)[first])))
+            fps.append(simhash(u, n))
+        sizes = np.array([r["n"] for r in rows], np.int64)
         by_k = {}
-        for k in sorted({min(K, len(w)) for w in words}):
-            own = [i for i, w in enumerate(words) if min(K, len(w)) == k]
-            h = np.concatenate([runs_of[i] for i in own])
-            item = np.repeat(own, [len(runs_of[i]) for i in own])
-            place = np.concatenate([np.arange(len(runs_of[i])) for i in own])
+        for k in sorted(set(np.minimum(K, sizes).tolist())):
+            own = np.flatnonzero(np.minimum(K, sizes) == k)
+            h = np.concatenate([runs_of[i] for i in own.tolist()])
+            n = np.array([len(runs_of[i]) for i in own.tolist()])
             order = np.argsort(h, kind="stable")
             table = np.zeros(1 << _TABLE, bool)
             table[(h >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
-            by_k[k] = (h[order], item[order], place[order], table)
-        return cls(ids, np.array([len(w) for w in words], np.int64), shingles, by_k)
+            by_k[k] = (h[order], np.repeat(own, n).astype(np.int32)[order], places(np.zeros(len(n), np.int64), n).astype(np.int32)[order], table)
+        ends = np.concatenate([[0], np.cumsum([len(u) for u, _, _ in parts])])
+        return cls([r["item_id"] for r in rows], sizes, np.array(fps, np.uint64), ends, *(np.concatenate(x) for x in zip(*parts, strict=True)), by_k)
 
-    def index(self) -> tuple[list[int], HammingIndex]:
-        fps = [simhash(np.array(list(s), np.uint64), np.array([c * w for c, w in s.values()])) for s in self.shingles]
-        return self.ids, HammingIndex(np.array(fps, np.uint64), RADIUS)
+    def index(self) -> HammingIndex:
+        return HammingIndex(self.fps, RADIUS)
 
-    def similarity(self, item: int, window: Counter) -> float:
-        """The share of the item's shingle weight that is in the window."""
-        own = self.shingles[item]
-        return sum(w * min(c, window[s]) for s, (c, w) in own.items()) / sum(w * c for c, w in own.values())
+    def similarity(self, item: int, window: np.ndarray, n: np.ndarray) -> float:
+        """The share of the item's shingle weight that is in the window (its distinct shingles in order, and their counts)."""
+        own = slice(self.ends[item], self.ends[item + 1])
+        s, c, w = self.shingle[own], self.count[own], self.weight[own]
+        at = np.minimum(np.searchsorted(window, s), len(window) - 1)
+        return float((w * np.where(window[at] == s, np.minimum(c, n[at]), 0)).sum() / (w * c).sum())
 
     def search(self, h: np.ndarray, index: HammingIndex, least: float = SIMILARITY) -> dict[int, tuple[float, int, int]]:
         """For each item in a text (its word hashes): best similarity, first word and number of words of the window.
@@ -106,41 +112,52 @@ class Items:
             seeds, lo, hi = seeds[hi > lo], lo[hi > lo], hi[hi > lo]
             if not len(seeds):
                 continue
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            start = np.clip(np.repeat(seeds, n) - place[at], 0, None)
-            windows = np.unique(np.stack([start, self.sizes[item[at]]], 1), axis=0)
-            for first, size in windows.tolist():
+            at = places(lo, hi - lo)
+            start = np.clip(np.repeat(seeds, hi - lo) - place[at], 0, None)
+            for first, size in np.unique(np.stack([start, self.sizes[item[at]]], 1), axis=0).tolist():
                 own = r[first : first + size - k + 1]
                 if not len(own):
                     continue
-                count = Counter(own.tolist())
-                # A window's shingles weigh as in the items; those in none weigh as the rarest.
-                fp = simhash(np.array(list(count), np.uint64), np.array([c * self.weight_of(s) for s, c in count.items()]))
-                for i in index.near(fp).tolist():
-                    if min(K, self.sizes[i]) == k and (s := self.similarity(i, count)) >= least - 1e-12:
+                u, n = np.unique(own, return_counts=True)
+                for i in index.near(simhash(u, n)).tolist():
+                    if min(K, self.sizes[i]) == k and (s := self.similarity(i, u, n)) >= least - 1e-12:
                         if i not in best or (-s, first) < (-best[i][0], best[i][1]):
                             best[i] = (s, first, size)
         return best
 
-    def weight_of(self, s: int) -> float:
-        if not hasattr(self, "_weights"):
-            self._weights = {s: w for own in self.shingles for s, (_, w) in own.items()}
-        return self._weights.get(s, float(np.log1p(len(self.ids))))
+
+def item_table(benchmark: DataFrame) -> DataFrame:
+    """_item (a number for each row), item_id, n (words), h (shingles' hashes in order) of the items that have words."""
+
+    def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            words = [word_hashes([t])[0] for t in b.column(2).to_pylist()]
+            keep = [i for i, w in enumerate(words) if len(w)]
+            if keep:
+                h = [runs(words[i], min(K, len(words[i]))).view(np.int64) for i in keep]
+                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in h]), pa.int32()), pa.array(np.concatenate(h)))
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(keep)) for i in (0, 1)], pa.array([len(words[i]) for i in keep], pa.int64()), flat], names=["_item", "item_id", "n", "h"])
+
+    own = benchmark.filter("item_id is not null and text is not null").select(F.monotonically_increasing_id().alias("_item"), "item_id", utf8().alias("_text"))
+    return written(batches(own, step, f"_item long, item_id {dict(benchmark.dtypes)['item_id']}, n long, h array<long>"), "items")
 
 
 def _blocks(benchmark: DataFrame, items: int = ITEMS) -> Iterator[Items]:
-    """Items in blocks of a checked size, in the order of their ids."""
-    rows = benchmark.filter("item_id is not null and text is not null").select("item_id", F.expr("cast(text as binary)")).orderBy("item_id").toLocalIterator()
+    """Items in blocks of a checked size, in the order of their ids. Shingles' weights come from all items, so blocks give what one would."""
+    table = item_table(benchmark)
+    total = table.count()
+    place = table.select("_item", F.posexplode("h").alias("i", "s"))
+    shared = table.select(F.explode(F.array_distinct("h")).alias("s")).groupBy("s").agg(F.count("*").alias("m"))
+    each = place.join(shared, "s").groupBy("_item").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("in_items"))
     held, size = [], 0
-    for i, t in rows:
-        held.append((i, bytes(t)))
-        size += len(t)
-        if len(held) >= items or size >= ITEM_BYTES:
-            yield Items.of(held)
+    for row in table.join(each, "_item").orderBy("item_id", "_item").toLocalIterator():
+        held.append(row)
+        size += len(row["h"])
+        if len(held) >= items or size >= ITEM_SHINGLES:
+            yield Items.of(held, total)
             held, size = [], 0
     if held:
-        yield Items.of(held)
+        yield Items.of(held, total)
 
 
 def _hits(texts: list[bytes], items: Items, index: HammingIndex, least: float) -> Iterator[tuple[int, dict[int, tuple[float, int, int]]]]:
@@ -163,8 +180,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     """doc_id, item_id, similarity, first_word, n_words: each document that holds an item, and the window most like it.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; shingles take five of them (an item of fewer: all). An item
-    is held if a window of as many words has at least ``least`` of the item's shingle weight. Items' places in documents
-    overlap freely. Documents aren't shuffled; items go to the executors in blocks of a checked size.
+    is held if a window of as many words has at least ``least`` of the item's shingle weight, weights being those among all items. Items' places in
+    documents overlap freely. Documents aren't shuffled; items go to the executors in blocks of a checked size, which change no result.
 
     Null texts, null item ids and items without words match nothing; repeated rows each give their own rows, repeated items
     each match; an empty table gives an empty result; further columns are ignored.
@@ -173,9 +190,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     schema = f"doc_id {kind}, item_id {item_kind}, similarity double, first_word long, n_words long"
     out = None
     for items in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def step(it: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            ids, index = items.index()
+        def step(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            ids, index = items.ids, items.index()
             for b in it:
                 rows = [(i, ids[j], *v) for i, found in _hits(b.column(1).to_pylist(), items, index, least) for j, v in sorted(found.items())]
                 if rows:
@@ -191,9 +210,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR
     """``docs`` without the rows that hold an item; nothing is shuffled. See ``contaminated``."""
     out = docs
     for items in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def step(it: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            _, index = items.index()
+        def step(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            index = items.index()
             for b in it:
                 keep = np.ones(b.num_rows, bool)
                 keep[[i for i, _ in _hits(b.column(0).to_pylist(), items, index, least)]] = False
