@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import norm_parameter
 
+#: Values that are sorted at the driver at most.
+FEW = 50_000
+
 
 def pivot_pollutants(a: DataFrame, parameters: tuple[str, ...] = ("OZONE", "PM10", "PM2_5"), keys: tuple[str, ...] = ("SiteID", "timestamp"), value: str = "Value", tie: str = "Value") -> DataFrame:
     """A column for each parameter; of several values at once that with the largest ``tie``. Given parameters spare a pass to find them."""
@@ -81,10 +84,49 @@ def regression_metrics(f: DataFrame, actual: str = "Actual_PM25", predicted: str
     return g.select(*by, "MAE", "MSE", F.sqrt("MSE").alias("RMSE"), (1 - F.try_divide(F.col("MSE"), F.col("_v"))).alias("R2"))
 
 
+def percentiles(df: DataFrame, col: str, shares: list[float], few: int = FEW) -> list[float | None]:
+    """Exact percentiles, between two values in proportion; null values don't count.
+
+    An approximate quantile brackets each rank, and brackets are narrowed until at most ``few`` values, or equal ones alone, are left; only these are sorted
+    at the driver. So no task holds all distinct values, and the passes grow with the logarithm of the rows.
+    """
+    v = df.select(F.col(col).cast("double").alias("v")).filter("v is not null")
+    n = v.count()
+
+    def at(rank: int) -> float:
+        lo, hi, below, m = None, None, 0, n
+        while m > few:
+            part = v if lo is None else v.filter(F.col("v").between(lo, hi))
+            share, width = (rank - below) / m, 0.01
+            new = part.approxQuantile("v", [max(0.0, share - width), min(1.0, share + width)], width / 4)
+            if (lo, hi) == tuple(new) or new[0] == new[1]:
+                less, same = v.agg(F.count_if(F.col("v") < new[0]), F.count_if(F.col("v") == new[0])).first()
+                if less <= rank < less + same:
+                    return new[0]
+                if (lo, hi) == tuple(new):  # narrow by the value itself
+                    new = [lo, v.filter(F.col("v") < hi).agg(F.max("v")).first()[0]] if rank < less else [v.filter(F.col("v") > lo).agg(F.min("v")).first()[0], hi]
+            lo, hi = new
+            below, m = v.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi))).first()
+        part = v if lo is None else v.filter(F.col("v").between(lo, hi))
+        return sorted(r["v"] for r in part.collect())[rank - below]
+
+    def one(share: float) -> float | None:
+        place = share * (n - 1)
+        low = int(place)
+        a = at(low)
+        return a if place == low else a + (place - low) * (at(low + 1) - a)
+
+    return [one(s) if n else None for s in shares]
+
+
 def quartiles(df: DataFrame, col: str, error: float | None = None) -> DataFrame:
-    """q1, q3 and their distance: exact, or approximate with a relative error (at scale)."""
-    q = F.percentile(col, [0.25, 0.75]) if error is None else F.percentile_approx(col, [0.25, 0.75], int(1 / error))
-    return df.agg(q.alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    """q1, q3 and their distance: exact, or approximate with a relative error (in one pass)."""
+    if error is None:
+        q = F.array(*[F.lit(x).cast("double") for x in percentiles(df, col, [0.25, 0.75])])
+        one = df.sparkSession.range(1).select(q.alias("q"))
+    else:
+        one = df.agg(F.percentile_approx(col, [0.25, 0.75], int(1 / error)).alias("q"))
+    return one.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
 
 
 def flag_iqr(df: DataFrame, col: str, factor: float = 2.0, error: float | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PARAMETERS, STATE_CODES
+from .aggregate import percentiles
 
 #: The highest plausible value of each parameter.
 BOUNDS = {"PM2.5": 500.0, "PM10": 650.0, "OZONE": 500.0}
@@ -51,7 +52,7 @@ def clean(a: DataFrame) -> DataFrame:
 def impute_median(df: DataFrame, cols: list[str], error: float | None = None) -> DataFrame:
     """Nulls become the column's median: exact, or from an approximate quantile with a relative error."""
     if error is None:
-        middle = df.agg(*[F.median(c).alias(c) for c in cols]).first()
+        middle = {c: percentiles(df, c, [0.5])[0] for c in cols}
     else:
         middle = dict(zip(cols, ((q or [None])[0] for q in df.approxQuantile(cols, [0.5], error)), strict=True))
     return df.fillna({c: middle[c] for c in cols if middle[c] is not None})
@@ -63,9 +64,9 @@ def impute_zero(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def fill_gaps(df: DataFrame, col: str, key: str = "SiteID", time: str = "timestamp") -> DataFrame:
     """Forward fill along time within a key, then backward fill."""
-    w = Window.partitionBy(key).orderBy(time)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(col, F.coalesce(F.last(col, ignorenulls=True).over(before), F.first(col, ignorenulls=True).over(after)))
+    upto = lambda order: Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before, after = (F.last(col, ignorenulls=True).over(upto(o)) for o in (F.asc(time), F.desc(time)))  # running both ways, each frame grows by a row
+    return df.withColumn(col, F.coalesce(before, after))
 
 
 def sample_by_hash(df: DataFrame, keys: list[str], per_mille: int) -> DataFrame:

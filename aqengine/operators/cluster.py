@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cyclic
+from ..interim import written
 from .series import lags_deltas
 
 PROFILE = ["PM25_mean", "PM25_max", "PM25_std", "OZONE_mean", "OZONE_max"]
@@ -57,7 +58,7 @@ def dbscan(df: DataFrame, key: str, cols: list[str], eps: float, min_pts: int =
     """key and cluster of each row: density-connected groups (named by their least core key), -1 for noise.
 
     Rows meet only rows of the same and neighbouring cells of side eps (3^d cells, so few columns). Groups of core rows are found by
-    least labels and pointer jumps, each round cut by a checkpoint; a row that is no core takes the least cluster in reach.
+    least labels and pointer jumps, each round written to the shared folder; a row that is no core takes the least cluster in reach.
     """
     # Rows that are equal in all columns are one point with a count; only distinct points are joined.
     points = df.groupBy(*cols).agg(F.min(key).alias("p"), F.count("*").alias("n"))
@@ -66,13 +67,15 @@ def dbscan(df: DataFrame, key: str, cols: list[str], eps: float, min_pts: int =
     around = spots.withColumn("s", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps]))).withColumn("cell", F.zip_with("cell", "s", lambda a, b: a + b)).drop("s")
     near = spots.select("cell", F.col("p").alias("q"), F.col("n").alias("m"), *[F.col(c).alias(f"_{c}") for c in cols]).join(around, "cell")
     d2 = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in cols])
-    near = near.filter(d2 <= eps * eps).select("p", "q", "m").checkpoint()
+    near = written(near.filter(d2 <= eps * eps).select("p", "q", "m"), "near")
     core = near.groupBy("p").agg(F.sum("m").alias("m")).filter(F.col("m") >= min_pts).select("p")
-    links = near.join(core, "p", "left_semi").join(core.withColumnRenamed("p", "q"), "q", "left_semi").select("p", "q").checkpoint()
-    labels = core.withColumn("label", F.col("p")).checkpoint()
+    core = written(core, "core")
+    links = written(near.join(core, "p", "left_semi").join(core.withColumnRenamed("p", "q"), "q", "left_semi").select("p", "q"), "links")
+    labels = core.withColumn("label", F.col("p"))
     while True:
         least = links.join(labels.withColumnRenamed("p", "q"), "q").groupBy("p").agg(F.min("label").alias("label"))
-        jumped = least.join(labels.select(F.col("p").alias("label"), F.col("label").alias("up")), "label", "left").select("p", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
+        jumped = least.join(labels.select(F.col("p").alias("label"), F.col("label").alias("up")), "label", "left").select("p", F.least("label", F.coalesce("up", "label")).alias("label"))
+        jumped = written(jumped, "labels")
         same = jumped.join(labels.withColumnRenamed("label", "old"), "p").filter("label <> old").isEmpty()
         labels = jumped
         if same:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE, cell, columns_within, geo_distance_m, planar
+from ..interim import written
+
+#: Sides of the cells in which users meet cities, in degrees.
+SIDES = (0.5, 4.0, 32.0)
 
 
 def with_location(df: DataFrame, loc: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def alert_recipients(alerts: DataFrame, loc: DataFrame, subs: DataFrame, radius_
     """Each alert with each active subscriber within the radius of its city.
 
     Distances are taken between cities that have alerts and subscribers, in cells: a subscriber meets only cities of its own and
-    neighbouring cells. Alerts join the pairs by city.
+    neighbouring cells, and distances are computed once, for pairs within a box around the circle. Alerts join the pairs by city.
     """
     cities = alerts.select("city", "state").distinct().join(loc, ["city", "state"]).select("city", "state", F.col("longitude").alias("c_lon"), F.col("latitude").alias("c_lat"))
     row, column = cell(F.col("c_lon"), F.col("c_lat"), radius_m)
@@ -58,9 +62,10 @@ def alert_recipients(alerts: DataFrame, loc: DataFrame, subs: DataFrame, radius_
     row, column = cell(F.col("longitude"), F.col("latitude"), radius_m)
     span = columns_within(F.col("latitude"))
     around = subs.filter("active").withColumn("cell_row", F.explode(F.sequence(row - 1, row + 1))).withColumn("cell_col", F.explode(F.sequence(column - span, column + span)))
-    pairs = around.join(cities, ["cell_row", "cell_col"]).withColumn("distance_m", geo_distance_m(F.col("longitude"), F.col("latitude"), F.col("c_lon"), F.col("c_lat")))
-    pairs = pairs.filter(F.col("distance_m") <= radius_m).select("id", "email", "city", "state", "distance_m")
-    return alerts.join(pairs, ["city", "state"])
+    pairs = around.join(cities, ["cell_row", "cell_col"]).filter(F.abs(F.col("latitude") - F.col("c_lat")) <= 1.01 * radius_m / DEGREE)
+    d = geo_distance_m(F.col("longitude"), F.col("latitude"), F.col("c_lon"), F.col("c_lat"))
+    pairs = pairs.select("id", "email", "city", "state", F.explode(F.array(d)).alias("distance_m"))  # a generator, so that the filter doesn't repeat the formula
+    return alerts.join(pairs.filter(F.col("distance_m") <= radius_m), ["city", "state"])
 
 
 def outbox(recipients: DataFrame) -> DataFrame:
@@ -79,29 +84,42 @@ def nearest_for_users(df: DataFrame, loc: DataFrame, users: DataFrame, k: int =
     """For each user the k rows nearest to it; for one without a location the k latest rows.
 
     Users meet cities, not rows: of each user's cities the k nearest are kept (their rows hold the k nearest rows), by cells that widen
-    until each user has k cities or no more cells are left. Cities are a dimension; rows join it by city.
+    until each user has k cities. Users that have fewer even within the widest cells meet those cells first, of which there are at most 72: only cities of cells that may
+    hold one of their k nearest come into question. Each round is written, so plans don't grow. Cities are a dimension; rows join it by city.
     """
-    from functools import reduce
-
     here = df.join(loc.select("city", "state"), ["city", "state"], "left_semi").select("city", "state").distinct()
-    cities = here.join(loc, ["city", "state"]).select("city", "state", F.col("longitude").alias("c_lon"), F.col("latitude").alias("c_lat"))
-    located = users.filter("longitude is not null and latitude is not null").select("id", "longitude", "latitude")
+    cities = written(here.join(loc, ["city", "state"]).select("city", "state", F.col("longitude").alias("c_lon"), F.col("latitude").alias("c_lat")), "cities")
+    todo = written(users.filter("longitude is not null and latitude is not null").select("id", "longitude", "latitude"), "todo")
     d = planar(F.col("longitude"), F.col("latitude"), F.col("c_lon"), F.col("c_lat"))
     w = Window.partitionBy("id").orderBy("distance", "city", "state")
-    todo, found = located, []
-    for side in (0.5, 4.0, 32.0, 400.0):  # degrees; the last takes in everything
+    pairs = None
+    for side in SIDES:
         at = lambda lon, lat: (F.floor((lon + 180) / side), F.floor((lat + 90) / side))  # noqa: E731, B023
         cx, cy = at(F.col("c_lon"), F.col("c_lat"))
         ux, uy = at(F.col("longitude"), F.col("latitude"))
+        placed = cities.withColumn("x", cx).withColumn("y", cy)
         around = todo.withColumn("x", F.explode(F.sequence(ux - 1, ux + 1))).withColumn("y", F.explode(F.sequence(uy - 1, uy + 1)))
-        near = around.join(cities.withColumn("x", cx).withColumn("y", cy), ["x", "y"]).withColumn("distance", d)
-        if side < 400:
-            near = near.filter(F.col("distance") <= side)
-        near = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-        done = near.groupBy("id").count().filter(F.col("count") >= k).select("id") if side < 400 else todo.select("id")
-        found.append(near.join(done, "id", "left_semi").select("id", "city", "state", "distance"))
-        todo = todo.join(done, "id", "left_anti")
-    pairs = reduce(DataFrame.unionByName, found)
+        near = around.join(placed, ["x", "y"]).withColumn("distance", d).filter(F.col("distance") <= side)
+        near = written(near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).select("id", "city", "state", "distance"), "near")
+        done = near.groupBy("id").count().filter(F.col("count") >= k).select("id")
+        got = near.join(done, "id", "left_semi")
+        pairs = got if pairs is None else pairs.unionByName(got)
+        todo = written(todo.join(done, "id", "left_anti"), "todo")
+        if todo.isEmpty():
+            break
+    else:
+        full = placed.groupBy("x", "y").agg(F.count("*").alias("n"))  # at most 72 rows
+        gap = lambda at, low: F.greatest(low - at, at - low - side, F.lit(0.0))  # noqa: E731, B023
+        far = lambda at, low: F.greatest(F.abs(at - low), F.abs(at - low - side))  # noqa: E731, B023
+        low = F.col("x") * side - 180, F.col("y") * side - 90
+        cells = todo.join(F.broadcast(full))
+        for name, f in (("least", gap), ("most", far)):
+            cells = cells.withColumn(name, F.sqrt(F.pow(f(F.col("longitude"), low[0]), 2) + F.pow(f(F.col("latitude"), low[1]), 2)))
+        upto = F.sum("n").over(Window.partitionBy("id").orderBy("most", "x", "y"))
+        cells = cells.withColumn("upto", upto).withColumn("enough", F.min(F.when(F.col("upto") >= k, F.col("most"))).over(Window.partitionBy("id")))
+        cells = cells.filter(F.col("enough").isNull() | (F.col("least") <= F.col("enough"))).select("id", "longitude", "latitude", "x", "y")
+        near = cells.join(placed, ["x", "y"]).withColumn("distance", d).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+        pairs = pairs.unionByName(near.select("id", "city", "state", "distance"))
     rows = df.join(pairs, ["city", "state"])
     r = Window.partitionBy("id").orderBy("distance", *ties)
     near = rows.withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= k)

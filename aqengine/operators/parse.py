@@ -26,29 +26,32 @@ def decode(raw: DataFrame, value: str = "value") -> DataFrame:
     return raw.withColumn("content", F.from_json(value, ENVELOPE, {"mode": "PERMISSIVE"})["payload"]["content"])
 
 
-def updated_at(content: Column) -> Column:
-    """The time of the last update; null where it is missing or in neither form."""
-    said = _trim(F.regexp_replace(_trim(F.regexp_extract(content, UPDATED, 1)), WEEKDAY, ""))
-    return F.coalesce(*[F.try_to_timestamp(F.when(said != "", said), F.lit(p)) for p in TIMES])
-
-
 def pollutant_name(said: Column) -> Column:
     """Particle Pollution (x microns) is PMx; whatever else is O3."""
     size = F.regexp_extract(_trim(said), PARTICLES, 1)
     return F.when(size != "", F.concat(F.lit("PM"), size)).otherwise("O3")
 
 
-def readings(content: Column) -> Column:
-    """Array of (category, aqi, pollutant) of an item. The category is its last word, as the feed's pattern has it."""
-    parts = [F.regexp_extract_all(content, F.lit(READING), F.lit(i)) for i in (1, 2, 3)]
-    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("category", "aqi", "name"), strict=True)])
-    return F.transform(zipped, lambda r: F.struct(_trim(r["category"]).alias("category"), r["aqi"].try_cast("int").alias("aqi"), pollutant_name(r["name"]).alias("pollutant")))
+def readings(found: Column) -> Column:
+    """Array of (category, aqi, pollutant) of an item's matches. The category is its last word, as the feed's pattern has it."""
+    part = lambda m, i: F.regexp_extract(m, READING, i)
+    return F.transform(found, lambda m: F.struct(_trim(part(m, 1)).alias("category"), part(m, 2).try_cast("int").alias("aqi"), pollutant_name(part(m, 3)).alias("pollutant")))
+
+
+def once(**columns: Column) -> Column:
+    """A row's values, computed once: what follows a generator refers to them and doesn't repeat their expressions."""
+    return F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
 
 
 def _items(feed: DataFrame) -> DataFrame:
     text = F.col("content")
-    items = feed.withColumn("city", _trim(F.regexp_extract(text, LOCATION, 1))).withColumn("state", F.regexp_extract(text, LOCATION, 2))
-    items = items.withColumn("time", updated_at(text)).withColumn("readings", readings(text))
+    said = _trim(F.regexp_replace(_trim(F.regexp_extract(text, UPDATED, 1)), WEEKDAY, ""))
+    place = F.regexp_extract(text, LOCATION, 0)
+    items = feed.select("*", once(place=place, said=F.when(said != "", said), found=F.regexp_extract_all(text, F.lit(READING), F.lit(0))).alias("_raw"))
+    time = F.coalesce(*[F.try_to_timestamp("_raw.said", F.lit(p)) for p in TIMES])
+    city, state = (F.regexp_extract("_raw.place", LOCATION, i) for i in (1, 2))
+    items = items.select(*feed.columns, once(city=_trim(city), state=state, time=time, readings=readings(F.col("_raw.found"))).alias("_item"))
+    items = items.select(*feed.columns, "_item.*")
     bad = F.exists("readings", lambda r: ~r["pollutant"].isin(*POLLUTANTS) | r["aqi"].isNull())
     reason = F.when(text.isNull(), "no content").when(F.col("time").isNull(), "no time").when(bad, "bad reading")
     return items.withColumn("rejected", reason)

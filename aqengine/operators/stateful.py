@@ -1,12 +1,15 @@
 """Folds over each station's readings in time, on tables; ``streaming.state`` has them on streams.
 
-A fold runs over the array of a key's readings in one task; ``ema_zscore`` takes states to start from, so that a long archive is
-folded part by part.
+Rows are dealt by key and sorted within tasks, and a task passes over them with the state of one key at hand: whatever a key's length, no array
+holds its history. ``ema_zscore`` takes states to start from, so that a long archive can also be folded part by part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import STATION_STATE
@@ -15,17 +18,33 @@ from ..schemas import STATION_STATE
 ALPHA, DOUBLE_ALPHA, WARM_UP, Z_LIMIT, STEPS, ALERT_AT = 0.1, 0.2, 20, 3.0, 2, 100.0
 
 
-def _step(state: Column, x: Column) -> Column:
-    """The state after a reading, with the reading's own results."""
-    n = state["count"] + 1
-    first = state["count"] == 0
-    d = x["aqi"] - state["ema"]
-    z = F.when(first | (state["emvar"] <= 0), F.lit(0.0)).otherwise(F.abs(d) / F.sqrt(state["emvar"]))
-    ema = F.when(first, x["aqi"]).otherwise(state["ema"] + ALPHA * d)
-    var = F.when(first, F.lit(0.0)).otherwise((1 - ALPHA) * (state["emvar"] + ALPHA * d * d))
-    e1 = F.when(first, x["aqi"]).otherwise(DOUBLE_ALPHA * x["aqi"] + (1 - DOUBLE_ALPHA) * state["ema1"])
-    e2 = F.when(first, x["aqi"]).otherwise(DOUBLE_ALPHA * e1 + (1 - DOUBLE_ALPHA) * state["ema2"])
-    return F.struct(n.alias("count"), ema.alias("ema"), var.alias("emvar"), e1.alias("ema1"), e2.alias("ema2"), z.alias("z"))
+STATE = ("count", "ema", "emvar", "ema1", "ema2")
+
+
+def _reading(state: tuple, x: float) -> tuple:
+    """The state after a reading, and the reading's z-score."""
+    n, ema, var, e1, e2 = state
+    if n == 0:
+        return 1, x, 0.0, x, x, 0.0
+    d = x - ema
+    e1 = DOUBLE_ALPHA * x + (1 - DOUBLE_ALPHA) * e1
+    return n + 1, ema + ALPHA * d, (1 - ALPHA) * (var + ALPHA * d * d), e1, DOUBLE_ALPHA * e1 + (1 - DOUBLE_ALPHA) * e2, abs(d) / var**0.5 if var > 0 else 0.0
+
+
+def _in_order(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, "time", "event_id")
+
+
+def _over_keys(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bool]]]]:
+    """Batches of sorted rows with the ranges of rows of one key in each, and whether a range begins its key."""
+    last = object()
+    for b in batches:
+        own = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+        cuts = [i for i in range(len(own)) if i == 0 or own[i] != own[i - 1]]
+        ranges = [(lo, hi, own[lo] != last) for lo, hi in zip(cuts, [*cuts[1:], len(own)], strict=True)]
+        yield b, ranges
+        if own:
+            last = own[-1]
 
 
 def _results(df: DataFrame) -> DataFrame:
@@ -41,26 +60,34 @@ def ema_zscore(m: DataFrame, keys: tuple[str, ...] = ("city", "state", "pollutan
     """Each reading with its key's exponential mean and variance after it, its z-score before it, double-average trend and forecast.
 
     Readings of a key are folded in the order of (time, event_id). ``start`` gives keys a state to go on from (the last row of an
-    earlier result), so a long archive is folded day by day, and no key's whole history is ever in one array.
+    earlier result).
     """
-    zero = F.struct(F.lit(0).cast("long").alias("count"), *[F.lit(0.0).alias(n) for n in ("ema", "emvar", "ema1", "ema2")])
-    zero = zero.cast(f"struct<{STATION_STATE.replace(' ', ':').replace(',:', ',')}>")
-    rows = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("time", "event_id", F.col("aqi").cast("double").alias("aqi")))).alias("r"))
-    if start is None:
-        rows = rows.withColumn("_state", zero)
-    else:
-        rows = rows.join(start.select(*keys, F.struct("count", "ema", "emvar", "ema1", "ema2").alias("_state")), list(keys), "left").withColumn("_state", F.coalesce("_state", zero))
-    kind = "array<struct<count:bigint,ema:double,emvar:double,ema1:double,ema2:double,z:double>>"
-    begin = F.struct(F.col("_state").alias("s"), F.array().cast(kind).alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        new = _step(acc["s"], x)
-        slim = F.struct(*[new[n].alias(n) for n in ("count", "ema", "emvar", "ema1", "ema2")])
-        return F.struct(slim.alias("s"), F.concat(acc["out"], F.array(new)).alias("out"))
-
-    folded = F.aggregate("r", begin, add, lambda acc: acc["out"])
-    each = rows.select(*keys, F.explode(F.arrays_zip("r", folded.alias("f"))).alias("x"))
-    return _results(each.select(*keys, "x.r.time", "x.r.event_id", "x.r.aqi", "x.f.*"))
+    rows = m.select(*keys, "time", "event_id", F.col("aqi").cast("double").alias("aqi"))
+    if start is not None:
+        rows = rows.join(start.select(*keys, F.struct(*STATE).alias("_state")), list(keys), "left")
+    kinds, goes_on = dict(rows.dtypes), start is not None
+    names = [*keys, "time", "event_id", "aqi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple = ()
+        for b, ranges in _over_keys(batches, keys):
+            values, out = b.column("aqi").to_pylist(), []
+            for lo, hi, new in ranges:
+                if new:
+                    before = b.column("_state")[lo].as_py() if goes_on else None
+                    now = tuple(before[n] for n in STATE) if before else (0, 0.0, 0.0, 0.0, 0.0)
+                for x in values[lo:hi]:
+                    if x is None:  # no reading: the state stands
+                        out.append((*now, None))
+                        continue
+                    got = _reading(now, x)
+                    now = got[:5]
+                    out.append(got)
+            cols = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), *[pa.float64()] * 5), strict=True)]], names=[*names, *STATE, "z"])
+
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + f", {STATION_STATE}, z double"
+    return _results(_in_order(rows, keys).mapInArrow(run, schema))
 
 
 def last_states(scored: DataFrame, keys: tuple[str, ...] = ("city", "state", "pollutant")) -> DataFrame:
@@ -80,14 +107,21 @@ def forecast_alerts(scored: DataFrame) -> DataFrame:
 
 def dedup_alerts(alerts: DataFrame, ttl_seconds: int = 3600, keys: tuple[str, ...] = ("city", "state", "pollutant", "category")) -> DataFrame:
     """Alerts that are sent: the first of a key, then each that comes ``ttl_seconds`` or more after the last one sent."""
-    rows = alerts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("time", "event_id", "aqi"))).alias("r"))
-    kind = dict(alerts.dtypes)
-    begin = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<time:{kind['time']},event_id:{kind['event_id']},aqi:{kind['aqi']}>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        at = F.unix_micros(x["time"].cast("timestamp"))
-        send = acc["last"].isNull() | (at - acc["last"] >= ttl_seconds * 1_000_000)
-        return F.struct(F.when(send, at).otherwise(acc["last"]).alias("last"), F.when(send, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
-
-    sent = F.aggregate("r", begin, add, lambda acc: acc["out"])
-    return rows.select(*keys, F.explode(sent).alias("x")).select(*keys, "x.*")
+    names = [*keys, "time", "event_id", "aqi"]
+    rows = alerts.select(*names, F.unix_micros(F.col("time").cast("timestamp")).alias("_at"))
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: int | None = None
+        for b, ranges in _over_keys(batches, keys):
+            at, keep = b.column("_at").to_pylist(), []
+            for lo, hi, new in ranges:
+                if new:
+                    sent = None
+                for i in range(lo, hi):
+                    if at[i] is not None and (sent is None or at[i] - sent >= ttl_seconds * 1_000_000):
+                        sent = at[i]
+                        keep.append(i)
+            yield b.select(names).take(pa.array(keep, pa.int64()))
+
+    return _in_order(rows, keys).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))

@@ -312,10 +312,7 @@ def pivot_models(spark, sf_dir):
     return plain(aggregate.pivot_models(series.walk_forward(fx.series(spark, sf_dir), F.lit(CUTOFF).cast("timestamp")), ["lag_1", "lag_24"]))
 
 
-_SITES = ["CA-0", "NY-0", "TX-0"]
-
-
-@query(f"""{_SERIES} SELECT {sql_stamp('"timestamp"')} AS "timestamp", {", ".join(f"""round(avg(PM25) FILTER (SiteID = '{s}'), 6) AS "{s}" """ for s in _SITES)} FROM series WHERE SiteID IN ('CA-0', 'NY-0', 'TX-0') GROUP BY series."timestamp" """)
+@query(f"""{_SERIES} SELECT * FROM (PIVOT (SELECT {sql_stamp('"timestamp"')} AS "timestamp", SiteID, PM25 FROM series) ON SiteID USING round(avg(PM25), 6) GROUP BY "timestamp")""")
 def pivot_sensors(spark, sf_dir):
     s = fx.series(spark, sf_dir)
     sites = sorted(r["SiteID"] for r in s.select("SiteID").distinct().collect())  # these become the columns

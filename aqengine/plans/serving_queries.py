@@ -111,7 +111,7 @@ def nearest_averages(spark, sf_dir):
     return plain(joins.nearest(newest, fx.city_location(spark, sf_dir), LON, LAT).select("city", "state", "pollutant", "aqi", "distance"))
 
 
-@query(f"""{_SUBS}, {_LATEST}, u AS (SELECT id, CASE WHEN id % 10 <> 0 THEN longitude END AS ulon, CASE WHEN id % 10 <> 0 THEN latitude END AS ulat FROM subscribers WHERE id % 7 = 0),
+@query(f"""{_SUBS}, {_LATEST}, u AS (SELECT id, CASE WHEN id % 10 <> 0 THEN longitude END AS ulon, CASE WHEN id % 10 <> 0 THEN latitude END AS ulat FROM subscribers),
 near AS (
   SELECT id, city, state, pollutant, aqi, {_planar("ulon", "ulat")} AS distance FROM u, latest JOIN city_location USING (city, state) WHERE ulon IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, city, state, pollutant) <= 5

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions.aqi import aqi_band
+from ..interim import shared_path
 from ..operators import windows as batch_windows
 from ..streaming import state, windows
 from .air_queries import _average_sql, _maximum_sql, plain
@@ -19,8 +17,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_path(spark, "stream")
 
 
 def _events_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:

@@ -24,6 +24,6 @@ SERIES = "SiteID string, timestamp timestamp, PM25 double"
 POLLUTANTS = ("O3", "PM2.5", "PM10")
 PARAMETERS = ("OZONE", "PM2.5", "PM10")
 STATE_CODES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC "
-    "SD TN TX UT VT VA WA WV WI WY DC PR VI GU AS MP"
-).split()
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH",
+    "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "PR", "VI", "GU", "AS", "MP",
+)

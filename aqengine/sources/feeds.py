@@ -69,5 +69,5 @@ def load_city_locations(spark: SparkSession, path: str, known: DataFrame | None
 
 
 def load_states(spark: SparkSession, path: str) -> DataFrame:
-    """state, state_name, multipolygon (as text) from CSV with a header."""
-    return spark.read.csv(path, header=True, schema="state string, state_name string, multipolygon string")
+    """state, state_name, multipolygon (as text) from CSV with a header; quotes in quoted values are doubled."""
+    return spark.read.csv(path, header=True, escape='"', schema="state string, state_name string, multipolygon string")

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..interim import removed
 from ..operators.joins import latest_per_key
 from ..operators.parse import branch, high
 
 LATEST_KEY = ["state", "city", "pollutant"]
+#: Versions of a latest-value table that stay.
+KEPT = 3
 #: An archive file's rows at most.
 ROTATE = 10_000
 
@@ -47,10 +50,12 @@ def read_latest(spark: SparkSession, path: str, before: int | None = None) -> Da
 
 def upsert_latest(m: DataFrame, path: str, version: int, keys: list[str] = LATEST_KEY, time: str = "time", ties: tuple[str, ...] = ()) -> None:
     """Merges rows into a table of the latest row for each key. Each version is a folder of its own, so a failed write leaves the last one
-    as it was and a repeated one replaces itself."""
+    as it was and a repeated one replaces itself; the newest KEPT stay."""
     old = read_latest(m.sparkSession, path, before=version)
     rows = m if old is None else m.unionByName(old, allowMissingColumns=True)
     latest_per_key(rows, keys, time, *ties).write.mode("overwrite").parquet(f"{path}/v={version}")
+    for old_path in _versions(m.sparkSession, path)[:-KEPT]:
+        removed(m.sparkSession, old_path)
 
 
 def append_aggregate(df: DataFrame, path: str, name: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -83,13 +88,14 @@ def fan_out(batch: DataFrame, version: int, path: str) -> None:
 
 
 def append_alerts(batch: DataFrame, version: int, path: str, keys: tuple[str, ...] = ("time", "city", "state", "pollutant")) -> None:
-    """Alerts whose key isn't stored yet, stamped with the time of writing."""
-    spark = batch.sparkSession
+    """Alerts whose key isn't stored yet, stamped with the time of writing. They lie by batch and date of the first key, and only the batch's dates are read."""
+    spark, day = batch.sparkSession, F.to_date(keys[0])
     new = batch.dropDuplicates(list(keys))
-    if _exists(spark, path):
-        stored = spark.read.parquet(path)
-        new = new.join(stored.filter(F.col("batch") != version).select(*keys), list(keys), "left_anti")
-    stamped(new).write.mode("overwrite").parquet(f"{path}/batch={version}")
+    first, last = batch.agg(F.min(day), F.max(day)).first()
+    if first and _exists(spark, path):
+        stored = spark.read.parquet(path).filter((F.col("batch") != version) & F.col("date").between(first, last))
+        new = new.join(stored.select(*keys), list(keys), "left_anti")
+    stamped(new).withColumn("date", day).write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={version}")
 
 
 def stamped(df: DataFrame) -> DataFrame:
