@@ -1,41 +1,19 @@
-"""What the operators of this folder share: the cluster's shared folder, written tables, components of a graph."""
+"""What the operators of this folder share: words, batches, components of a graph."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word, as every contract here has it: a run of anything but space, tab, LF, VT, FF and CR.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from ..interim import dropped, shared_dir, shared_path, written
 
+__all__ = ["WORD", "batches", "components", "dropped", "shared_dir", "shared_path", "utf8", "written"]
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: cuts the lineage, and a lost executor costs nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word, as every contract here has it: a run of anything but space, tab, LF, VT, FF and CR.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
@@ -71,7 +49,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).distinct()
-        edges, before = written(small, "edges"), now
+        old, (edges, before) = edges, (written(small, "edges"), now)
+        dropped(old)
+        dropped(large)
         now = sign(edges)
         if now == before:
             break

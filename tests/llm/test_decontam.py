@@ -88,3 +88,22 @@ def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "_blocks", lambda b: blocks(b, 3))
     assert {(g.doc_id, g.item_id) for g in decontam.contaminated(frame(spark, rows), bench).collect()} == {(i, i % 10) for i in range(20)}
     assert decontam.decontaminated(frame(spark, rows), bench).count() == 0
+
+
+def test_blocks_change_no_result(spark, monkeypatch):
+    shared = words(900, 12)
+    items = [(i, words(i + 500, 14) + " " + shared) for i in range(12)]
+    rows = []
+    for i in range(60):
+        t = items[i % 12][1].split()
+        for j in range(1 + i // 12):
+            t[(5 * j + i) % len(t)] = "changed"
+        rows.append((i, words(i, 30) + " " + " ".join(t) + " " + words(i + 70, 30), "en", "s", 0, 0.0, 0, 0, 0, 0, ""))
+    bench = spark.createDataFrame([(*x, 1, "x") for x in items], ITEMS)
+    found = lambda: sorted((g.doc_id, g.item_id, round(g.similarity, 12), g.first_word) for g in decontam.contaminated(frame(spark, rows), bench, 0.5).collect())
+    want = found()
+    assert {(d, i) for d, i, *_ in want} == brute(rows, items, 0.5) and any(0.5 < s < 0.9 for _, _, s, _ in want)
+    blocks = decontam._blocks
+    for size in (1, 5):
+        monkeypatch.setattr(decontam, "_blocks", lambda b, size=size: blocks(b, size))
+        assert found() == want
