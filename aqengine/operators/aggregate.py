@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import norm_parameter
+from ..interim import dropped, written
 
 #: Values that are sorted at the driver at most.
 FEW = 50_000
@@ -90,7 +91,7 @@ def percentiles(df: DataFrame, col: str, shares: list[float], few: int = FEW) ->
     An approximate quantile brackets each rank, and brackets are narrowed until at most ``few`` values, or equal ones alone, are left; only these are sorted
     at the driver. So no task holds all distinct values, and the passes grow with the logarithm of the rows.
     """
-    v = df.select(F.col(col).cast("double").alias("v")).filter("v is not null")
+    v = written(df.select(F.col(col).cast("double").alias("v")).filter("v is not null"), "values")
     n = v.count()
 
     def at(rank: int) -> float:
@@ -116,7 +117,9 @@ def percentiles(df: DataFrame, col: str, shares: list[float], few: int = FEW) ->
         a = at(low)
         return a if place == low else a + (place - low) * (at(low + 1) - a)
 
-    return [one(s) if n else None for s in shares]
+    out = [one(s) if n else None for s in shares]
+    dropped(v)
+    return out
 
 
 def quartiles(df: DataFrame, col: str, error: float | None = None) -> DataFrame:

@@ -64,3 +64,40 @@ def test_sweeps_and_boosted_trees_take_the_survey_s_settings(spark, sf_dir, monk
     registry.QUERIES["dbscan_sweep"](spark, sf_dir)
     assert sorted(sweeps) == [0.5, 1.0, 1.5, 2.0]
     assert sorted(r.k for r in registry.QUERIES["cluster_sweep"](spark, sf_dir).collect()) == [2, 3, 4, 5, 6]
+
+
+def test_percentiles_by_narrowing(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from aqengine.operators import aggregate
+
+    r = random.Random(0)
+    monkeypatch.setattr(aggregate, "FEW", 50)
+    for values in ([r.gauss(0, 1) for _ in range(3000)], [r.randrange(3) for _ in range(3000)], [7.0] * 500, [1.0], [1.0] * 400 + [2.0] * 400):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        shares = [0.0, 0.25, 0.5, 0.75, 1.0]
+        assert np.allclose(aggregate.percentiles(df, "x", shares, 50), np.percentile(values, [100 * s for s in shares]))
+    assert aggregate.percentiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
+    assert aggregate.quartiles(spark.range(1001).select(F.col("id").alias("x")), "x").first().q3 == 750
+
+
+def test_far_users_meet_their_nearest_cities(spark, monkeypatch):
+    import random
+
+    from aqengine.operators import joins
+
+    r = random.Random(1)
+    cities = [(f"c{i}", "S", r.uniform(-180, 180), r.uniform(-90, 90)) for i in range(40)]
+    loc = spark.createDataFrame(cities, "city string, state string, longitude double, latitude double")
+    users = spark.createDataFrame([(i, r.uniform(-180, 180), r.uniform(-90, 90)) for i in range(60)], "id long, longitude double, latitude double")
+    rows = spark.createDataFrame([(c, s, "O3", i) for i, (c, s, _, _) in enumerate(cities)], "city string, state string, pollutant string, time int")
+    for k in (3, 50):
+        got = {}
+        for x in joins.nearest_for_users(rows, loc, users, k).collect():
+            got.setdefault(x.id, []).append((x["rank"], x.city))
+        for u in users.collect():
+            want = sorted((((u.longitude - lon) ** 2 + (u.latitude - lat) ** 2) ** 0.5, c) for c, _, lon, lat in cities)[:k]
+            assert [c for _, c in sorted(got[u.id])] == [c for _, c in want]
