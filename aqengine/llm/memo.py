@@ -22,6 +22,18 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return upto[last] - upto[last - sizes]
 
 
+def flat_binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other; sizes in bytes."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def flat_bytes(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.uint8)
+
+
 def gathered(it: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[list[pa.Array]]:
     """The columns of several batches at once, with some ``size`` bytes of the column ``text``."""
     held, n = [], 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, shared_path
-from .memo import Memo, gathered, places
+from .memo import Memo, flat_binary, flat_bytes, gathered, places
 
 #: White space other than the space and the line feed, by the tokenizer's pattern.
 _OTHER = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -203,18 +203,6 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return unpack_all(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), np.array([n]))
 
 
-def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Binary values that lie one after the other; sizes in bytes."""
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
-
-
-def _bytes(column: pa.Array) -> np.ndarray:
-    """All bytes of a binary column without nulls."""
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.uint8)
-
-
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0) -> None:
     """Encodes every text of ``docs``, each followed by ``end_id``, into files of the format above at ``path``.
 
@@ -241,7 +229,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
             total, c = (total, c) if len(total) >= len(c) else (c, total)
             total[: len(c)] += c
             narrow = every.astype("<u2") if len(total) <= 1 << 16 else every.astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), ids_col, pa.array(n), pa.array(upto - n), _binary(narrow.view(np.uint8), n * narrow.itemsize), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), ids_col, pa.array(n), pa.array(upto - n), flat_binary(narrow.view(np.uint8), n * narrow.itemsize), pa.nulls(len(n), pa.binary())], names=names)
         if len(total):  # and a row with how often each id was met
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.nulls(1, ids_col.type), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
@@ -269,7 +257,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         for b in it:
             if not b.num_rows:
                 continue
-            n, ids = b.column("n_tokens").to_numpy(), _bytes(b.column("ids"))
+            n, ids = b.column("n_tokens").to_numpy(), flat_bytes(b.column("ids"))
             if len(ids) == 2 * n.sum():
                 values = ids.view("<u2")
             elif len(ids) == 4 * n.sum():
@@ -278,7 +266,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
                 values = np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4").astype("<u4") for x, k in zip(b.column("ids").to_pylist(), n.tolist(), strict=True)])
             control, data, controls, datas = pack_all(rank_of[values], n)
             start = np.array([before[s] for s in b.column("shard").to_pylist()], np.int64) + b.column("at").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), pa.array(start), b.column("n_tokens"), _binary(control, controls), _binary(data, datas)], names=["shard", "doc_id", "start", "n_tokens", "control", "data"])
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), pa.array(start), b.column("n_tokens"), flat_binary(control, controls), flat_binary(data, datas)], names=["shard", "doc_id", "start", "n_tokens", "control", "data"])
 
     out = batches(own, store, f"shard int, doc_id {kind}, start long, n_tokens long, control binary, data binary")
     out.sortWithinPartitions("shard", "start").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").partitionBy("shard").parquet(f"{path}/ids")
@@ -294,7 +282,7 @@ def read_ids(spark: SparkSession, path: str, doc_id: str = "long", texts: bool =
             if not b.num_rows:
                 continue
             n = b.column("n_tokens").to_numpy()
-            ids = id_of[unpack_all(_bytes(b.column("control")), _bytes(b.column("data")), n)].astype("<u4")
+            ids = id_of[unpack_all(flat_bytes(b.column("control")), flat_bytes(b.column("data")), n)].astype("<u4")
             line, ends = memoryview(ids.tobytes()), 4 * np.concatenate([[0], np.cumsum(n)])
             crcs = [zlib.crc32(line[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             cols = [b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64())]
