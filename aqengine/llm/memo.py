@@ -40,7 +40,7 @@ def gathered(it: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[lis
     for b in it:
         if b.num_rows:
             held.append(b)
-            n += b.column(text).nbytes
+            n += b.column(text % b.num_columns).nbytes
         if n >= size:
             yield [pa.concat_arrays([x.column(i) for x in held]) for i in range(held[0].num_columns)]
             held, n = [], 0

@@ -24,9 +24,11 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held = langid.held_out(5, 1)
-    learned = docs.filter(~held)
-    counts = written(lm.word_counts(learned), "counts")
-    return lm.score(docs, lm.fit(learned, counts), counts, {"held_out": held})
+    counts = written(lm.word_counts(docs.filter(~held)), "counts")
+    model = lm.vocabulary(counts)
+    texts = lm.encoded(docs, model, {"held_out": held})
+    model.net = lm.learned(texts.filter("not held_out"), model)
+    return lm.scored(texts, model, counts, ("held_out",))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
