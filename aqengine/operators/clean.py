@@ -44,6 +44,13 @@ def plausible(a: DataFrame, bounds: dict[str, float] = BOUNDS) -> DataFrame:
     return a.filter(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v <= F.try_element_at(bound, F.col("Parameter"))) & F.col("timestamp").isNotNull())
 
 
+def sliced(a: DataFrame, **values) -> DataFrame:
+    """Rows whose columns have the given values (a list: any of them); the filters reach the scan."""
+    for column, v in values.items():
+        a = a.filter(F.col(column).isin(*v) if isinstance(v, list | tuple) else F.col(column) == v)
+    return a
+
+
 def clean(a: DataFrame) -> DataFrame:
     """The whole job: known states and parameters, no repeated rows, numbers, plausible values, fixed columns."""
     return plausible(numeric(deduplicated(known_parameters(known_states(a))))).select(*COLUMNS)

@@ -109,6 +109,28 @@ def forecast_linear(spark, sf_dir):
     return plain(forecast.forecast_linear(fx.series(spark, sf_dir), _cutoff()))
 
 
+_USABLE = f"""{_SERIES}, l AS (SELECT SiteID, "timestamp" AS t, PM25, lag(PM25, 24) OVER (PARTITION BY SiteID ORDER BY series."timestamp") AS far, count(*) OVER (PARTITION BY SiteID) AS n FROM series),
+usable AS (SELECT SiteID, t, PM25, count(*) FILTER (t < TIMESTAMP '{CUTOFF}') OVER (PARTITION BY SiteID) AS train, count(*) FILTER (t >= TIMESTAMP '{CUTOFF}') OVER (PARTITION BY SiteID) AS test FROM l WHERE far IS NOT NULL AND n >= 200
+  QUALIFY train >= 150 AND test > 0)"""
+
+
+@query(f"""{_USABLE} SELECT SiteID, count(*) FILTER (t < TIMESTAMP '{CUTOFF}') AS train, count(*) FILTER (t >= TIMESTAMP '{CUTOFF}') AS test, 1::BIGINT AS next, true AS centred, true AS orthogonal FROM usable GROUP BY SiteID""")
+def forecast_linear_fit(spark, sf_dir):
+    """Each site's rows by kind, the next one included; and what least squares promise of the training residuals: a sum of nothing, and none with a lag."""
+    s = fx.series(spark, sf_dir)
+    rows = forecast.forecast_linear(s, _cutoff()).join(series.add_lags(s, (1,)).select("SiteID", "timestamp", "lag_1"), ["SiteID", "timestamp"], "left")
+    n = lambda kind: F.count_if(F.col("Forecast_Type") == kind)
+    rest = F.when(F.col("Forecast_Type") == "Train", F.col("Actual_PM25") - F.col("Predicted_PM25"))
+    return rows.groupBy("SiteID").agg(n("Train").alias("train"), n("Test").alias("test"), n("Next").alias("next"), (F.abs(F.avg(rest)) < 1e-6).alias("centred"), (F.abs(F.avg(rest * F.col("lag_1"))) < 1e-4).alias("orthogonal"))
+
+
+@query(f"""{_USABLE}, d AS (SELECT *, row_number() OVER (PARTITION BY SiteID ORDER BY t DESC) AS r FROM usable)
+SELECT SiteID, strftime(max(t) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "timestamp", round(max(PM25) FILTER (r = 1), 6) AS lag_1, round(max(PM25) FILTER (r = 2), 6) AS lag_2, round(max(PM25) FILTER (r = 3), 6) AS lag_3, round(max(PM25) FILTER (r = 24), 6) AS lag_24 FROM d GROUP BY SiteID""")
+def forecast_next_rows(spark, sf_dir):
+    f, xs = forecast.features(fx.series(spark, sf_dir))
+    return plain(forecast.next_rows(forecast.usable(f, xs, _cutoff(), "hourly")).select("SiteID", "timestamp", "lag_1", "lag_2", "lag_3", "lag_24"))
+
+
 @query()
 def forecast_linear_metrics(spark, sf_dir):
     return aggregate.forecast_metrics(forecast.forecast_linear(fx.series(spark, sf_dir), _cutoff()))

@@ -181,6 +181,11 @@ def cleaned_rows(spark, sf_dir):
     return plain(clean.clean(fx.archive(spark, sf_dir)).drop("CountyName", "ReportingAreaName", "Latitude", "Longitude"))
 
 
+@query(f"""{_CLEANED} SELECT SiteID, {sql_stamp('"timestamp"')} AS "timestamp", StateCode, round(Value, 6) AS Value FROM cleaned WHERE Parameter = 'OZONE' AND StateCode IN ('CA', 'NY')""")
+def archive_slice(spark, sf_dir):
+    return plain(clean.sliced(_cleaned(spark, sf_dir), Parameter="OZONE", StateCode=["CA", "NY"]).select("SiteID", "timestamp", "StateCode", "Value"))
+
+
 _WIDE = f"""{_CLEANED}, wide AS (SELECT SiteID, "timestamp", max(Value) FILTER (Parameter = 'OZONE') AS OZONE, max(Value) FILTER (Parameter = 'PM10') AS PM10, max(Value) FILTER (Parameter = 'PM2.5') AS PM2_5 FROM cleaned GROUP BY ALL)"""
 
 
