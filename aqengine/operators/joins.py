@@ -64,7 +64,8 @@ def alert_recipients(alerts: DataFrame, loc: DataFrame, subs: DataFrame, radius_
     around = subs.filter("active").withColumn("cell_row", F.explode(F.sequence(row - 1, row + 1))).withColumn("cell_col", F.explode(F.sequence(column - span, column + span)))
     pairs = around.join(cities, ["cell_row", "cell_col"]).filter(F.abs(F.col("latitude") - F.col("c_lat")) <= 1.01 * radius_m / DEGREE)
     d = geo_distance_m(F.col("longitude"), F.col("latitude"), F.col("c_lon"), F.col("c_lat"))
-    pairs = pairs.select("id", "email", "city", "state", F.explode(F.array(d)).alias("distance_m"))  # a generator, so that the filter doesn't repeat the formula
+    # A generator behind the formula, so that the filter doesn't repeat it.
+    pairs = pairs.select("id", "email", "city", "state", d.alias("_d")).select("id", "email", "city", "state", F.explode(F.array("_d")).alias("distance_m"))
     return alerts.join(pairs.filter(F.col("distance_m") <= radius_m), ["city", "state"])
 
 
