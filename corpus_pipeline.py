@@ -14,28 +14,44 @@ from aqengine.llm.common import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; what it rejects (no letters, or unlike all learned languages) goes."""
+    """Documents whose language is recognised; what it rejects (null or without letters, or unlike all learned languages) goes.
+
+    Null languages are not learned from; repeated rows share one fate; an empty table, or one without languages to learn, gives an empty result.
+    """
     packed = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     return langid.predict(packed, langid.fit(docs), ("_doc",)).filter("not rejected").select("_doc.*")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest doc_id, of each group of near-duplicates."""
+    """One document, with the smallest doc_id, of each group of near-duplicates.
+
+    Null and empty texts are alike; rows with a null doc_id come last in their group; of repeated rows one stays; an empty table gives an empty result.
+    """
     return simhash.one_of_each(docs)
 
 
 def no_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null texts hold none and stay, as do rows with a null doc_id; repeated rows share one fate; an empty table or benchmark changes nothing.
+    """
     return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    Null sources are one source; null and empty texts go along with whole repetitions of their source; repeated rows are taken each for itself; an empty table gives an
+    empty result.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the token files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the token files.
+
+    Null texts have the end id alone; null doc_ids come first; repeated rows follow one another; an empty table gives an empty result.
+    """
     return tokens.round_trip(docs)
 
 
