@@ -193,7 +193,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Boosted:
     """Trees and thresholds from at most ``sample`` documents (whole texts), chosen by a hash; see ``training_rows``.
 
     Every third document calibrates: a kind's threshold is the lowest at which PRECISION of its candidates there are right;
-    a kind with fewer than 20 right ones adds nothing.
+    a kind with fewer than 20 right ones adds nothing. Null texts are left out; ties of the hash go by text; repeated rows count each; without candidates, as in an empty
+    table, no kind adds anything.
     """
     n = docs.count()
     h = F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1_000_000))
