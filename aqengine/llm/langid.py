@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-#: Letters alone: of what counts as part of a word, no digits, and no number signs (fractions, superscripts, numbers in circles).
-_SIGNS = "".join(chr(c) for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 5
 #: Whole texts that are learned from, for each language at most.
 TEXTS = 400
@@ -27,6 +25,14 @@ KEPT, LONGEST = 300_000, 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case. Number signs (fractions, superscripts, numbers in circles), which the pattern lets through, are none."""
+    found = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join([c if c.isalpha() else " " for c in w]).split())]
+
+
 def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """A hash of the n codes that end at each position; meaningless for the first n - 1."""
     h = np.full(len(codes), n, np.uint64)
@@ -154,7 +160,7 @@ class Scorer:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages): negative log probability for each letter or word end; and how many of these there are."""
-        found = [LETTERS.findall(t.lower()) for t in texts]
+        found = [letters(t) for t in texts]
         new = list({w for ws in found for w in ws}.difference(self.place))
         if len(self.place) + len(new) > KEPT:
             self.place, self.table = {}, self.table[:0]
@@ -190,7 +196,7 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> Model:
     of medians, so a few odd or mislabelled texts don't move it.
     """
     rows = sorted((r["lang"], r["text"]) for r in learned_sample(docs, texts).collect())
-    words = [Counter(LETTERS.findall(t.lower())) for _, t in rows]
+    words = [Counter(letters(t)) for _, t in rows]
 
     def counts(pick) -> dict[str, Counter]:
         out: dict[str, Counter] = {}
