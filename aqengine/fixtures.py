@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.aqi import aqi_band, aqi_to_concentration
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-STATES = "CANYTXFLWAORAZNVCOUT"
+STATES = ("CA", "NY", "TX", "FL", "WA", "OR", "AZ", "NV", "CO", "UT")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _station(n: Column) -> tuple[Column, Column]:
     letter = lambda i: F.substring(F.lit(LETTERS), (i + 1).cast("int"), F.lit(1))
-    return F.concat(F.lit("City "), letter(n % 26), letter(F.floor(n / 26))), F.substring(F.lit(STATES), (2 * (n % 10) + 1).cast("int"), F.lit(2))
+    return F.concat(F.lit("City "), letter(n % 26), letter(F.floor(n / 26))), F.element_at(F.array(*map(F.lit, STATES)), (n % 10 + 1).cast("int"))
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_station(n: str) -> str:
-    return f"concat('City ', substr('{LETTERS}', CAST(({n}) % 26 + 1 AS INT), 1), substr('{LETTERS}', CAST(floor(({n}) / 26) + 1 AS INT), 1)) AS city, substr('{STATES}', CAST(2 * (({n}) % 10) + 1 AS INT), 2) AS state"
+    return f"concat('City ', substr('{LETTERS}', CAST(({n}) % 26 + 1 AS INT), 1), substr('{LETTERS}', CAST(floor(({n}) / 26) + 1 AS INT), 1)) AS city, {list(STATES)}[CAST(({n}) % 10 + 1 AS INT)] AS state"
 
 
 #: The same views in DuckDB's SQL; each may use those before it.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import daily_mean
-from .series import DAILY, HOURLY, add_lags, calendar
+from .series import DAILY, HOURLY, add_lags, calendar, split_tag
 
 #: Least rows of a site, and of its training part.
 LEAST = {"daily": (50, 30), "hourly": (200, 150)}
@@ -32,7 +32,7 @@ def features(s: DataFrame, grain: str = "hourly") -> tuple[DataFrame, list[str]]
 def usable(f: DataFrame, xs: list[str], cutoff: Column, grain: str) -> DataFrame:
     """Complete rows of sites with enough rows, tagged Train or Test by the cutoff."""
     least, least_train = LEAST[grain]
-    f = f.filter(F.col("_rows") >= least).na.drop(subset=[*xs, "PM25"]).withColumn("Forecast_Type", F.when(F.col("timestamp") < cutoff, "Train").otherwise("Test"))
+    f = f.filter(F.col("_rows") >= least).na.drop(subset=[*xs, "PM25"]).withColumn("Forecast_Type", split_tag(cutoff))
     w = Window.partitionBy("SiteID")
     n = lambda t: F.count_if(F.col("Forecast_Type") == t).over(w)
     return f.withColumn("_train", n("Train")).withColumn("_test", n("Test")).filter((F.col("_train") >= least_train) & (F.col("_test") > 0)).drop("_train", "_test", "_rows")

@@ -4,20 +4,8 @@ from __future__ import annotations
 
 ENVELOPE = "payload struct<content: string>"
 MEASUREMENT = "time timestamp, city string, state string, pollutant string, aqi int, concentration double, category string"
-AVERAGE_CITY = "time_start timestamp, time_end timestamp, city string, state string, pollutant string, aqi double"
-AVERAGE_STATE = "time_start timestamp, time_end timestamp, state string, pollutant string, aqi double"
-MAXIMUM_CITY = "time_start timestamp, time_end timestamp, city string, state string, pollutant string, aqi int"
-MAXIMUM_STATE = "time_start timestamp, time_end timestamp, state string, pollutant string, aqi int"
 STATION_STATE = "count long, ema double, emvar double, ema1 double, ema2 double"
-ALERT = "time timestamp, city string, state string, pollutant string, aqi int"
-ARCHIVE = (
-    "timestamp timestamp, Date string, Time string, SiteID string, SiteName string, StateCode string, CountyName string, "
-    "ReportingAreaName string, Latitude double, Longitude double, Parameter string, Value string, Unit string, AgencyName string"
-)
-FORECAST = "SiteID string, timestamp timestamp, Model_Name string, Actual_PM25 double, Predicted_PM25 double, Forecast_Type string"
-CITY_LOCATION = "city string, state string, longitude double, latitude double"
 STATE_LOCATION = "state string, state_name string, multipolygon string"
-SUBSCRIBER = "id long, email string, longitude double, latitude double, active boolean"
 SERIES = "SiteID string, timestamp timestamp, PM25 double"
 
 # Fixed values.

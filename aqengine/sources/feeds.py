@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.parse import decode
-from ..schemas import MEASUREMENT
+from ..schemas import MEASUREMENT, SERIES, STATE_LOCATION
 
 
 def read_feed(spark: SparkSession, at: str, servers: str | None = None, latest: bool = False) -> DataFrame:
@@ -48,7 +48,7 @@ def between(archive: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def read_series_csv(spark: SparkSession, path: str, time: str = "timestamp") -> DataFrame:
     """SiteID, timestamp, PM25 from CSV with a header."""
-    raw = spark.read.csv(path, header=True, schema=f"SiteID string, {time} string, PM25 double", enforceSchema=False)
+    raw = spark.read.csv(path, header=True, schema=SERIES.replace("timestamp timestamp", f"{time} string"), enforceSchema=False)
     return raw.select("SiteID", F.try_to_timestamp(F.col(time)).alias("timestamp"), "PM25")
 
 
@@ -70,4 +70,4 @@ def load_city_locations(spark: SparkSession, path: str, known: DataFrame | None
 
 def load_states(spark: SparkSession, path: str) -> DataFrame:
     """state, state_name, multipolygon (as text) from CSV with a header; quotes in quoted values are doubled."""
-    return spark.read.csv(path, header=True, escape='"', schema="state string, state_name string, multipolygon string")
+    return spark.read.csv(path, header=True, escape='"', schema=STATE_LOCATION)
