@@ -32,7 +32,7 @@ ODD = rf"^[ ]|[ \n]$|^{_OTHER}|{_OTHER}$|[ ][ \n]|\n[ ]|\n\n\n|[ \n]{_OTHER}|{_O
 PARTS = r"^(?P<stem>(?s:.*)[0-9A-Za-z\x{C0}-\x{24F}])(?P<marks>[.,;:!?|]+)$"
 LETTERS = r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+$"
 #: Pieces whose ids a worker keeps, the longest of them in bytes, and the bytes of texts that are encoded at a time.
-KEPT, LONGEST, GATHERED = 500_000, 64, 8 << 20
+KEPT, LONGEST, GATHERED = 250_000, 64, 4 << 20
 #: Bytes of pieces that the tokenizer gets at a time.
 CHUNK = 1 << 16
 
