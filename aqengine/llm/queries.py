@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, linededup, lm, mixing, pii, secrets, simhash, tokens
+from . import ann, decontam, langid, linededup, lm, mixing, pii, quality, secrets, simhash, tokens, trie, whiten
 from .common import written
 
 
@@ -63,7 +63,21 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_nearest_vectors, op3_lm_score, op4_line_dedup, op5_token_ids, op6_personal_data, op7_simhash, op8_language, op9_secrets, op10_benchmark_leaks)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _docs(spark, sf_dir), langid.held_out(4, 2)
+    model = quality.fit(docs.filter(~held), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held))
+    return quality.scored(docs.select("doc_id", "text", held.alias("held_out")), model, ("doc_id", "held_out"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_nearest_vectors, op3_lm_score, op4_line_dedup, op5_token_ids, op6_personal_data, op7_simhash, op8_language, op9_secrets, op10_benchmark_leaks, op11_conversation_trie, op12_whitening, op13_quality)}
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
@@ -155,4 +169,35 @@ SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
 FROM t LEFT JOIN every ON t.doc_id = every.doc_id GROUP BY t.doc_id"""
 
 
-ORACLES = {"op1_mix_sources": OP1, "op2_nearest_vectors": OP2, "op4_line_dedup": OP4, "op9_secrets": _op9()}
+OP11 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS head, max(i) AS n,
+    list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END) AS c
+  FROM t GROUP BY conv_id
+), plan AS (
+  SELECT o.conv_id, o.head, xor(o.c, 4294967295) % 9 AS h, least(xor(o.c, 4294967295) % 9, coalesce(g.n, 0)) AS k FROM own o LEFT JOIN own g ON g.conv_id = o.head
+), turns AS (
+  SELECT p.conv_id, t.i - p.h + p.k AS d, role, text FROM t JOIN plan p ON p.conv_id = t.conv_id WHERE t.i > p.h
+  UNION ALL SELECT p.conv_id, t.i, role, text FROM t JOIN plan p ON p.head = t.conv_id WHERE t.i <= p.k
+), members AS (
+  SELECT conv_id, d, strlen(text) AS bytes, string_agg(md5(role || chr(1) || text), '/') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM plan
+), ended AS (
+  SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last, lag(path) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM members
+), nodes AS (
+  SELECT path, d, any_value(up) AS up, min(conv_id) AS rep, count(*) AS n_convs, max(bytes) AS bytes, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM ended GROUP BY path, d
+), children AS (SELECT up AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up
+), below AS (
+  SELECT m.path, count(*) FILTER (c.path IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved_tokens
+  FROM nodes n JOIN members m ON m.conv_id = n.rep AND m.d <= n.d LEFT JOIN children c ON c.path = n.path GROUP BY m.path
+)
+SELECT n.rep AS conv_id, CAST(n.d AS BIGINT) AS depth, p.rep AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN children c ON c.path = n.path LEFT JOIN nodes p ON n.d > 0 AND p.path = n.up
+"""
+
+ORACLES = {"op1_mix_sources": OP1, "op2_nearest_vectors": OP2, "op4_line_dedup": OP4, "op9_secrets": _op9(), "op11_conversation_trie": OP11}
