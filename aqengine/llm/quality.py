@@ -129,9 +129,9 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[
     h = F.xxhash64(F.lit("quality"), "doc_id")
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("_good"))
     few = known.withColumn("_h", h).orderBy("_h", "doc_id").limit(most)  # a bounded number of rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy("_h", "doc_id", "text").limit(most)
     stats = statistics(F.col("text"))
-    table = rows.select("doc_id", "text", "_h", "_good", *[stats[s].alias(s) for s in STATISTICS]).orderBy("_h", "doc_id", "text").select("_good", *STATISTICS).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("_h", "doc_id", "_good", *[stats[s].alias(s) for s in STATISTICS])
+    table = rows.orderBy("_h", "doc_id", *STATISTICS).limit(most).select("_good", *STATISTICS).toPandas()
     return table[list(STATISTICS)].to_numpy(float), table["_good"].to_numpy(float)
 
 
