@@ -23,6 +23,12 @@ def pivot_sensors(a: DataFrame, sites: list[str], value: str = "PM25") -> DataFr
     return a.filter(F.col("SiteID").isin(*sites)).groupBy("timestamp").pivot("SiteID", sites).agg(F.avg(value))
 
 
+def sensors_by_time(a: DataFrame, value: str = "PM25") -> DataFrame:
+    """timestamp and a map of each sensor's mean: for more sensors than a table can have columns."""
+    means = a.groupBy("timestamp", "SiteID").agg(F.avg(value).alias("v"))
+    return means.groupBy("timestamp").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("SiteID", "v")))).alias("means"))
+
+
 def pivot_models(f: DataFrame, models: list[str]) -> DataFrame:
     """A column of predictions for each model."""
     return f.groupBy("SiteID", "timestamp", "Actual_PM25").pivot("Model_Name", models).agg(F.avg("Predicted_PM25"))

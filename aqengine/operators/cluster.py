@@ -32,6 +32,45 @@ def anomaly_features(wide: DataFrame, cols: list[str], weight: float = 0.2) -> D
     return df.withColumns(dict(zip(("hour_sin", "hour_cos"), cyclic(F.hour("timestamp"), 24, weight), strict=True)))
 
 
+def weighted_features(wide: DataFrame, cols: list[str], weight: float = 0.2, time: str = "timestamp") -> DataFrame:
+    """``wide`` with z_ columns (each column on a common scale, 0 where it never changes), hour_sin and hour_cos, and ``features`` of these. The hours aren't scaled, so their
+    weight says how little they count beside the levels."""
+    stats = wide.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("std", F.stddev))])  # one row
+    z = {f"z_{c}": F.coalesce(F.try_divide(F.col(c) - F.col(f"mean_{c}"), F.col(f"std_{c}")), F.lit(0.0)) for c in cols}
+    hours = dict(zip(("hour_sin", "hour_cos"), cyclic(F.hour(time), 24, weight), strict=True))
+    rows = wide.crossJoin(F.broadcast(stats)).withColumns(z | hours).drop(*stats.columns)
+    return VectorAssembler(inputCols=[*z, *hours], outputCol="features").transform(rows)
+
+
+def silhouettes(df: DataFrame, cols: list[str], cluster: str = "cluster") -> DataFrame:
+    """Each cluster's rows and mean silhouette under squared distances.
+
+    A row's mean squared distance to a cluster follows from the cluster's count, sums and sum of squares: one small table of clusters, one pass over rows, no pairs. A row alone in its
+    cluster has 0, as have all if there is one cluster only.
+    """
+    square = reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in cols])
+    of = df.groupBy(F.col(cluster).alias("_k")).agg(F.count("*").alias("_n"), F.sum(square).alias("_q"), *[F.sum(c).alias(f"_s_{c}") for c in cols])
+    table = of.agg(F.collect_list(F.struct("*")).alias("_of"))  # a row for each cluster, so few
+    apart = lambda k: square + k["_q"] / k["_n"] - 2 * reduce(lambda a, b: a + b, [F.col(c) * k[f"_s_{c}"] for c in cols]) / k["_n"]
+    own = F.filter("_of", lambda k: k["_k"] == F.col(cluster))[0]
+    others = F.array_min(F.transform(F.filter("_of", lambda k: k["_k"] != F.col(cluster)), apart))
+    inner = F.greatest(F.lit(0.0), apart(own)) * own["_n"] / (own["_n"] - 1)
+    s = F.when((own["_n"] > 1) & others.isNotNull(), F.coalesce(F.try_divide(others - inner, F.greatest(others, inner)), F.lit(0.0))).otherwise(0.0)
+    return df.crossJoin(F.broadcast(table)).select(F.col(cluster).alias("cluster"), s.alias("s")).groupBy("cluster").agg(F.count("*").alias("size"), F.avg("s").alias("silhouette"))
+
+
+def best_k(df: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5, 6, 7), seed: int = 42) -> int:
+    """The number of KMeans clusters with the largest silhouette, ties to the smaller."""
+    df = df.select("features").persist()
+    judge = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", metricName="silhouette")
+    scores = {}
+    for k in ks:
+        model = KMeans(featuresCol="features", k=k, seed=seed).fit(df)
+        scores[k] = judge.evaluate(model.transform(df)) if len(model.clusterCenters()) > 1 else -1.0
+    df.unpersist()
+    return max(ks, key=lambda k: (scores[k], -k))
+
+
 def sweep_clusters(df: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5, 6), seed: int = 42) -> DataFrame:
     """k, KMeans and GMM silhouettes, and which k is best for KMeans: a row for each k. ``df`` has features."""
     df = df.select("features").persist()

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..interim import dropped, written
 from .aggregate import daily_mean
 from .series import DAILY, HOURLY, add_lags, calendar, split_tag
 
@@ -45,8 +48,8 @@ def normal_equations(f: DataFrame, xs: list[str], y: str = "PM25", key: str = "S
     return f.groupBy(key).agg(F.array(*pairs).alias("xx"), F.array(*[F.sum(a * F.col(y)) for a in cols]).alias("xy"), F.count("*").alias("n"))
 
 
-def solve(sums: DataFrame, size: int, key: str = "SiteID") -> DataFrame:
-    """Coefficients of each site (intercept first): a small least-squares solution for each row."""
+def _solved(size: int):
+    """A small least-squares solution for each row of sums."""
 
     @F.pandas_udf("array<double>")
     def coefficients(xx: pd.Series, xy: pd.Series) -> pd.Series:
@@ -58,7 +61,12 @@ def solve(sums: DataFrame, size: int, key: str = "SiteID") -> DataFrame:
             out.append(np.linalg.lstsq(m + np.triu(m, 1).T, np.asarray(b, float), rcond=1e-10)[0])
         return pd.Series(out)
 
-    return sums.select(key, "n", coefficients("xx", "xy").alias("beta"))
+    return coefficients
+
+
+def solve(sums: DataFrame, size: int, key: str = "SiteID") -> DataFrame:
+    """Coefficients of each site (intercept first)."""
+    return sums.select(key, "n", _solved(size)("xx", "xy").alias("beta"))
 
 
 def predicted(xs: list[str]) -> Column:
@@ -113,11 +121,22 @@ def _assembled(df: DataFrame, xs: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=xs, outputCol="features").transform(df)
 
 
+#: Rows of a task's share of a table that is read again for each level of each tree.
+SHARE = 100_000
+
+
+def _sized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, and read in as many parts as its size needs: each level of each tree is a job over all of them."""
+    df = written(df, name)
+    return df.coalesce(max(1, -(-df.count() // SHARE)))
+
+
 def forecast_gbt(s: DataFrame, cutoff: Column, grain: str = "hourly", trees: int = 80, depth: int = 4, rate: float = 0.05, seed: int = 42) -> DataFrame:
     """Train, Test and Next rows under one model of boosted trees over all sites."""
     f, xs = features(s, grain)
     rows = usable(f, xs, cutoff, grain)
     cols = ["SiteID", "timestamp", "PM25", *xs, "Forecast_Type"]
+    rows = _sized(rows.select(*cols), "features")
     train = _assembled(rows.filter("Forecast_Type = 'Train'"), xs)
     if train.isEmpty():
         return s.sparkSession.createDataFrame([], "SiteID string, timestamp timestamp, Model_Name string, Actual_PM25 double, Predicted_PM25 double, Forecast_Type string")
@@ -126,19 +145,53 @@ def forecast_gbt(s: DataFrame, cutoff: Column, grain: str = "hourly", trees: int
     return _shaped(model.transform(_assembled(every, xs)), "BoostedTrees")
 
 
-def tune_gbt(s: DataFrame, cutoff: Column, grain: str = "hourly", draws: int = 3, folds: int = 3, seed: int = 42, grid: dict[str, list] | None = None) -> DataFrame:
-    """trees, depth, rate, rmse of random draws from a grid; each fold learns from the time before it."""
+def tune_gbt(s: DataFrame, cutoff: Column, grain: str = "hourly", draws: int = 3, folds: int = 3, seed: int = 42, grid: dict[str, list] | None = None, at_once: int = 8) -> DataFrame:
+    """trees, depth, rate, rmse of random draws from a grid; each fold learns from the time before it.
+
+    The features are computed and written once. The fits don't depend on one another, so ``at_once`` of them are Spark jobs of this session at the same time: while one waits
+    for its driver, others use the cluster. A fold without rows to learn from or to judge by counts for nothing.
+    """
     grid = grid or {"trees": [50, 100, 150], "depth": [3, 5, 7], "rate": [0.01, 0.05, 0.1]}
     f, xs = features(s, grain)
-    rows = _assembled(usable(f, xs, cutoff, grain).filter("Forecast_Type = 'Train'"), xs).select("timestamp", "PM25", "features")
-    ends = rows.select(F.unix_seconds("timestamp").cast("double").alias("t")).approxQuantile("t", [i / (folds + 1) for i in range(1, folds + 2)], 0.001)
+    rows = _sized(usable(f, xs, cutoff, grain).filter("Forecast_Type = 'Train'").select(F.unix_seconds("timestamp").cast("double").alias("t"), F.col("PM25").cast("double").alias("PM25"), *xs), "tuning")
+    ends = rows.approxQuantile("t", [i / (folds + 1) for i in range(1, folds + 2)], 0.001)
     picks = [list(product(*grid.values()))[i] for i in np.random.default_rng(seed).permutation(int(np.prod([len(v) for v in grid.values()])))[:draws]]
-    judge, out = RegressionEvaluator(labelCol="PM25", metricName="rmse"), []
-    for trees, depth, rate in picks:
-        scores = []
-        for i in range(folds):
-            t = F.unix_seconds("timestamp")
-            model = GBTRegressor(featuresCol="features", labelCol="PM25", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(rows.filter(t <= ends[i]))
-            scores.append(judge.evaluate(model.transform(rows.filter((t > ends[i]) & (t <= ends[i + 1])))))
-        out.append((trees, depth, float(rate), float(np.mean(scores))))
-    return s.sparkSession.createDataFrame(out, "trees int, depth int, rate double, rmse double")
+    vectors = _assembled(rows, xs).select("t", "PM25", "features")
+
+    @inheritable_thread_target(s.sparkSession)
+    def error(trees: int, depth: int, rate: float, i: int) -> float | None:
+        train, test = vectors.filter(F.col("t") <= ends[i]), vectors.filter((F.col("t") > ends[i]) & (F.col("t") <= ends[i + 1]))
+        if train.isEmpty() or test.isEmpty():
+            return None
+        model = GBTRegressor(featuresCol="features", labelCol="PM25", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(train)
+        return RegressionEvaluator(labelCol="PM25", metricName="rmse").evaluate(model.transform(test))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        fits = {(pick, i): pool.submit(error, *pick, i) for pick in picks for i in range(folds if ends else 0)}
+        errors = {k: fit.result() for k, fit in fits.items()}
+    mean = lambda pick: (lambda known: float(np.mean(known)) if known else None)([e for i in range(folds) if (e := errors.get((pick, i))) is not None])
+    dropped(rows)
+    return s.sparkSession.createDataFrame([(trees, depth, float(rate), mean((trees, depth, rate))) for trees, depth, rate in picks], "trees int, depth int, rate double, rmse double")
+
+
+def tuned_forecast(s: DataFrame, cutoff: Column, grain: str = "hourly", **how) -> DataFrame:
+    """Train, Test and Next rows under boosted trees with the settings that ``tune_gbt`` finds best (ties: fewer, flatter trees)."""
+    best = min((r for r in tune_gbt(s, cutoff, grain, **how).collect() if r["rmse"] is not None), key=lambda r: (r["rmse"], r["trees"], r["depth"]), default=None)
+    return forecast_gbt(s, cutoff, grain, **({"trees": best["trees"], "depth": best["depth"], "rate": best["rate"]} if best else {}))
+
+
+def walk_forward_fit(s: DataFrame, cutoff: Column, lags: tuple[int, ...] = (1,), least: int = 30) -> DataFrame:
+    """SiteID, timestamp, actual, beta (constant first), predicted of each row from the cutoff on: a linear model refitted on all the site's rows before it.
+
+    Sums of products run along each site's rows; a row's model is a small solution from the sums up to the row before it, whole batches of rows at once. Rows with fewer than ``least``
+    complete rows before them have none.
+    """
+    xs = [f"lag_{k}" for k in lags]
+    f = add_lags(s, lags).na.drop(subset=[*xs, "PM25"])
+    cols, size = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]], len(xs) + 1
+    before = Window.partitionBy("SiteID").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = [F.sum(a * b).over(before) for i, a in enumerate(cols) for b in cols[i:]]
+    sums = f.select("SiteID", "timestamp", F.col("PM25").alias("actual"), F.array(*cols).alias("_x"), F.array(*pairs).alias("xx"), F.array(*[F.sum(a * F.col("PM25")).over(before) for a in cols]).alias("xy"), F.count("*").over(before).alias("_n"))
+    sums = sums.filter((F.col("timestamp") >= cutoff) & (F.col("_n") >= least))
+    fitted = sums.select("SiteID", "timestamp", "actual", "_x", _solved(size)("xx", "xy").alias("beta"))
+    return fitted.select("SiteID", "timestamp", "actual", "beta", F.aggregate(F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("predicted"))

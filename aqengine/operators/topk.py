@@ -26,15 +26,12 @@ def ranked(few: DataFrame, order: list[Column]) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def retained_topk(readings: list[tuple[str, float]], k: int = 10) -> dict[str, float]:
-    """The list as it is kept when only k entries are remembered: a reading replaces its station's; past k the smallest goes for good."""
-    kept: dict[str, float] = {}
-    for name, aqi in readings:
-        kept.pop(name, None)
-        kept[name] = aqi
-        if len(kept) > k:
-            del kept[min(kept, key=lambda s: (kept[s], s))]
-    return kept
+def retain(kept: dict[str, float], name: str, aqi: float, k: int) -> None:
+    """Keeps a list of which only k entries are remembered: a reading replaces its station's; past k the smallest goes for good."""
+    kept.pop(name, None)
+    kept[name] = aqi
+    if len(kept) > k:
+        del kept[min(kept, key=lambda s: (kept[s], s))]
 
 
 def topk_rows(snapshots: DataFrame, limit: int = 0, entries: str = "topReadings") -> DataFrame:

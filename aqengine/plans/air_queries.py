@@ -312,12 +312,24 @@ def pivot_models(spark, sf_dir):
     return plain(aggregate.pivot_models(series.walk_forward(fx.series(spark, sf_dir), F.lit(CUTOFF).cast("timestamp")), ["lag_1", "lag_24"]))
 
 
-@query(f"""{_SERIES} SELECT * FROM (PIVOT (SELECT {sql_stamp('"timestamp"')} AS "timestamp", SiteID, PM25 FROM series) ON SiteID USING round(avg(PM25), 6) GROUP BY "timestamp")""")
+#: The sites of the given events: ten states by blocks of 150 users.
+SITES = [f"{x}-{i}" for x in sorted(fx.STATES) for i in range(7)]
+
+
+@query(f"""{_SERIES} SELECT {sql_stamp('"timestamp"')} AS "timestamp", {", ".join(f"""round(avg(PM25) FILTER (SiteID = '{x}'), 6) AS "{x}" """ for x in SITES)} FROM series GROUP BY series."timestamp" """)
 def pivot_sensors(spark, sf_dir):
-    s = fx.series(spark, sf_dir)
-    sites = sorted(r["SiteID"] for r in s.select("SiteID").distinct().collect())  # these become the columns
-    p = aggregate.pivot_sensors(s, sites)
-    return p.select(stamp("timestamp").alias("timestamp"), *[F.round(f"`{x}`", 6).alias(x) for x in sites])
+    """A column for each of the known sites; sites beyond them have no column (``sensors_by_time`` holds any number)."""
+    p = aggregate.pivot_sensors(fx.series(spark, sf_dir), SITES)
+    return p.select(stamp("timestamp").alias("timestamp"), *[F.round(f"`{x}`", 6).alias(x) for x in SITES])
+
+
+@query(f"""{_SERIES}, m AS (SELECT series."timestamp" AS t, SiteID, round(avg(PM25), 6) AS v FROM series GROUP BY ALL)
+SELECT {sql_stamp("t")} AS "timestamp", count(*) AS sites, string_agg(SiteID, ',' ORDER BY SiteID) AS names, round(sum(v), 4) AS total FROM m GROUP BY t""")
+def sensors_by_time(spark, sf_dir):
+    """Means of all sites at a time as a map, however many sites there are."""
+    m = aggregate.sensors_by_time(fx.series(spark, sf_dir))
+    total = F.aggregate(F.map_values("means"), F.lit(0.0), lambda a, x: a + F.round(x, 6))
+    return m.select(stamp("timestamp").alias("timestamp"), F.size("means").cast("long").alias("sites"), F.array_join(F.array_sort(F.map_keys("means")), ",").alias("names"), F.round(total, 4).alias("total"))
 
 
 @query(f"""{_SERIES}, f AS (SELECT SiteID, min(PM25) AS lo, max(PM25) AS hi FROM series GROUP BY SiteID)

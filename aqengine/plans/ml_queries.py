@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import aggregate, cluster, forecast, iforest, series
+from ..interim import written
+from ..operators import aggregate, clean, cluster, forecast, iforest, series
 from ..operators.topk import top_anomalies
 from .air_queries import _CLEANED, _SERIES, CUTOFF, _cleaned, plain
 
@@ -49,11 +50,46 @@ def sensor_clusters(spark, sf_dir):
     return cluster.final_clusters(_profiles(spark, sf_dir), 4).select("SiteID", "cluster", "PM25_mean", "OZONE_mean")
 
 
+def _readings(spark, sf_dir) -> DataFrame:
+    """Hourly levels by site, gaps filled with medians, as weighted features."""
+    wide = aggregate.pivot_pollutants(_cleaned(spark, sf_dir).withColumn("timestamp", F.date_trunc("hour", "timestamp")))
+    return cluster.weighted_features(clean.impute_median(wide, LEVELS), LEVELS)
+
+
+LEVELS = ["OZONE", "PM10", "PM2_5"]
+_WIDE = f"""{_CLEANED}, wide AS (
+  SELECT SiteID, date_trunc('hour', "timestamp") AS h, max(Value) FILTER (Parameter = 'OZONE') AS OZONE, max(Value) FILTER (Parameter = 'PM10') AS PM10, max(Value) FILTER (Parameter = 'PM2.5') AS PM2_5 FROM cleaned GROUP BY ALL
+), mid AS (SELECT median(OZONE) AS o, median(PM10) AS p, median(PM2_5) AS q FROM wide
+), filled AS (SELECT SiteID, h, coalesce(OZONE, o) AS OZONE, coalesce(PM10, p) AS PM10, coalesce(PM2_5, q) AS PM2_5 FROM wide, mid
+), scaled AS (
+  SELECT SiteID, h, (OZONE - avg(OZONE) OVER ()) / stddev_samp(OZONE) OVER () AS z_OZONE, (PM10 - avg(PM10) OVER ()) / stddev_samp(PM10) OVER () AS z_PM10, (PM2_5 - avg(PM2_5) OVER ()) / stddev_samp(PM2_5) OVER () AS z_PM2_5,
+    0.2::DOUBLE * sin(2 * pi() * hour(h) / 24) AS hour_sin, 0.2::DOUBLE * cos(2 * pi() * hour(h) / 24) AS hour_cos FROM filled
+)"""
+
+
+@query(f"""{_WIDE} SELECT SiteID, strftime(h, '%Y-%m-%d %H:%M:%S') AS "timestamp", {", ".join(f"floor({c} * 1000000 + 0.5000371::DOUBLE) / 1000000 AS {c}" for c in ("z_OZONE", "z_PM10", "z_PM2_5", "hour_sin", "hour_cos"))} FROM scaled""")
+def weighted_features(spark, sf_dir):
+    """Levels on a common scale, and hours that count a fifth."""
+    return plain(_readings(spark, sf_dir).select("SiteID", "timestamp", "z_OZONE", "z_PM10", "z_PM2_5", "hour_sin", "hour_cos"), steady=True)
+
+
+@query(f"""{_WIDE}, f AS (SELECT CASE WHEN z_PM2_5 > 0.5 THEN 2 WHEN z_OZONE > 0.5 THEN 1 ELSE 0 END AS cluster, [z_OZONE, z_PM10, z_PM2_5, hour_sin, hour_cos] AS x, row_number() OVER () AS i FROM scaled
+), m AS (SELECT cluster, count(*) AS n, sum(list_inner_product(x, x)) AS q, [sum(x[1]), sum(x[2]), sum(x[3]), sum(x[4]), sum(x[5])] AS s FROM f GROUP BY cluster
+), d AS (SELECT f.i, f.cluster, m.cluster AS other, m.n, list_inner_product(x, x) + m.q / m.n - 2 * list_inner_product(x, m.s) / m.n AS d FROM f, m
+), s AS (SELECT cluster, i, max(n) FILTER (cluster = other) AS n, max(d * n / (n - 1)) FILTER (cluster = other) AS a, min(d) FILTER (cluster <> other) AS b FROM d GROUP BY cluster, i)
+SELECT cluster, count(*) AS size, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s GROUP BY cluster""")
+def level_silhouettes(spark, sf_dir):
+    """How well three given bands of readings are apart: much fine dust, else much ozone, else the rest."""
+    band = F.when(F.col("z_PM2_5") > 0.5, 2).when(F.col("z_OZONE") > 0.5, 1).otherwise(0)
+    return plain(cluster.silhouettes(_readings(spark, sf_dir).withColumn("cluster", band), ["z_OZONE", "z_PM10", "z_PM2_5", "hour_sin", "hour_cos"]))
+
+
 @query()
 def cluster_bias(spark, sf_dir):
-    rows, cols = _anomaly_rows(spark, sf_dir)
-    found = cluster.final_clusters(cluster.assemble(rows, cols), 2)
-    stats = aggregate.cluster_statistics(found, ["PM2_5"])
+    """Differences between the clusters of readings, of the number of clusters from 2 to 7 that fits best."""
+    rows = written(_readings(spark, sf_dir), "readings")
+    found = cluster.final_clusters(rows, cluster.best_k(rows))
+    stats = aggregate.cluster_statistics(found, LEVELS)
     return aggregate.cluster_bias(stats, ["mean_PM2_5", "mean_hour"])
 
 
@@ -161,6 +197,21 @@ def tune_gbt(spark, sf_dir):
     return forecast.tune_gbt(fx.series(spark, sf_dir), _cutoff())
 
 
+@query()
+def tuned_forecast(spark, sf_dir):
+    """Errors of boosted trees with the settings found best."""
+    return aggregate.forecast_metrics(forecast.tuned_forecast(fx.series(spark, sf_dir), _cutoff()))
+
+
+@query(f"""{_SERIES}, t AS (SELECT SiteID, series."timestamp" AS t, PM25 AS y, lag(PM25) OVER (PARTITION BY SiteID ORDER BY series."timestamp") AS x FROM series),
+w AS (SELECT SiteID, t, y, x, count(*) OVER b AS n, regr_slope(y, x) OVER b AS slope, regr_intercept(y, x) OVER b AS intercept FROM t WHERE x IS NOT NULL WINDOW b AS (PARTITION BY SiteID ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT SiteID, strftime(t, '%Y-%m-%d %H:%M:%S') AS "timestamp", round(slope, 5) AS slope, round(intercept, 4) AS intercept, round(intercept + slope * x, 4) AS predicted FROM w WHERE t >= TIMESTAMP '{CUTOFF}' AND n >= 30""")
+def walk_forward_fit(spark, sf_dir):
+    """A one-lag model for each hour of the test time, refitted on all hours before it."""
+    w = forecast.walk_forward_fit(fx.series(spark, sf_dir), _cutoff())
+    return plain(w.select("SiteID", "timestamp", F.round(F.col("beta")[1], 5).alias("slope"), F.round(F.col("beta")[0], 4).alias("intercept"), F.round("predicted", 4).alias("predicted")))
+
+
 @query(f"""{_SERIES}, marked AS (SELECT *, percent_rank() OVER (PARTITION BY SiteID ORDER BY series."timestamp") < 0.8 AS train FROM series),
 f AS (SELECT SiteID, min(PM25) AS lo, max(PM25) AS hi FROM marked WHERE train GROUP BY SiteID),
 x AS (SELECT SiteID, train, marked."timestamp", CASE WHEN hi = lo THEN 0 ELSE (PM25 - lo) / (hi - lo) END AS v FROM marked JOIN f USING (SiteID)),

@@ -1,4 +1,4 @@
-"""Stateful operators on streams: averages with alerts, deduplicated alerts, the latest value of each key.
+"""Stateful operators on streams: averages with alerts, and deduplicated alerts.
 
 They need the RocksDB state store: spark.sql.streaming.stateStore.providerClass =
 org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider.
@@ -12,102 +12,214 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.stateful import ALERT_AT, ALPHA, DOUBLE_ALPHA, STEPS, WARM_UP, Z_LIMIT
+from ..operators.stateful import ALERT_AT, DOUBLE_ALPHA, STEPS, WARM_UP, Z_LIMIT, reading
 from ..schemas import STATION_STATE
 
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 SCORED = "city string, state string, pollutant string, time timestamp, event_id long, aqi double, count long, ema double, emvar double, ema1 double, ema2 double, z double, trend double, predicted double, is_anomaly boolean, is_forecast_alert boolean"
 SENT = "city string, state string, pollutant string, category string, time timestamp, event_id long, aqi int"
+EMPTY = (0, 0.0, 0.0, 0.0, 0.0)
 
+Row = tuple[int, int, float]  # time in microseconds, event_id, index
 
-def fold(state: tuple, x: float) -> tuple[tuple, tuple]:
+
+def results(state: tuple, x: float) -> tuple[tuple, tuple]:
     """State and results after a reading."""
-    n, ema, var, e1, e2 = state
-    if n == 0:
-        n, ema, var, e1, e2, z = 1, x, 0.0, x, x, 0.0
-    else:
-        d = x - ema
-        z = abs(d) / var**0.5 if var > 0 else 0.0
-        n, ema, var = n + 1, ema + ALPHA * d, (1 - ALPHA) * (var + ALPHA * d * d)
-        e1 = DOUBLE_ALPHA * x + (1 - DOUBLE_ALPHA) * e1
-        e2 = DOUBLE_ALPHA * e1 + (1 - DOUBLE_ALPHA) * e2
+    *now, z = reading(state, x)
+    n, _, _, e1, e2 = now
     warm = n > WARM_UP
     trend = DOUBLE_ALPHA / (1 - DOUBLE_ALPHA) * (e1 - e2) if warm else 0.0
     pred = 2 * e1 - e2 + STEPS * trend if warm else 0.0
-    return (n, ema, var, e1, e2), (z, trend, pred, warm and z > Z_LIMIT, warm and x < ALERT_AT <= pred)
+    return tuple(now), (z, trend, pred, warm and z > Z_LIMIT, warm and x < ALERT_AT <= pred)
+
+
+def _rows(part: pd.DataFrame) -> list[Row]:
+    part = part[part["aqi"].notna() & part["time"].notna()]
+    return list(zip(part["time"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), part["event_id"].tolist(), part["aqi"].astype(float).tolist(), strict=True))
+
 
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    return out.assign(time=pd.to_datetime(out["time"], unit="us"))
 
-class EmaProcessor(StatefulProcessor):
-    """Folds each key's readings; within a batch in the order of (time, event_id)."""
+
+class Fold(StatefulProcessor):
+    """What becomes of a key's readings, taken in order. Each batch's are sorted and taken at once, so one that comes in a later batch is taken after those before it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", STATION_STATE)
+        self.handle = handle
+        self.begin(handle)
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def take(self, key: tuple, rows: list[Row]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def forget_at(self) -> int | None:
+        """When the watermark (in milliseconds) may drop the key's state."""
+        return None
+
+    def forget(self) -> None:
+        pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = self.state.get() if self.state.exists() else (0, 0.0, 0.0, 0.0, 0.0)
-        part = pd.concat(list(rows)).sort_values(["time", "event_id"])
-        out = []
-        for t, i, x in zip(part["time"], part["event_id"], part["aqi"], strict=True):
-            now, got = fold(tuple(now), float(x))
-            out.append((*key, t, i, float(x), *now, *got))
-        self.state.update(now)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
+        yield self.take(key, sorted(r for part in rows for r in _rows(part)))
 
     def close(self) -> None:
         pass
 
 
-class DedupProcessor(StatefulProcessor):
-    """Sends an alert unless its key's last one was sent less than the time to live before. With ``forget`` a timer drops a key's state when
+class InOrder(Fold):
+    """Readings wait in state, and are taken in the order of time once the watermark has passed them: then none before them can come any more. A key's waiting list
+    holds what lies within the grace, and one batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", "at long, event_id long, aqi double")
+
+    def _wake(self, at: int | None) -> None:
+        timers = list(self.handle.listTimers())
+        if at is None or (timers and min(timers) <= at):
+            return
+        for timer in timers:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        least = None
+        for part in rows:
+            if new := _rows(part):
+                self.waiting.appendList(new)
+                least = min(new[0][0] if least is None else least, min(r[0] for r in new))
+        if least is not None:
+            self._wake(-(-least // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due, rest = sorted(r for r in held if r[0] <= upto), [r for r in held if r[0] > upto]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if due:
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            yield self.take(key, due)
+        at = self.forget_at()
+        if rest:
+            self._wake(-(-min(r[0] for r in rest) // 1000))
+        elif at is not None and at * 1000 > upto:
+            self._wake(at)
+        elif at is not None:
+            self.forget()
+
+
+class Ema(Fold):
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", STATION_STATE)
+
+    def take(self, key: tuple, rows: list[Row]) -> pd.DataFrame:
+        now, out = tuple(self.state.get()) if self.state.exists() else EMPTY, []
+        for at, event, x in rows:
+            now, got = results(now, x)
+            out.append((*key, at, event, x, *now, *got))
+        self.state.update(now)
+        return _frame(out, SCORED)
+
+
+class Dedup(Fold):
+    """Sends an alert unless its key's last one was sent less than the time to live before. With ``forgetful`` a timer drops a key's state when
     the watermark has passed its time to live, after which it can hold nothing back."""
 
-    ttl_seconds, forget = 3600, False
+    ttl_seconds, forgetful = 3600, False
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values(["time", "event_id"])
+    def take(self, key: tuple, rows: list[Row]) -> pd.DataFrame:
         last, out = self.last.get()[0] if self.last.exists() else None, []
-        for t, i, x in zip(part["time"], part["event_id"], part["aqi"], strict=True):
-            at = pd.Timestamp(t).value // 1000
+        for at, event, x in rows:
             if last is None or at - last >= self.ttl_seconds * 1_000_000:
                 last = at
-                out.append((*key, t, i, x))
-        self.last.update((last,))
-        if self.forget:
+                out.append((*key, at, event, int(x)))
+        if last is not None:
+            self.last.update((last,))
+        return _frame(out, SENT)
+
+    def forget_at(self) -> int | None:
+        return self.last.get()[0] // 1000 + self.ttl_seconds * 1000 if self.last.exists() else None
+
+    def forget(self) -> None:
+        self.last.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from super().handleInputRows(key, rows, timerValues)
+        if self.forgetful and (at := self.forget_at()) is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(last // 1000 + self.ttl_seconds * 1000)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
+            self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+        self.forget()
         return iter(())
 
-    def close(self) -> None:
-        pass
 
+class EmaInOrder(InOrder, Ema):
+    pass
+
+
+class DedupInOrder(InOrder, Dedup):
+    pass
 
-def dedup_processor(ttl_seconds: int, forget: bool = False) -> DedupProcessor:
-    made = DedupProcessor()
-    made.ttl_seconds, made.forget = ttl_seconds, forget
+
+class WallClockDedup(Dedup):
+    """Sends an alert unless its key sent one less than the time to live ago by the clock. A timer drops the key then, whether or not anything more comes for it."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = min((r for part in rows for r in _rows(part)), default=None)
+        if first is None or self.last.exists():
+            return
+        now = timerValues.getCurrentProcessingTimeInMs()
+        self.last.update((now,))
+        self.handle.registerTimer(now + self.ttl_seconds * 1000)
+        yield _frame([(*key, first[0], first[1], int(first[2]))], SENT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+
+def _with_ttl(made: Dedup, ttl_seconds: int, forgetful: bool = False) -> Dedup:
+    made.ttl_seconds, made.forgetful = ttl_seconds, forgetful
     return made
 
 
-def ema_zscore_stream(m: DataFrame) -> DataFrame:
-    """As ``stateful.ema_zscore``, on a stream of city, state, pollutant, time, event_id, aqi."""
-    return m.groupBy("city", "state", "pollutant").transformWithStateInPandas(EmaProcessor(), outputStructType=SCORED, outputMode="Append", timeMode="None")
+def ema_zscore_stream(m: DataFrame, grace: str | None = None) -> DataFrame:
+    """As ``stateful.ema_zscore``, on a stream of city, state, pollutant, time, event_id, aqi.
+
+    With a ``grace`` readings are folded in the order of time, whatever batches they come in; those later than that are dropped, and a reading comes out when the watermark has
+    passed it. Without one they are folded as they come. Readings without a time or an index are left out.
+    """
+    keyed = (m.withWatermark("time", grace) if grace else m).groupBy("city", "state", "pollutant")
+    return keyed.transformWithStateInPandas(EmaInOrder() if grace else Ema(), outputStructType=SCORED, outputMode="Append", timeMode="EventTime" if grace else "None")
 
 
-def dedup_alerts_stream(alerts: DataFrame, ttl_seconds: int = 3600, grace: str | None = None) -> DataFrame:
+def dedup_alerts_stream(alerts: DataFrame, ttl_seconds: int = 3600, grace: str | None = None, in_order: bool = False) -> DataFrame:
     """As ``stateful.dedup_alerts``, on a stream; times of events count.
 
     With a ``grace`` alerts later than that are dropped, and keys are forgotten once their time to live is over, so state holds only
-    keys of the last hours; without one it holds every key there ever was.
+    keys of the last hours; without one it holds every key there ever was. ``in_order`` (which needs a grace) takes alerts in the order of time, whatever batches they come in,
+    and sends one when the watermark has passed it; else they are taken and sent as they come.
     """
-    if grace:
-        alerts = alerts.withWatermark("time", grace)
-    mode = "EventTime" if grace else "None"
-    return alerts.groupBy("city", "state", "pollutant", "category").transformWithStateInPandas(dedup_processor(ttl_seconds, bool(grace)), outputStructType=SENT, outputMode="Append", timeMode=mode)
+    keyed = (alerts.withWatermark("time", grace) if grace else alerts).groupBy("city", "state", "pollutant", "category")
+    made = _with_ttl(DedupInOrder() if grace and in_order else Dedup(), ttl_seconds, bool(grace) and not in_order)
+    return keyed.transformWithStateInPandas(made, outputStructType=SENT, outputMode="Append", timeMode="EventTime" if grace else "None")
+
+
+def dedup_alerts_by_clock(alerts: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
+    """Alerts of keys that sent none in the last ``ttl_seconds`` of the clock; of a batch's the first. Keys are forgotten by the clock too."""
+    keyed = alerts.groupBy("city", "state", "pollutant", "category")
+    return keyed.transformWithStateInPandas(_with_ttl(WallClockDedup(), ttl_seconds), outputStructType=SENT, outputMode="Append", timeMode="ProcessingTime")

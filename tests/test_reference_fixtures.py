@@ -57,7 +57,9 @@ def test_topk(spark):
     assert topk.global_topk(spark.createDataFrame(ten, M)).count() == 10
     top = {r.station: r.aqi for r in topk.global_topk(spark.createDataFrame([*ten, (11, T0, "City_11_CRITIQUE", "State", "O3", 999)], M)).collect()}
     assert len(top) == 10 and top["City_11_CRITIQUE - State"] == 999.0 and "City_1 - State" not in top and "City_2 - State" in top
-    kept = topk.retained_topk([*((f"City_{i}", 10.0 * i) for i in range(1, 11)), ("new", 999.0)])
+    kept = {}
+    for name, aqi in [*((f"City_{i}", 10.0 * i) for i in range(1, 11)), ("new", 999.0)]:
+        topk.retain(kept, name, aqi, 10)
     assert len(kept) == 10 and "City_1" not in kept
 
 
