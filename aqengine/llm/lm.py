@@ -26,9 +26,9 @@ WIDTH, HIDDEN, TABLES = 16, 32, 16
 ROWS = 128
 #: Texts and windows of them that the weights start from at most, passes over these, and least steps.
 SAMPLE, WINDOWS, PASSES, STEPS = 1000, 40_000, 2, 600
-#: Rounds over all training texts. All pairs of neighbouring subwords are counted; how the tables share them is learned from every STRIDE-th window of each text (others
-#: in each round), and of these every GRADED-th goes into the network's steps. The rate of the first round; windows of a step; windows after which a task renews its own tables.
-ROUNDS, STRIDE, GRADED, RATE, SIZE, RENEWED = 2, 6, 3, 0.003, 128, 40_000
+#: Rounds over all training texts; each window of a text belongs to one of them. All pairs of neighbouring subwords are counted, how the tables share them is learned from all windows,
+#: and every GRADED-th window of a round goes into the network's steps. The rate of the first round; windows of a step; windows after which a task renews its own tables.
+ROUNDS, GRADED, RATE, SIZE, RENEWED = 2, 4, 0.003, 128, 40_000
 #: Slices of the pairs in which tasks' counts are summed.
 SLICES = 16
 #: Words with counts that every task has at hand, and the longest of them in bytes; all others are joined.
@@ -500,12 +500,17 @@ def encoded(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None
     return written(batches(own, step, f"_row long, doc_id {kind}, h long, {kept}ids binary, n_tokens long, known long, part double, rare array<binary>", 500), "encoded")
 
 
+def in_round(windows: int, r: int, rounds: int) -> np.ndarray:
+    """Which windows of a text a round reads: each is read in one."""
+    return np.arange(windows) % rounds == r
+
+
 def learned_from_all(texts: DataFrame, net: Attention, soft: Soft, rounds: int = ROUNDS, rate: float = RATE) -> Attention:
     """``net`` and its ``soft`` counts after rounds over all ``texts`` (ids).
 
     In each round every task goes on from the same weights and tables over its own texts. The weights that the tasks end with are averaged, each by its number of
     windows; their counts are summed in the cluster. All pairs of neighbours in all texts are counted in the first round; what share of a pair each table has is
-    learned from the windows of the rounds, some of every text.
+    learned from all windows, each in one of the rounds.
     """
     spark, every = texts.sparkSession, None
     for r in range(rounds):
@@ -522,8 +527,7 @@ def learned_from_all(texts: DataFrame, net: Attention, soft: Soft, rounds: int =
                     before, first = after.copy(), np.cumsum(sizes + 1) - sizes - 1
                     after[places(first, sizes)], before[places(first + 1, sizes)] = ids, ids
                     times += np.bincount(before * VOCAB + after, minlength=VOCAB * VOCAB)
-                pick = np.arange(1 + (sizes.max() + 1) // SCORED) % STRIDE == r * STRIDE // rounds
-                x, y = laid_out(ids, sizes, pick)
+                x, y = laid_out(ids, sizes, in_round(1 + (sizes.max() + 1) // SCORED, r, rounds))
                 graded = np.arange(len(x)) % GRADED == 0
                 fresh.append((x[graded], y[graded]))
                 scorer, rest = Scorer(net), np.flatnonzero(~graded)

@@ -185,3 +185,8 @@ def test_context_outside_the_sample_is_learned(spark):
 
     # The same counts, and the same sample: only the order of the other texts' words differs.
     assert mean("ka mo " * 40) > mean("ka " * 40 + "mo " * 40) + 0.2
+
+
+def test_every_window_is_read_in_one_round():
+    for rounds in (1, 2, 3):
+        assert (sum(lm.in_round(17, r, rounds).astype(int) for r in range(rounds)) == 1).all()
