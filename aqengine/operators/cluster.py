@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -71,6 +72,12 @@ def best_k(df: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5, 6, 7), seed: int =
     return max(ks, key=lambda k: (scores[k], -k))
 
 
+def scaled_profiles(profiles: DataFrame, cols: list[str] = PROFILE, digits: int = 6) -> DataFrame:
+    """``profiles`` with each column divided by its deviation (not centred), on ``digits`` digits."""
+    stats = profiles.agg(*[F.stddev(c).alias(f"_{c}") for c in cols])  # one row
+    return profiles.crossJoin(F.broadcast(stats)).withColumns({c: F.round(F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0)), digits) for c in cols}).drop(*stats.columns)
+
+
 def sweep_clusters(df: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5, 6), seed: int = 42) -> DataFrame:
     """k, KMeans and GMM silhouettes, and which k is best for KMeans: a row for each k. ``df`` has features."""
     df = df.select("features").persist()
@@ -93,35 +100,58 @@ def final_clusters(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     return KMeans(featuresCol="features", predictionCol="cluster", k=k, seed=seed).fit(df).transform(df)
 
 
-def dbscan(df: DataFrame, key: str, cols: list[str], eps: float, min_pts: int = 5) -> DataFrame:
-    """key and cluster of each row: density-connected groups (named by their least core key), -1 for noise.
-
-    Rows meet only rows of the same and neighbouring cells of side eps (3^d cells, so few columns). Groups of core rows are found by
-    least labels and pointer jumps, each round written to the shared folder; a row that is no core takes the least cluster in reach.
-    """
-    # Rows that are equal in all columns are one point with a count; only distinct points are joined.
-    points = df.groupBy(*cols).agg(F.min(key).alias("p"), F.count("*").alias("n"))
-    spots = points.withColumn("cell", F.array(*[F.floor(F.col(c) / eps) for c in cols]))
-    steps = reduce(lambda acc, _: [a + [s] for a in acc for s in (-1, 0, 1)], cols, [[]])
-    around = spots.withColumn("s", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps]))).withColumn("cell", F.zip_with("cell", "s", lambda a, b: a + b)).drop("s")
-    near = spots.select("cell", F.col("p").alias("q"), F.col("n").alias("m"), *[F.col(c).alias(f"_{c}") for c in cols]).join(around, "cell")
-    d2 = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in cols])
-    near = written(near.filter(d2 <= eps * eps).select("p", "q", "m"), "near")
-    core = near.groupBy("p").agg(F.sum("m").alias("m")).filter(F.col("m") >= min_pts).select("p")
-    core = written(core, "core")
-    links = written(near.join(core, "p", "left_semi").join(core.withColumnRenamed("p", "q"), "q", "left_semi").select("p", "q"), "links")
-    labels = core.withColumn("label", F.col("p"))
+def _groups(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """p, label: the least node that each reaches, by least labels and pointer jumps, each round written to the shared folder."""
+    labels = nodes.select("p", F.col("p").alias("label"))
+    both = written(links.unionByName(links.select(F.col("q").alias("p"), F.col("p").alias("q"))), "links")
     while True:
-        least = links.join(labels.withColumnRenamed("p", "q"), "q").groupBy("p").agg(F.min("label").alias("label"))
+        least = labels.unionByName(both.join(labels.withColumnRenamed("p", "q"), "q").select("p", "label")).groupBy("p").agg(F.min("label").alias("label"))
         jumped = least.join(labels.select(F.col("p").alias("label"), F.col("label").alias("up")), "label", "left").select("p", F.least("label", F.coalesce("up", "label")).alias("label"))
         jumped = written(jumped, "labels")
         same = jumped.join(labels.withColumnRenamed("label", "old"), "p").filter("label <> old").isEmpty()
         labels = jumped
         if same:
-            break
-    reach = near.join(labels.withColumnRenamed("p", "q"), "q").groupBy("p").agg(F.min("label").alias("other"))
-    named = points.join(labels, "p", "left").join(reach, "p", "left").select(*cols, F.coalesce("label", "other", F.lit(-1)).alias("cluster"))
-    return df.join(named, cols, "left").select(df[key], "cluster")
+            return labels
+
+
+def dbscan(df: DataFrame, key: str, cols: list[str], eps: float, min_pts: int = 5) -> DataFrame:
+    """key and cluster of each row: density-connected groups (named by their least core key), -1 for noise.
+
+    Rows lie in cells whose diagonal is eps, so all rows of a cell reach each other: a cell with min_pts rows is all core, and its core rows are one node, however many they are. Only occupied
+    cells are paired (found by cells of side eps and more around them, so by few rows). Rows of full cells are never counted against others; two cells are joined by one pair of core rows in
+    reach. A row that is no core takes the least cluster in reach.
+    """
+    d, wide = len(cols), math.ceil(math.sqrt(len(cols)))
+    side = eps / math.sqrt(d) * (1 - 1e-9)
+    sum_of = lambda xs: reduce(lambda a, b: a + b, xs)
+    # Rows that are equal in all columns are one point with a count.
+    points = df.groupBy(*cols).agg(F.min(key).alias("p"), F.count("*").alias("n"))
+    spots = written(points.withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in cols])), "spots")
+    cells = written(spots.groupBy("cell").agg(F.sum("n").alias("size")).withColumn("coarse", F.transform("cell", lambda x: F.floor(x / wide))), "cells")
+    # Pairs of occupied coarse cells next to each other, then of their cells whose boxes lie within eps.
+    coarse = cells.select("coarse").distinct()
+    around = reduce(lambda part, i: part.withColumn("step", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("other", F.concat("other", F.array(F.col("coarse")[i] + F.col("step")))), range(d), coarse.withColumn("other", F.array().cast("array<bigint>"))).select("coarse", "other")
+    near = around.join(coarse.withColumnRenamed("coarse", "other"), "other").join(cells.select("coarse", "cell", "size"), "coarse").join(cells.select(F.col("coarse").alias("other"), F.col("cell").alias("to")), "other")
+    gap = F.aggregate(F.zip_with("cell", "to", lambda a, b: F.greatest(F.lit(0), F.abs(a - b) - 1).cast("double")), F.lit(0.0), lambda t, x: t + x * x)
+    near = written(near.filter(gap * (side * side) <= eps * eps).select("cell", "to", "size"), "near")
+    other = lambda rows: rows.select(F.col("cell").alias("to"), F.col("p").alias("q"), F.col("n").alias("m"), *[F.col(c).alias(f"_{c}") for c in cols])
+    within = sum_of([(F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in cols]) <= eps * eps
+    full = spots.join(cells.filter(F.col("size") >= min_pts).select("cell"), "cell", "left_semi")
+    loose = spots.join(cells.filter(F.col("size") < min_pts).select("cell"), "cell", "left_semi")
+    reached = loose.join(near.select("cell", "to"), "cell").join(other(spots), "to").filter(within).groupBy("p").agg(F.sum("m").alias("m"))
+    core = written(full.select("p", "n", "cell", *cols).unionByName(loose.join(reached.filter(F.col("m") >= min_pts).select("p"), "p", "left_semi").select("p", "n", "cell", *cols)), "core")
+    nodes = written(core.groupBy("cell").agg(F.min("p").alias("node")), "nodes")
+    # Rows of two cells can only meet if each lies within eps of the other's box.
+    box = lambda at, cell: sum_of([F.pow(F.greatest(F.lit(0.0), F.col(cell)[i] * side - F.col(f"{at}{c}"), F.col(f"{at}{c}") - (F.col(cell)[i] + 1) * side), F.lit(2.0)) for i, c in enumerate(cols)]) <= eps * eps * (1 + 1e-9)
+    pairs = near.select("cell", "to").filter("cell < to").join(nodes.select("cell"), "cell", "left_semi").join(nodes.select(F.col("cell").alias("to")), "to", "left_semi")
+    met = pairs.join(core, "cell").filter(box("", "to")).join(other(core), "to").filter(box("_", "cell") & within).select("cell", "to").distinct()
+    links = met.join(nodes, "cell").join(nodes.select(F.col("cell").alias("to"), F.col("node").alias("q")), "to").select(F.col("node").alias("p"), "q")
+    named = nodes.join(_groups(links, nodes.select(F.col("node").alias("p"))).withColumnRenamed("p", "node"), "node").select("cell", "label")
+    named = written(core.join(named, "cell").select("p", "n", "cell", "label", *cols), "named")
+    outer = loose.join(named.select("p"), "p", "left_anti").join(near.select("cell", "to"), "cell").join(other(named).join(named.select(F.col("p").alias("q"), "label"), "q"), "to")
+    reach = outer.filter(within).groupBy("p").agg(F.min("label").alias("other"))
+    labels = spots.join(named.select("p", "label"), "p", "left").join(reach, "p", "left").select(*cols, F.coalesce("label", "other", F.lit(-1)).alias("cluster"))
+    return df.join(labels, cols, "left").select(df[key], "cluster")
 
 
 def dbscan_sweep(df: DataFrame, key: str, cols: list[str], epses: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0), min_pts: int = 5) -> DataFrame:

@@ -135,6 +135,23 @@ def dbscan(spark, sf_dir):
     return cluster.dbscan(_spots(spark, sf_dir), "id", ["x", "y"], 1.0, 5)
 
 
+@query(f"""{_CLEANED.replace("WITH", "WITH RECURSIVE", 1)}, raw AS (
+  SELECT CAST(SiteID AS BIGINT) AS id, coalesce(round(round(avg(Value) FILTER (Parameter = 'PM2.5'), 8), 2), 0) AS a, coalesce(round(max(Value) FILTER (Parameter = 'PM2.5'), 2), 0) AS b, coalesce(round(round(stddev_samp(Value) FILTER (Parameter = 'PM2.5'), 8), 2), 0) AS c,
+    coalesce(round(round(avg(Value) FILTER (Parameter = 'OZONE'), 8), 2), 0) AS d, coalesce(round(max(Value) FILTER (Parameter = 'OZONE'), 2), 0) AS e FROM cleaned GROUP BY SiteID
+), p AS (SELECT id, {", ".join(f"round({x} / stddev_samp({x}) OVER (), 6) AS {x}" for x in "abcde")} FROM raw
+), near AS (SELECT p.id AS p, q.id AS q FROM p, p q WHERE {" + ".join(f"(p.{x} - q.{x}) * (p.{x} - q.{x})" for x in "abcde")} <= 1.0
+), core AS (SELECT p FROM near GROUP BY p HAVING count(*) >= 5
+), links AS (SELECT n.p, n.q FROM near n JOIN core a ON a.p = n.p JOIN core b ON b.p = n.q
+), reach AS (SELECT p, p AS q FROM core UNION SELECT r.p, l.q FROM reach r JOIN links l ON l.p = r.q
+), label AS (SELECT p, min(q) AS label FROM reach GROUP BY p
+), other AS (SELECT n.p, min(l.label) AS label FROM near n JOIN label l ON l.p = n.q GROUP BY n.p)
+SELECT id, coalesce(label.label, other.label, -1) AS cluster FROM p LEFT JOIN label ON label.p = id LEFT JOIN other ON other.p = id""")
+def dbscan_profiles(spark, sf_dir):
+    """Density clusters of sites by their five profile columns on a common scale."""
+    p = cluster.scaled_profiles(aggregate.site_profile(_cleaned(spark, sf_dir)))
+    return cluster.dbscan(p.withColumn("id", F.col("SiteID").cast("long")), "id", cluster.PROFILE, 1.0, 5)
+
+
 @query()
 def dbscan_sweep(spark, sf_dir):
     return cluster.dbscan_sweep(_spots(spark, sf_dir), "id", ["x", "y"])

@@ -9,7 +9,7 @@ from .. import fixtures as fx
 from ..interim import shared_path
 from ..operators import aggregate, clean, parse, sets
 from ..operators import windows as batch_windows
-from ..sources import feeds, sinks
+from ..sources import buckets, feeds, sinks
 from ..streaming import topk as streaming_topk
 from ..streaming import windows as streaming_windows
 from .air_queries import _BAND_SQL, _CLEANED, _SERIES, _TS, _average_sql, _cleaned, _concentration_sql, plain, sql_stamp
@@ -63,8 +63,8 @@ def latest_upserted(spark, sf_dir):
     path, m = shared_path(spark, "latest"), _m(spark, sf_dir)
     for version, part in enumerate((2, 0, 3, 1)):
         for _ in range(1 + (part == 3)):
-            sinks.upsert_latest(m.filter(F.floor(F.hour("time") / 6) == part), path, version, ties=("event_id",))
-    return plain(sinks.read_latest(spark, path).select("state", "city", "pollutant", "time", "event_id", "aqi"))
+            buckets.upsert_bucketed(m.filter(F.floor(F.hour("time") / 6) == part), path, version, ties=("event_id",))
+    return plain(buckets.read_bucketed(spark, path).select("state", "city", "pollutant", "time", "event_id", "aqi"))
 
 
 @query(_CLOSED.format(_average_sql(*(lambda keys, size, hop: (keys, batch_windows.seconds(size), batch_windows.seconds(hop)))(*batch_windows.AVERAGES["avg_state_8_hour"]))))

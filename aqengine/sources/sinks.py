@@ -34,7 +34,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The folders of complete versions, the oldest first."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [s.getPath().toString() for s in fs.listStatus(p)] if fs.exists(p) else []
@@ -44,7 +45,7 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
 
 def read_latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The newest complete version of a latest-value table (before a given one), or None."""
-    found = [f for f in _versions(spark, path) if before is None or int(f.rpartition("=")[2]) < before]
+    found = [f for f in versions(spark, path) if before is None or int(f.rpartition("=")[2]) < before]
     return spark.read.parquet(found[-1]) if found else None
 
 
@@ -54,7 +55,7 @@ def upsert_latest(m: DataFrame, path: str, version: int, keys: list[str] = LATES
     old = read_latest(m.sparkSession, path, before=version)
     rows = m if old is None else m.unionByName(old, allowMissingColumns=True)
     latest_per_key(rows, keys, time, *ties).write.mode("overwrite").parquet(f"{path}/v={version}")
-    for old_path in _versions(m.sparkSession, path)[:-KEPT]:
+    for old_path in versions(m.sparkSession, path)[:-KEPT]:
         removed(m.sparkSession, old_path)
 
 

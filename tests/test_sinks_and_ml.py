@@ -1,11 +1,14 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from aqengine import fixtures as fx
-from aqengine.operators import clean, cluster, iforest, joins, parse
+from aqengine.operators import clean, cluster, forecast, iforest, joins, parse
 from aqengine.plans import client, serving
-from aqengine.sources import feeds, sinks
+from aqengine.sources import buckets, feeds, sinks
 
 
 def test_archive_by_date_and_hour(spark, sf_dir, tmp_path):
@@ -28,6 +31,25 @@ def test_upsert_keeps_the_latest_and_repeats_safely(spark, sf_dir, tmp_path):
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
 
 
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, sf_dir, tmp_path):
+    m, path = fx.measurements(spark, sf_dir), f"{tmp_path}/b"
+    one = F.col("city") == m.select("city").orderBy("city").first()[0]
+    state = lambda: buckets._manifest(spark, path, None)
+    buckets.upsert_bucketed(m.filter("event_id % 2 = 0"), path, 0, ties=("event_id",))
+    before = state()
+    for _ in range(2):  # the second write replaces the first
+        buckets.upsert_bucketed(m.filter(one), path, 1, ties=("event_id",))
+    after, touched = state(), {r[0] for r in m.filter(one).select(F.pmod(F.xxhash64(*sinks.LATEST_KEY), F.lit(buckets.BUCKETS))).distinct().collect()}
+    assert {b for b in after if after[b] != before.get(b)} == touched and 0 < len(touched) < len(after)
+    want = joins.latest_per_key(m.filter(one | (F.col("event_id") % 2 == 0)), sinks.LATEST_KEY, "time", "event_id")
+    assert sorted(buckets.read_bucketed(spark, path).select(want.columns).collect()) == sorted(want.collect())
+    assert buckets.read_bucketed(spark, path, before=1).count() == joins.latest_per_key(m.filter("event_id % 2 = 0"), sinks.LATEST_KEY, "time", "event_id").count()
+    for v in range(2, 6):
+        buckets.upsert_bucketed(m.filter(one), path, v, ties=("event_id",))
+    assert len(sinks.versions(spark, f"{path}/manifest")) == sinks.KEPT and not (tmp_path / f"b/data/v=1/bucket={min(touched)}").exists()
+    assert sorted(buckets.read_bucketed(spark, path).select(want.columns).collect()) == sorted(want.collect()) and buckets.read_bucketed(spark, f"{tmp_path}/none") is None
+
+
 def test_fan_out_and_alerts(spark, sf_dir, tmp_path):
     m = fx.measurements(spark, sf_dir)
     for _ in range(2):
@@ -78,21 +100,47 @@ def test_cleaning(spark):
     assert sorted(r.x for r in approx.collect()) == [1.0, 2.0, 2.0, 3.0]
 
 
-def test_dbscan_against_a_plain_one(spark):
-    rng = np.random.default_rng(0)
-    xy = np.concatenate([rng.normal(0, 0.3, (60, 2)), rng.normal(4, 0.3, (60, 2)), rng.uniform(-3, 8, (30, 2)), [[0.0, 0.0]] * 6])
-    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, x double, y double")
-    got = {r.id: r.cluster for r in cluster.dbscan(df, "id", ["x", "y"], 0.5, 5).collect()}
-    d = ((xy[:, None] - xy[None]) ** 2).sum(2) <= 0.25
-    core = d.sum(1) >= 5
-    label = np.where(core, np.arange(len(xy)), -1)
-    for _ in range(len(xy)):
+@pytest.mark.parametrize(("d", "eps"), [(2, 0.5), (5, 0.8)])
+def test_dbscan_against_a_plain_one(spark, d, eps):
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(0, 0.3, (60, d)), rng.normal(4, 0.3, (60, d)), rng.uniform(-3, 8, (30, d)), [[0.0] * d] * 6, rng.normal(2, 0.02, (200, d))])
+    names = [f"c{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.id: r.cluster for r in cluster.dbscan(df, "id", names, eps, 5).collect()}
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
+    core = near.sum(1) >= 5
+    label = np.where(core, np.arange(len(x)), -1)
+    for _ in range(30):
         for i in np.flatnonzero(core):
-            label[i] = label[d[i] & core].min()
-    want = {i: int(label[i]) if core[i] else int(min((label[j] for j in np.flatnonzero(d[i] & core)), default=-1)) for i in range(len(xy))}
+            label[i] = label[near[i] & core].min()
+    want = {i: int(label[i]) if core[i] else int(min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1)) for i in range(len(x))}
     assert got == want and -1 in want.values()
 
 
+def test_silhouettes_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x, k = rng.normal(0, 1, (90, 3)), np.r_[np.zeros(40), np.ones(49), 2].astype(int)
+    x[k == 1] += 2
+    df = spark.createDataFrame([(int(c), *map(float, row)) for c, row in zip(k, x, strict=True)], "cluster int, a double, b double, c double")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    s = np.zeros(len(x))
+    for i in range(len(x) - 1):
+        inner, other = d[i, k == k[i]].sum() / ((k == k[i]).sum() - 1), min(d[i, k == j].mean() for j in set(k) - {k[i]})
+        s[i] = (other - inner) / max(other, inner)
+    got = {r["cluster"]: (r["size"], r["silhouette"]) for r in cluster.silhouettes(df, ["a", "b", "c"]).collect()}
+    assert all(got[j][0] == (k == j).sum() and abs(got[j][1] - s[k == j].mean()) < 1e-9 for j in range(3))
+
+
+def test_tuning_judges_every_fold(spark):
+    t0 = datetime(2024, 1, 1)
+    s = spark.createDataFrame([(f"s{j}", t0 + timedelta(hours=i), float(20 + 10 * ((i + 7 * j) % 24 > 11) + j)) for j in range(2) for i in range(400)], "SiteID string, timestamp timestamp, PM25 double")
+    grid = {"trees": [2, 20], "depth": [1, 3], "rate": [0.3]}
+    tuned = {(r["trees"], r["depth"]): r["rmse"] for r in forecast.tune_gbt(s, F.lit(t0 + timedelta(hours=350)), draws=4, grid=grid).collect()}
+    assert len(tuned) == 4 and tuned[20, 3] <= tuned[20, 1] < tuned[2, 1]  # the step at noon needs two cuts
+    none = forecast.tune_gbt(s.limit(0), F.lit(t0), draws=2, grid=grid).collect()
+    assert len(none) == 2 and all(r["rmse"] is None for r in none)
+
+
 def test_isolation_forest_finds_outliers(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (1500, 3)), rng.normal(0, 1, (10, 3)) + 9])
