@@ -214,12 +214,6 @@ def tune_gbt(spark, sf_dir):
     return forecast.tune_gbt(fx.series(spark, sf_dir), _cutoff())
 
 
-@query()
-def tuned_forecast(spark, sf_dir):
-    """Errors of boosted trees with the settings found best."""
-    return aggregate.forecast_metrics(forecast.tuned_forecast(fx.series(spark, sf_dir), _cutoff()))
-
-
 @query(f"""{_SERIES}, t AS (SELECT SiteID, series."timestamp" AS t, PM25 AS y, lag(PM25) OVER (PARTITION BY SiteID ORDER BY series."timestamp") AS x FROM series),
 w AS (SELECT SiteID, t, y, x, count(*) OVER b AS n, regr_slope(y, x) OVER b AS slope, regr_intercept(y, x) OVER b AS intercept FROM t WHERE x IS NOT NULL WINDOW b AS (PARTITION BY SiteID ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT SiteID, strftime(t, '%Y-%m-%d %H:%M:%S') AS "timestamp", round(slope, 5) AS slope, round(intercept, 4) AS intercept, round(intercept + slope * x, 4) AS predicted FROM w WHERE t >= TIMESTAMP '{CUTOFF}' AND n >= 30""")

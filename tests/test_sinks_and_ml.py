@@ -137,6 +137,9 @@ def test_tuning_judges_every_fold(spark):
     grid = {"trees": [2, 20], "depth": [1, 3], "rate": [0.3]}
     tuned = {(r["trees"], r["depth"]): r["rmse"] for r in forecast.tune_gbt(s, F.lit(t0 + timedelta(hours=350)), draws=4, grid=grid).collect()}
     assert len(tuned) == 4 and tuned[20, 3] <= tuned[20, 1] < tuned[2, 1]  # the step at noon needs two cuts
+    rows = forecast.tuned_forecast(s, F.lit(t0 + timedelta(hours=350)), draws=2, folds=2, grid={"trees": [2, 20], "depth": [2], "rate": [0.3]}).collect()
+    test = [r for r in rows if r["Forecast_Type"] == "Test"]
+    assert len(test) == 100 and {r["Forecast_Type"] for r in rows} == {"Train", "Test", "Next"} and sum(abs(r["Predicted_PM25"] - r["Actual_PM25"]) for r in test) < 100
     none = forecast.tune_gbt(s.limit(0), F.lit(t0), draws=2, grid=grid).collect()
     assert len(none) == 2 and all(r["rmse"] is None for r in none)
 
