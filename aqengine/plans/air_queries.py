@@ -312,15 +312,13 @@ def pivot_models(spark, sf_dir):
     return plain(aggregate.pivot_models(series.walk_forward(fx.series(spark, sf_dir), F.lit(CUTOFF).cast("timestamp")), ["lag_1", "lag_24"]))
 
 
-#: The sites of the given events: ten states by blocks of 150 users.
-SITES = [f"{x}-{i}" for x in sorted(fx.STATES) for i in range(7)]
-
-
-@query(f"""{_SERIES} SELECT {sql_stamp('"timestamp"')} AS "timestamp", {", ".join(f"""round(avg(PM25) FILTER (SiteID = '{x}'), 6) AS "{x}" """ for x in SITES)} FROM series GROUP BY series."timestamp" """)
+@query()
 def pivot_sensors(spark, sf_dir):
-    """A column for each of the known sites; sites beyond them have no column (``sensors_by_time`` holds any number)."""
-    p = aggregate.pivot_sensors(fx.series(spark, sf_dir), SITES)
-    return p.select(stamp("timestamp").alias("timestamp"), *[F.round(f"`{x}`", 6).alias(x) for x in SITES])
+    """A column for each site there is, so SQL without a pivot can't say it; ``sensors_by_time`` holds the same means as a map, which it can."""
+    s = fx.series(spark, sf_dir)
+    sites = sorted(r["SiteID"] for r in s.select("SiteID").distinct().collect())  # these become the columns
+    p = aggregate.pivot_sensors(s, sites)
+    return p.select(stamp("timestamp").alias("timestamp"), *[F.round(f"`{x}`", 6).alias(x) for x in sites])
 
 
 @query(f"""{_SERIES}, m AS (SELECT series."timestamp" AS t, SiteID, round(avg(PM25), 6) AS v FROM series GROUP BY ALL)
