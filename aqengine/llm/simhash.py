@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -103,80 +104,74 @@ def links(values: list[int], radius: int, queries: list[int] | None = None) -> l
     return out
 
 
-def _key16(fp: Column) -> Column:
-    """16 keys of 28 bits: one of four 16-bit blocks, and one of four 12-bit blocks of the other 48 bits.
+def _blocks() -> Column:
+    """Four keys: each 16-bit block with its number. Of two fingerprints that differ in at most 3 bits, one of four blocks is equal."""
+    return F.array(*[F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(i << 16)) for i in range(4)])
 
-    Of two fingerprints that differ in at most 3 bits, one of four blocks is equal, and then one of four blocks of the rest.
-    """
-    keys = []
+
+def _parts() -> Column:
+    """Four keys within one of ``_blocks``: each 12-bit part of the other 48 bits, of which again one is equal."""
+    rests = []
     for i in range(4):
-        own = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
-        low = fp.bitwiseAND(F.lit((1 << 16 * i) - 1)) if i else F.lit(0).cast("long")
-        high = F.shiftleft(F.shiftrightunsigned(fp, 16 * i + 16), 16 * i) if i < 3 else F.lit(0).cast("long")
-        rest = low.bitwiseOR(high)
-        for j in range(4):
-            part = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.shiftleft(own, 12).bitwiseOR(part).bitwiseOR(F.lit((4 * i + j) << 28)))
-    return F.array(*keys)
+        low = F.col("fp").bitwiseAND(F.lit((1 << 16 * i) - 1)) if i else F.lit(0).cast("long")
+        high = F.shiftleft(F.shiftrightunsigned("fp", 16 * i + 16), 16 * i) if i < 3 else F.lit(0).cast("long")
+        rests.append(low.bitwiseOR(high))
+    rest = F.element_at(F.array(*rests), (F.shiftright("key", 16) + 1).cast("int"))
+    return F.array(*[F.shiftleft("key", 14).bitwiseOR(F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(0xFFF))).bitwiseOR(F.lit(j << 12)) for j in range(4)])
 
 
-def _search(keyed: DataFrame, radius: int, tree: int) -> DataFrame:
-    """Links among fingerprints (fp) of one key; fingerprints of a key with more than ``tree`` come back with b null and the key."""
+def _across() -> Column:
+    """Four keys within one of ``_parts``: every fourth of the sixteen 4-bit pieces, so that each set lies across the blocks before."""
+    piece = lambda i: F.shiftrightunsigned("fp", 4 * i).bitwiseAND(F.lit(15))
+    return F.array(*[F.xxhash64("key", F.lit(g), *[piece(4 * b + g) for b in range(4)]) for g in range(4)])
 
-    def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, large = None, [], False
 
-        def close() -> list[tuple]:
-            return [] if large or len(held) < 2 else [(None, a, b) for a, b in links(held, radius)]
+def _search(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links among the fingerprints (fp) of each key, which are no more than a tree may hold."""
 
+    def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in it:
             keys, fps = (batch.column(i).to_numpy() for i in (0, 1))
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            out: list[tuple] = []
+            cuts, fps = np.flatnonzero(np.diff(keys)) + 1, fps.view(np.uint64).tolist()
+            out: list[tuple[int, int]] = []
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                if lo == hi:
-                    continue
-                if keys[lo] != key:
-                    out += close()
-                    key, held, large = keys[lo], [], False
-                held += fps[lo:hi].view(np.uint64).tolist()
-                if large or len(held) > tree:
-                    large = True
-                    out += [(int(key), x, None) for x in held]
-                    held = []
+                if lo < hi and keys[lo] != key:
+                    out += links(held, radius) if len(held) > 1 else []
+                    key, held = keys[lo], []
+                held += fps[lo:hi]
             if out:
                 yield _rows(out)
-        if out := close():
+        if out := links(held, radius):
             yield _rows(out)
 
-    return batches(keyed.repartition("key").sortWithinPartitions("key", "fp"), step, "key long, a long, b long")
+    return batches(keyed.repartition("key").sortWithinPartitions("key", "fp"), step, "a long, b long", 20_000)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    signed = lambda x: None if x is None else x - (x >> 63 << 64)
-    k, a, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(map(signed, a), pa.int64(), size=len(a)), pa.array(map(signed, b), pa.int64(), size=len(b))], names=["key", "a", "b"])
+def _rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(pairs, dtype=np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
 def near_pairs(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """(a, b): pairs of distinct fingerprints (fp) within the radius, enough of them to join every group.
 
-    Fingerprints are dealt into shards by 28 equal bits (16 keys each; all pairs within 3 bits share one), and each shard has its
-    own BK-tree. A shard with more than ``tree`` fingerprints is split in two more steps, both exact: first by 16 more bits
-    (again one of four such sets is equal), then into slices, each slice's tree being searched by the other slices.
+    Fingerprints are dealt into shards by one equal 16-bit block (four keys each; all pairs within 3 bits share one), and each shard
+    has its own BK-tree. Shards are counted first: one with more than ``tree`` fingerprints is never sent to a task, but split in up to three more
+    steps, all exact: by 12 more bits, by 16 bits across these (again one of four is equal), then into slices, each slice's tree being
+    searched by the other slices.
     """
     assert radius <= 3
-    found = written(_search(fps.select(F.explode(_key16(F.col("fp"))).alias("key"), "fp"), radius, tree), "links")
-    pairs = found.filter("b is not null").select("a", "b")
-    large = found.filter("b is null").select("key", F.col("a").alias("fp"))
-    # The four sets: every fourth of the sixteen 4-bit blocks, so that each set lies across the blocks of the first keys.
-    nibble = lambda i: F.shiftrightunsigned("fp", 4 * i).bitwiseAND(F.lit(15))
-    across = F.array(*[F.xxhash64("key", F.lit(g), *[nibble(4 * b + g) for b in range(4)]) for g in range(4)])
-    found = written(_search(large.select(F.explode(across).alias("key"), "fp"), radius, tree), "links")
-    pairs = pairs.unionByName(found.filter("b is not null").select("a", "b"))
-    large = found.filter("b is null").select("key", F.col("a").alias("fp"))
-    if large.isEmpty():
-        return pairs
+    found, large = [], fps.select(F.lit(0).cast("long").alias("key"), "fp")
+    for keys in (_blocks(), _parts(), _across()):
+        keyed = large.select(F.explode(keys).alias("key"), "fp")
+        beyond = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tree).select("key"), "beyond")
+        if beyond.isEmpty():
+            found.append(_search(keyed, radius))
+            return reduce(DataFrame.unionByName, found)
+        found.append(_search(keyed.join(beyond, "key", "left_anti"), radius))
+        large = written(keyed.join(beyond, "key", "left_semi"), "large")
+    pairs = reduce(DataFrame.unionByName, found)
     n = large.groupBy("key").agg(F.ceil(F.count("*") / tree).cast("int").alias("n"))
     slices = large.join(n, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     slices = slices.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")

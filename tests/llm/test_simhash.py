@@ -123,3 +123,26 @@ def test_one_of_each_keeps_unlike_rows_of_one_doc_id(spark):
     got = simhash.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.doc) for r in got.collect()) == [(0, "e"), (5, "a"), (5, "b")]
+
+
+class Counted(list):
+    """A list that counts how often its elements are read."""
+
+    reads = 0
+
+    def __getitem__(self, i):
+        self.reads += 1
+        return super().__getitem__(i)
+
+
+def test_searches_of_a_shard_leave_most_of_its_tree_out():
+    r = random.Random(2)
+    block, tree = r.getrandbits(16), simhash.BKTree()
+    tree.value = Counted()
+    values = [r.getrandbits(48) << 16 | block for _ in range(2000)]
+    for v in values:
+        tree.add(v)
+    tree.value.reads = 0
+    for v in values[:200]:
+        assert tree.value.index(v) in tree.within(v ^ 0x7 << 40, 3)
+    assert tree.value.reads < 200 * 2000 / 3
