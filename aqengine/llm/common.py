@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..interim import dropped, shared_dir, shared_path, written
+from ..interim import dropped, removed, shared_dir, shared_path, written
 
-__all__ = ["WORD", "batches", "components", "dropped", "shared_dir", "shared_path", "utf8", "written"]
+__all__ = ["WORD", "batches", "components", "dropped", "removed", "shared_dir", "shared_path", "utf8", "written"]
 
 #: A word, as every contract here has it: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -198,6 +198,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
     own = written(packed, "packed")
     gone = repeated_lines(own.select("row", "doc_id", "text"), "row").filter("same or near").groupBy(F.col("_row").alias("row")).agg(F.collect_list("line").alias("gone"))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i.cast("long")))
+    lines = F.split("text", "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col("gone"))  # by hashing; the order stays
+    kept = F.transform(kept, lambda i: F.get(lines, i.cast("int")))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return own.join(gone, "row", "left").select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -168,6 +169,30 @@ def _rewritten(kind: str, s: str) -> list[str]:
     return [":".join(f"{int(p):x}" for p in s.split(".") * 2)]
 
 
+class Taken:
+    """Stretches of a text, those that touch or overlap joined; a question and an addition take a bisection each."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i == len(self.starts) or self.starts[i] >= b
+
+    def add(self, a: int, b: int) -> None:
+        """A span that is free."""
+        i = bisect_right(self.ends, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def training_rows(text: str) -> list[tuple[int, list[float]]]:
     """(label, features): base spans in other spellings, in their places, are right; candidates that fail the checks of their
     kind, and right ones with changed digits, are wrong."""
@@ -175,17 +200,18 @@ def training_rows(text: str) -> list[tuple[int, list[float]]]:
     for kind, spans in base.items():
         for a, b in spans:
             for other in _rewritten(kind, text[a:b]):
-                there = text[:a] + other + text[b:]
-                lo, hi = max(0, a - 60), a + len(other) + 60
-                for k, x, y in more_spans(there[lo:hi]):
+                # Candidates within 60 characters of it, and room for what features look at around these.
+                left, at, end = text[max(0, a - 160) : a], min(a, 160), min(a, 160) + len(other)
+                there, lo = left + other + text[b : b + 160], max(0, at - 60)
+                for k, x, y in more_spans(there[lo : end + 60]):
                     x, y = x + lo, y + lo
-                    covered = min(y, a + len(other)) - max(x, a)
+                    covered = min(y, end) - max(x, at)
                     if k == kind and covered >= 0.9 * len(other) and y - x <= 1.2 * len(other):
                         rows.append((1, features(there, kind, x, y)))
                     elif covered > 0:
                         rows.append((0, features(there, k, x, y)))
-    taken = [s for spans in base.values() for s in spans]
-    rows += [(0, features(text, k, a, b)) for k, a, b in more_spans(text) if not any(a < y and x < b for x, y in taken)]
+    taken = Taken(s for spans in base.values() for s in spans)
+    rows += [(0, features(text, k, a, b)) for k, a, b in more_spans(text) if taken.free(a, b)]
     return rows
 
 
@@ -234,14 +260,15 @@ def find_spans(texts: list[str], model: Boosted) -> list[tuple[dict[str, list[tu
             asked += [(i, k, a, b) for k, a, b in more_spans(t) if k in model.threshold]
     if asked:
         p = model.predict(np.array([features(texts[i], k, a, b) for i, k, a, b in asked]))
-        taken: dict[int, list[tuple[int, int]]] = {}
+        taken: dict[int, Taken] = {}
         for j in np.argsort(-p, kind="stable").tolist():
             i, k, a, b = asked[j]
             if p[j] < model.threshold[k]:
                 continue
-            spans = taken.setdefault(i, [s for v in out[i][0].values() for s in v])
-            if not any(a < y and x < b for x, y in spans):
-                spans.append((a, b))
+            if i not in taken:
+                taken[i] = Taken(s for v in out[i][0].values() for s in v)
+            if taken[i].free(a, b):
+                taken[i].add(a, b)
                 out[i][1][k].append((a, b))
     for _, every in out:
         for v in every.values():

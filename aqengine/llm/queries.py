@@ -142,21 +142,28 @@ FROM judged GROUP BY doc_id
 
 
 
+# The contract's base formats, as it has them; failing matches are dropped after the search.
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ACCESS, _HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
+
+
 def _op9() -> str:
     quoted = lambda p: "'" + p.replace("*+", "*").replace("}+", "}").replace("'", "''") + "'"
-    kinds = secrets.BASE | secrets.WEAK
-    each = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, string_split_regex(text, {quoted(p)}) AS g, regexp_extract_all(text, {quoted(p)}) AS v FROM t" for k, p in kinds.items())
+    kinds = {"assign": _ASSIGN, "access": _ACCESS, "hex": _HEX} | secrets.WEAK
+    each = " UNION ALL ".join(f"SELECT row, doc_id, '{k}' AS kind, string_split_regex(text, {quoted(p)}) AS g, regexp_extract_all(text, {quoted(p)}) AS v FROM t" for k, p in kinds.items())
     rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(secrets.ORDER))
     spans = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) {}, '')"
     key = " AND ".join(f"regexp_matches(value, {quoted(p)})" for p in secrets.KEY)
     return f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({each}
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), found AS ({each}
+), each AS (
+  SELECT row, doc_id, kind, unnest(g[1:len(v)]) AS gap, unnest(v) AS value, unnest(range(1, len(v) + 1)) AS i FROM found
 ), placed AS (
-  SELECT doc_id, kind, v[i] AS value, length(array_to_string(g[1:i], '')) + length(array_to_string(v[1:i - 1], '')) AS s FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM found)
+  SELECT doc_id, kind, value, CAST(sum(length(gap) + length(value)) OVER (PARTITION BY row, kind ORDER BY i ROWS UNBOUNDED PRECEDING) - length(value) AS BIGINT) AS s FROM each
 ), parts AS (
   SELECT doc_id, kind, s, s + length(value) AS e, CASE kind {rank} END AS k, CASE WHEN kind IN ('access', 'ident') THEN 'identifier' WHEN kind = 'endpoint' THEN 'endpoint' ELSE 'secret' END AS role,
     kind IN ('assign', 'access', 'hex') AS base FROM placed
-  WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(value, {quoted(secrets.HEAD)}, '')) >= 6 WHEN 'key' THEN {key} ELSE true END
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(value, {quoted(_ASSIGN)}, 1)) >= 6 WHEN 'access' THEN length(value) >= 20 WHEN 'hex' THEN length(value) >= 24 WHEN 'key' THEN {key} ELSE true END
 ), near AS (
   SELECT w.doc_id, w.kind, w.s, w.e, w.k, bool_or(p.role = 'identifier') AS i, bool_or(p.role = 'endpoint') AS n, bool_or(p.role = 'secret') AS c FROM parts w JOIN parts p ON w.doc_id = p.doc_id AND NOT w.base
     AND p.s BETWEEN w.s - {secrets.SCOPE} AND w.e + {secrets.SCOPE} AND NOT (p.s >= w.s AND p.s < w.e) GROUP BY ALL

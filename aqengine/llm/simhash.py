@@ -145,7 +145,7 @@ def _search(keyed: DataFrame, radius: int) -> DataFrame:
         if out := links(held, radius):
             yield _rows(out)
 
-    return batches(keyed.repartition("key").sortWithinPartitions("key", "fp"), step, "a long, b long", 20_000)
+    return batches(keyed.repartition("key").sortWithinPartitions("key", "fp"), step, "a long, b long")
 
 
 def _rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:

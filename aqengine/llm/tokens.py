@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, shared_path
+from .common import batches, removed, shared_path
 from .memo import Memo, flat_binary, flat_bytes, gathered, places
 
 #: White space other than the space and the line feed, by the tokenizer's pattern.
@@ -207,7 +207,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     """Encodes every text of ``docs``, each followed by ``end_id``, into files of the format above at ``path``.
 
     Documents are dealt out by ranges of doc_id and sorted within them; texts are encoded once, into an interim table beside the
-    files. Only the counts of ids (bounded by the vocabulary) and the lengths of shards reach the driver. A null text is
+    files, which goes when they are written. Only the counts of ids (bounded by the vocabulary) and the lengths of shards reach the driver. A null text is
     an empty one: its record has the end id alone. Rows that repeat a doc_id follow one another in the order of a hash of their texts,
     by which they may be dealt to several shards; null doc_ids come first. An empty table writes an empty folder of files. Further columns are ignored.
     """
@@ -270,6 +270,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     out = batches(own, store, f"shard int, doc_id {kind}, start long, n_tokens long, control binary, data binary")
     out.sortWithinPartitions("shard", "start").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").partitionBy("shard").parquet(f"{path}/ids")
+    removed(spark, f"{path}/interim")
 
 
 def read_ids(spark: SparkSession, path: str, doc_id: str = "long", texts: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -111,3 +112,25 @@ def test_addresses_are_those_of_the_pattern_in_linear_time():
     for text in ("a" * 1_000_000 + "@b", "a@" * 500_000, "a.b@c_" * 200_000, "@" * 1_000_000):
         assert pii._mails(text) == []
     assert time.time() - began < 5
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=30), st.integers(0, 10))
+def test_taken_stretches(spans, first):
+    spans = [(a, a + n) for a, n in spans]
+    taken, held = pii.Taken(spans[:first]), spans[:first]
+    for a, b in spans[first:]:
+        free = not any(a < y and x < b for x, y in held)
+        assert taken.free(a, b) == free
+        if free:
+            taken.add(a, b)
+            held.append((a, b))
+
+
+def test_many_added_spans_in_one_text():
+    model = pii.Boosted(start=5.0, threshold={"phone": 0.5})
+    text = "call 0049 30 1234567, " * 20_000
+    started = time.monotonic()
+    ((base, every),) = pii.find_spans([text], model)
+    assert not any(base.values()) and len(every["phone"]) == 20_000
+    assert time.monotonic() - started < 30
