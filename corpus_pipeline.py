@@ -1,7 +1,7 @@
 """A training corpus from raw documents: language, near-duplicates, benchmark leaks, mix of sources, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns the columns of documents; the last returns what
-the token files hold. ``run`` writes each stage's rows to the shared folder and reads them again.
+the token files hold. ``run`` writes each stage's rows to the shared folder and reads them again; a stage's rows go when the next one's are written.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aqengine.llm import decontam, langid, mixing, simhash, tokens
-from aqengine.llm.common import written
+from aqengine.llm.common import dropped, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, read = written(stage(spark, docs, sf_dir), f"stage-{name}"), before
+        before = docs
+        if read is not None:
+            dropped(read)
     return docs
