@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE, cell, columns_within, geo_distance_m, planar
 from ..interim import written
 
-#: Sides of the cells in which users meet cities, in degrees.
-SIDES = (0.5, 4.0, 32.0)
+#: Points of a quadtree's leaf at most, its depth at most, and the levels that are counted.
+LEAF, DEPTH, STEP = 64, 20, 2
 
 
 def with_location(df: DataFrame, loc: DataFrame) -> DataFrame:
@@ -81,46 +84,87 @@ def nearest(df: DataFrame, loc: DataFrame, lon: float, lat: float, k: int = 5, t
     return with_location(df, loc).withColumn("distance", d).orderBy("distance", *ties).limit(k)
 
 
+def _cell(level: str) -> list[Column]:
+    """The cell of a level that holds the finest cell (x, y)."""
+    return [F.expr(f"shiftright({c}, {DEPTH} - {level})").alias(c) for c in ("x", "y")]
+
+
+def quadtree(points: DataFrame, box: tuple[float, float, float], leaf: int) -> tuple[DataFrame, DataFrame]:
+    """The cells of a quadtree over ``points`` (c_lon, c_lat), and the points with the leaf (level, x, y) that holds them.
+
+    A cell (level, x, y, n, leaf, and up_x, up_y of the cell STEP levels above) is split while it holds more than ``leaf`` points and is above DEPTH. All levels are
+    counted in one pass, combined before the shuffle, so neither a dense place nor the root is one task's work. Cells without points aren't there.
+    """
+    x0, y0, side = box
+    at = lambda c, low: F.least(F.floor((F.col(c) - low) / side * 2**DEPTH), F.lit(2**DEPTH - 1)).cast("long")
+    placed = points.withColumn("x", at("c_lon", x0)).withColumn("y", at("c_lat", y0)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEPTH), F.lit(STEP))))
+    placed = placed.select("level", *_cell("level"), *points.columns)
+    full = placed.groupBy("level", "x", "y").agg(F.count("*").alias("n")).withColumn("leaf", (F.col("n") <= leaf) | (F.col("level") == DEPTH))
+    full = written(full.withColumn("up_x", F.shiftright("x", STEP)).withColumn("up_y", F.shiftright("y", STEP)), "cells")
+    split = full.filter("not leaf").select((F.col("level") + STEP).alias("level"), F.col("x").alias("up_x"), F.col("y").alias("up_y"))
+    tree = written(full.join(split, ["level", "up_x", "up_y"], "left_semi").unionByName(full.filter("level = 0")), "tree")
+    return tree, placed.join(tree.filter("leaf").select("level", "x", "y"), ["level", "x", "y"])
+
+
+def _may_hold_nearest(cells: DataFrame, box: tuple[float, float, float], k: int) -> DataFrame:
+    """Of each user's cells those that may hold one of its k nearest points: not further than the cells that hold k points for sure reach."""
+    x0, y0, side = box
+    edge = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
+    least, most = [], []
+    for c, i, zero in (("longitude", "x", x0), ("latitude", "y", y0)):
+        low = F.col(i) * edge + zero
+        least.append(F.greatest(low - F.col(c), F.col(c) - low - edge, F.lit(0.0)))
+        most.append(F.greatest(F.abs(F.col(c) - low), F.abs(F.col(c) - low - edge)))
+    size = lambda d: F.sqrt(d[0] * d[0] + d[1] * d[1])
+    upto = F.sum("n").over(Window.partitionBy("id").orderBy("_most", "level", "x", "y"))
+    judged = cells.withColumn("_least", size(least)).withColumn("_most", size(most)).withColumn("_upto", upto)
+    judged = judged.withColumn("_enough", F.min(F.when(F.col("_upto") >= k, F.col("_most"))).over(Window.partitionBy("id")))
+    kept = F.col("_enough").isNull() | (F.col("_least") <= F.col("_enough") + 1e-9 * side)  # room for rounding
+    return judged.filter(kept).select(*cells.columns)
+
+
+def nearest_places(users: DataFrame, places: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
+    """(id, city, state, distance): for each of ``users`` (id, longitude, latitude) the k nearest of ``places`` (city, state, c_lon, c_lat), ties by city and state.
+
+    Users go down a quadtree of the places together, STEP levels a round, each with the cells that may still hold one of its k nearest, until all
+    these are leaves; then they meet the places of their leaves. What a user meets depends on k and ``leaf``, not on how dense places lie
+    around it. Of places at one point k stand for it. Each round is written, so plans don't grow. Places without finite coordinates take no part;
+    with fewer than k places all are returned; no users or no places give an empty result.
+    """
+    finite = reduce(and_, [F.abs(F.col(c)) < float("inf") for c in ("c_lon", "c_lat")])
+    point = Window.partitionBy("c_lon", "c_lat").orderBy("city", "state")
+    places = places.filter(finite).withColumn("_r", F.row_number().over(point)).filter(F.col("_r") <= k).drop("_r")
+    places = written(places.select("city", "state", "c_lon", "c_lat"), "places")
+    b = places.agg(F.min("c_lon"), F.min("c_lat"), F.max("c_lon"), F.max("c_lat"), F.count("*").alias("n")).first()
+    box = (b[0] or 0.0, b[1] or 0.0, max((b[2] or 0.0) - (b[0] or 0.0), (b[3] or 0.0) - (b[1] or 0.0), 1e-6))
+    tree, held = quadtree(places, box, leaf)
+    root = [F.lit(0).alias("level"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(b["n"]).cast("long").alias("n"), F.lit(b["n"] <= leaf).alias("leaf")]
+    front = users.select("id", "longitude", "latitude", *root)
+    for level in range(STEP, DEPTH + 1, STEP):
+        inner = front.filter("not leaf")
+        if inner.isEmpty():
+            break
+        below = tree.filter(F.col("level") == level).select("level", "x", "y", "n", "leaf", "up_x", "up_y")
+        if 4**level <= 4096:  # a level has no more cells than that
+            below = F.broadcast(below)
+        inner = inner.select("id", "longitude", "latitude", F.col("x").alias("up_x"), F.col("y").alias("up_y")).join(below, ["up_x", "up_y"]).drop("up_x", "up_y")
+        front = written(_may_hold_nearest(front.filter("leaf").unionByName(inner), box, k), "front")
+    d = planar(F.col("longitude"), F.col("latitude"), F.col("c_lon"), F.col("c_lat"))
+    near = front.drop("n", "leaf").join(held, ["level", "x", "y"]).withColumn("distance", d)
+    w = Window.partitionBy("id").orderBy("distance", "city", "state")
+    return near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).select("id", "city", "state", "distance")
+
+
 def nearest_for_users(df: DataFrame, loc: DataFrame, users: DataFrame, k: int = 5, ties: tuple[str, ...] = ("city", "state", "pollutant")) -> DataFrame:
     """For each user the k rows nearest to it; for one without a location the k latest rows.
 
-    Users meet cities, not rows: of each user's cities the k nearest are kept (their rows hold the k nearest rows), by cells that widen
-    until each user has k cities. Users that have fewer even within the widest cells meet those cells first, of which there are at most 72: only cities of cells that may
-    hold one of their k nearest come into question. Each round is written, so plans don't grow. Cities are a dimension; rows join it by city.
+    Users meet cities, not rows: of each user's cities the k nearest are kept (their rows hold the k nearest rows), see ``nearest_places``. Cities are a
+    dimension; rows join it by city.
     """
     here = df.join(loc.select("city", "state"), ["city", "state"], "left_semi").select("city", "state").distinct()
-    cities = written(here.join(loc, ["city", "state"]).select("city", "state", F.col("longitude").alias("c_lon"), F.col("latitude").alias("c_lat")), "cities")
-    todo = written(users.filter("longitude is not null and latitude is not null").select("id", "longitude", "latitude"), "todo")
-    d = planar(F.col("longitude"), F.col("latitude"), F.col("c_lon"), F.col("c_lat"))
-    w = Window.partitionBy("id").orderBy("distance", "city", "state")
-    pairs = None
-    for side in SIDES:
-        at = lambda lon, lat: (F.floor((lon + 180) / side), F.floor((lat + 90) / side))  # noqa: E731, B023
-        cx, cy = at(F.col("c_lon"), F.col("c_lat"))
-        ux, uy = at(F.col("longitude"), F.col("latitude"))
-        placed = cities.withColumn("x", cx).withColumn("y", cy)
-        around = todo.withColumn("x", F.explode(F.sequence(ux - 1, ux + 1))).withColumn("y", F.explode(F.sequence(uy - 1, uy + 1)))
-        near = around.join(placed, ["x", "y"]).withColumn("distance", d).filter(F.col("distance") <= side)
-        near = written(near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).select("id", "city", "state", "distance"), "near")
-        done = near.groupBy("id").count().filter(F.col("count") >= k).select("id")
-        got = near.join(done, "id", "left_semi")
-        pairs = got if pairs is None else pairs.unionByName(got)
-        todo = written(todo.join(done, "id", "left_anti"), "todo")
-        if todo.isEmpty():
-            break
-    else:
-        full = placed.groupBy("x", "y").agg(F.count("*").alias("n"))  # at most 72 rows
-        gap = lambda at, low: F.greatest(low - at, at - low - side, F.lit(0.0))  # noqa: E731, B023
-        far = lambda at, low: F.greatest(F.abs(at - low), F.abs(at - low - side))  # noqa: E731, B023
-        low = F.col("x") * side - 180, F.col("y") * side - 90
-        cells = todo.join(F.broadcast(full))
-        for name, f in (("least", gap), ("most", far)):
-            cells = cells.withColumn(name, F.sqrt(F.pow(f(F.col("longitude"), low[0]), 2) + F.pow(f(F.col("latitude"), low[1]), 2)))
-        upto = F.sum("n").over(Window.partitionBy("id").orderBy("most", "x", "y"))
-        cells = cells.withColumn("upto", upto).withColumn("enough", F.min(F.when(F.col("upto") >= k, F.col("most"))).over(Window.partitionBy("id")))
-        cells = cells.filter(F.col("enough").isNull() | (F.col("least") <= F.col("enough"))).select("id", "longitude", "latitude", "x", "y")
-        near = cells.join(placed, ["x", "y"]).withColumn("distance", d).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-        pairs = pairs.unionByName(near.select("id", "city", "state", "distance"))
+    cities = here.join(loc, ["city", "state"]).select("city", "state", F.col("longitude").alias("c_lon"), F.col("latitude").alias("c_lat"))
+    todo = users.filter("longitude is not null and latitude is not null").select("id", "longitude", "latitude")
+    pairs = nearest_places(todo, cities, k)
     rows = df.join(pairs, ["city", "state"])
     r = Window.partitionBy("id").orderBy("distance", *ties)
     near = rows.withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= k)

@@ -1,9 +1,12 @@
 """Registered queries do the whole job: all users, all sites."""
 
+import random
+
 import duckdb
 import pytest
 
 from aqengine import fixtures as fx
+from aqengine.operators import joins
 from aqengine.plans import registry
 
 from .test_queries import TABLES, normal
@@ -101,3 +104,36 @@ def test_far_users_meet_their_nearest_cities(spark, monkeypatch):
         for u in users.collect():
             want = sorted((((u.longitude - lon) ** 2 + (u.latitude - lat) ** 2) ** 0.5, c) for c, _, lon, lat in cities)[:k]
             assert [c for _, c in sorted(got[u.id])] == [c for _, c in want]
+
+
+def test_nearest_places_down_a_quadtree(spark):
+    r = random.Random(3)
+    dense = [(10 + r.random() * 1e-3, 50 + r.random() * 1e-3) for _ in range(400)]
+    sparse = [(r.uniform(-170, 170), r.uniform(-80, 80)) for _ in range(60)]
+    points = dense + sparse + [(20.0, 20.0)] * 30  # a third and more in one place, and many at one point
+    places = [(f"c{i:03}", "s", x, y) for i, (x, y) in enumerate(points)] + [("none", "s", None, 1.0), ("nan", "s", float("nan"), 1.0)]
+    users = [(i, *r.choice(points)) for i in range(40)] + [(100 + i, r.uniform(-300, 300), r.uniform(-90, 90)) for i in range(40)] + [(200, 10.002, 50.0005), (201, 9.99, 50.0)]
+    got = {}
+    near = joins.nearest_places(spark.createDataFrame(users, "id long, longitude double, latitude double"), spark.createDataFrame(places, "city string, state string, c_lon double, c_lat double"), 5, leaf=4)
+    for x in near.collect():
+        got.setdefault(x.id, []).append((x.distance, x.city))
+    for i, lon, lat in users:
+        want = sorted((((lon - x) ** 2 + (lat - y) ** 2) ** 0.5, c) for c, _, x, y in places if x is not None and x == x)[:5]
+        have = sorted(got[i])
+        assert [c for _, c in have] == [c for _, c in want] or all(abs(a[0] - b[0]) < 1e-12 for a, b in zip(have, want, strict=True))
+
+
+def test_a_quadtree_splits_dense_places(spark):
+    r = random.Random(4)
+    points = [(f"c{i}", 10 + r.random() * (1e-2 if i % 3 else 1.0), 50 + r.random() * (1e-2 if i % 3 else 1.0)) for i in range(3000)]
+    df = spark.createDataFrame(points, "city string, c_lon double, c_lat double")
+    tree, held = joins.quadtree(df, (10.0, 50.0, 1.0), 32)
+    leaves = tree.filter("leaf").collect()
+    assert sum(x.n for x in leaves) == held.count() == 3000 and max(x.n for x in leaves) <= 32 and held.select("city").distinct().count() == 3000
+
+
+def test_nearest_places_of_none(spark):
+    users = spark.createDataFrame([(1, 0.0, 0.0)], "id long, longitude double, latitude double")
+    places = spark.createDataFrame([("a", "s", 1.0, 1.0)], "city string, state string, c_lon double, c_lat double")
+    assert [x.city for x in joins.nearest_places(users, places, 5).collect()] == ["a"]
+    assert joins.nearest_places(users, places.limit(0), 5).collect() == [] and joins.nearest_places(users.limit(0), places, 5).collect() == []
