@@ -15,41 +15,48 @@ from .memo import places
 from .words import pieces, runs, word_hashes
 
 K, SIMILARITY = 5, 0.8
-#: Bits in which a window's fingerprint may differ from an item's. At similarity 0.8 about 13 of 64 differ, three more for a standard deviation.
-RADIUS = 24
+#: Words of 64 bits of a fingerprint, and bits in which a window's may differ from an item's. At similarity 0.8 some 40 of 256 differ, six more for a standard
+#: deviation; of unlike ones 128, eight less for a deviation.
+PARTS, RADIUS = 4, 88
 #: Items (and their shingles, some 40 bytes each) that go to the executors at a time; more are taken in blocks, each a pass over the documents.
 ITEMS, ITEM_SHINGLES = 50_000, 1_000_000
 _TABLE = 20
 
 
-def simhash(h: np.ndarray, n: np.ndarray) -> np.uint64:
-    """A bit is 1 if over half of the shingles have it; h is there n times."""
+def _spread(h: np.ndarray) -> np.ndarray:
+    """PARTS words of bits for each hash: (hashes, PARTS)."""
+    with np.errstate(over="ignore"):
+        x = h[:, None] + np.arange(PARTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def simhash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """PARTS words; a bit is 1 if the shingles that have it weigh over half of all."""
     if not len(h):
-        return np.uint64(0)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(2 * (n @ bits) > n.sum(), bitorder="little").view(np.uint64)[0]
+        return np.zeros(PARTS, np.uint64)
+    bits = np.unpackbits(_spread(h).view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(2 * (w @ bits) > w.sum(), bitorder="little").view(np.uint64)
 
 
 class HammingIndex:
-    """All fingerprints within a radius: of four 16-bit blocks at least one then differs in at most a quarter of the radius, so in each
-    block the distinct values near the asked one lead to candidates, whose whole distance is then counted."""
+    """All fingerprints within a radius: of PARTS blocks of 64 bits at least one then differs in at most its share of the radius. Blocks are that wide because a
+    quarter of 88 bits in 64 is rare (1 unlike pair of 120), while 6 in 16 is not; each is looked through whole, and what it leaves is compared in full."""
 
     def __init__(self, fps: np.ndarray, radius: int) -> None:
-        self.fps, self.radius = fps, radius
-        self.blocks = []
-        for b in range(4):
-            own = (fps >> np.uint64(16 * b)).astype(np.uint16)
-            order = np.argsort(own, kind="stable")
-            values, first = np.unique(own[order], return_index=True)
-            self.blocks.append((values, np.append(first, len(own)), order))
-
-    def near(self, fp: np.uint64) -> np.ndarray:
-        found = []
-        for b, (values, first, order) in enumerate(self.blocks):
-            at = np.flatnonzero(np.bitwise_count(values ^ (fp >> np.uint64(16 * b)).astype(np.uint16)) <= self.radius // 4)
-            found += [order[first[i] : first[i + 1]] for i in at.tolist()]
-        own = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return own[np.bitwise_count(self.fps[own] ^ fp) <= self.radius]
+        self.fps, self.radius = fps.reshape(-1, PARTS), radius
+        self.blocks = [np.ascontiguousarray(b) for b in self.fps.T]
+
+    def candidates(self, fp: np.ndarray) -> np.ndarray:
+        some = np.zeros(len(self.fps), bool)
+        for block, own in zip(self.blocks, fp, strict=True):
+            some |= np.bitwise_count(block ^ own) <= self.radius // PARTS
+        return np.flatnonzero(some)
+
+    def near(self, fp: np.ndarray) -> np.ndarray:
+        own = self.candidates(fp)
+        return own[np.bitwise_count(self.fps[own] ^ fp).sum(1, dtype=np.int64) <= self.radius]
 
 
 @dataclass
@@ -63,7 +70,7 @@ class Items:
     shingle: np.ndarray
     count: np.ndarray
     weight: np.ndarray
-    by_k: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    by_k: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[Row], total: int) -> Items:
@@ -73,8 +80,9 @@ class Items:
         for r, h in zip(rows, runs_of, strict=True):
             u, first, n = np.unique(h, return_index=True, return_counts=True)
             # A shingle that many items share says less: it weighs by the logarithm of the items' number over that of its own.
-            parts.append((u, n, np.log1p(total / np.array(r["in_items"], float)[first])))
-            fps.append(simhash(u, n))
+            w = np.log1p(total / np.array(r["in_items"], float)[first])
+            parts.append((u, n, w))
+            fps.append(simhash(u, n * w))
         sizes = np.array([r["n"] for r in rows], np.int64)
         by_k = {}
         for k in sorted(set(np.minimum(K, sizes).tolist())):
@@ -84,9 +92,10 @@ class Items:
             order = np.argsort(h, kind="stable")
             table = np.zeros(1 << _TABLE, bool)
             table[(h >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
-            by_k[k] = (h[order], np.repeat(own, n).astype(np.int32)[order], places(np.zeros(len(n), np.int64), n).astype(np.int32)[order], table)
+            w = np.concatenate([np.log1p(total / np.array(rows[i]["in_items"], float)) for i in own.tolist()])
+            by_k[k] = (h[order], np.repeat(own, n).astype(np.int32)[order], places(np.zeros(len(n), np.int64), n).astype(np.int32)[order], w[order], table)
         ends = np.concatenate([[0], np.cumsum([len(u) for u, _, _ in parts])])
-        return cls([r["item_id"] for r in rows], sizes, np.array(fps, np.uint64), ends, *(np.concatenate(x) for x in zip(*parts, strict=True)), by_k)
+        return cls([r["item_id"] for r in rows], sizes, np.array(fps, np.uint64).reshape(-1, PARTS), ends, *(np.concatenate(x) for x in zip(*parts, strict=True)), by_k)
 
     def index(self) -> HammingIndex:
         return HammingIndex(self.fps, RADIUS)
@@ -102,10 +111,11 @@ class Items:
         """For each item in a text (its word hashes): best similarity, first word and number of words of the window.
 
         A window that shares no shingle with any item cannot pass, so windows are laid where a shingle of a text stands in some item
-        at the same place of the window. Which items a window is compared with, its fingerprint says.
+        at the same place of the window. Which items a window is compared with, its fingerprint says: shingles weigh in it as they do in the
+        similarity, and those of no item not at all, so text that items share, or that stands between an item's words, moves few bits.
         """
         best: dict[int, tuple[float, int, int]] = {}
-        for k, (table, item, place, bits) in self.by_k.items():
+        for k, (table, item, place, weight, bits) in self.by_k.items():
             r = runs(h, k)
             seeds = np.flatnonzero(bits[(r >> np.uint64(64 - _TABLE)).astype(np.int64)])
             lo, hi = np.searchsorted(table, r[seeds]), np.searchsorted(table, r[seeds], side="right")
@@ -119,7 +129,9 @@ class Items:
                 if not len(own):
                     continue
                 u, n = np.unique(own, return_counts=True)
-                for i in index.near(simhash(u, n)).tolist():
+                row = np.minimum(np.searchsorted(table, u), len(table) - 1)
+                known = np.flatnonzero(table[row] == u)
+                for i in index.near(simhash(u[known], n[known] * weight[row[known]])).tolist():
                     if min(K, self.sizes[i]) == k and (s := self.similarity(i, u, n)) >= least - 1e-12:
                         if i not in best or (-s, first) < (-best[i][0], best[i][1]):
                             best[i] = (s, first, size)
@@ -166,7 +178,7 @@ def _hits(texts: list[bytes], items: Items, index: HammingIndex, least: float) -
         ends = np.searchsorted(text, np.arange(b - a + 1))
         # One look over the whole piece finds the few texts that hold any item's shingle.
         hot = np.zeros(b - a, bool)
-        for k, (table, _, _, bits) in items.by_k.items():
+        for k, (table, _, _, _, bits) in items.by_k.items():
             r = runs(h, k)
             at = np.flatnonzero(bits[(r >> np.uint64(64 - _TABLE)).astype(np.int64)])
             place = np.minimum(np.searchsorted(table, r[at]), len(table) - 1)

@@ -73,10 +73,41 @@ def test_odd_rows_and_items(spark, odd, none):
 
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
-    fps = rng.integers(0, 2**63, 500, dtype=np.uint64)
-    index = decontam.HammingIndex(fps, 24)
-    for q in rng.integers(0, 2**63, 50, dtype=np.uint64):
-        assert index.near(q).tolist() == np.flatnonzero(np.bitwise_count(fps ^ q) <= 24).tolist()
+    fps = rng.integers(0, 2**64, (500, decontam.PARTS), dtype=np.uint64)
+    for radius in (24, 88, 110):
+        index = decontam.HammingIndex(fps, radius)
+        for q in rng.integers(0, 2**64, (20, decontam.PARTS), dtype=np.uint64):
+            for bits in (1.0, 0.5, 0.3):  # unlike ones, and ones that differ in some 128, 64 and 38 bits from the first
+                flips = np.packbits(rng.random(256) < bits / 2, bitorder="little").view(np.uint64)
+                q = q if bits == 1.0 else fps[0] ^ flips
+                assert index.near(q).tolist() == np.flatnonzero(np.bitwise_count(fps ^ q).sum(1, dtype=int) <= radius).tolist()
+
+
+def test_index_rules_out_nearly_all_of_many_items():
+    rng = np.random.default_rng(1)
+    index = decontam.HammingIndex(rng.integers(0, 2**64, (50_000, decontam.PARTS), dtype=np.uint64), decontam.RADIUS)
+    asked = rng.integers(0, 2**64, (50, decontam.PARTS), dtype=np.uint64)
+    assert sum(len(index.candidates(q)) for q in asked) < 50 * 50_000 * 0.06
+    assert sum(len(index.near(q)) for q in asked) <= 5
+
+
+def test_recall_of_items_that_share_text(spark):
+    """Edited items between similarity 0.8 and 0.9, whose first half all items share, or that share nothing."""
+    r = random.Random(5)
+    for size in (20, 40):
+        for shared in (0, size // 2):
+            head = words(900, shared)
+            items = [(i, f"{head} {words(i + 500, size - shared)}".strip()) for i in range(60)]
+            rows = []
+            for i in range(300):
+                t = items[i % 60][1].split()
+                for _ in range(r.randrange(1, 5)):
+                    t[r.randrange(len(t))] = r.choice(["changed", "other", items[(i + 7) % 60][1].split()[-1]])
+                rows.append((i, " ".join([words(i, 10), *t, words(i + 70, 10)]), "en", "s", 0, 0.0, 0, 0, 0, 0, ""))
+            want = brute(rows, items)
+            bench = spark.createDataFrame([(*x, 1, "x") for x in items], ITEMS)
+            got = {(g.doc_id, g.item_id) for g in decontam.contaminated(frame(spark, rows), bench).collect()}
+            assert len(want) >= 20 and got == want
 
 
 def test_items_in_blocks(spark, monkeypatch):
