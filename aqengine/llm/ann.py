@@ -6,20 +6,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, written
+from .common import batches, dropped, removed, shared_path, written
 
 #: Vectors that the codebooks are fitted on at most; rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 6
 #: Weight of the error parallel to a vector against that across it.
 PARALLEL = 4.0
-#: Candidates for each query and block that are reranked at least, and vectors (coded) and queries of one scan.
-RERANK, BLOCK, QUERIES = 200, 1 << 16, 2048
+#: Candidates for each query and block that are reranked at least, and coded vectors of a block at most.
+RERANK, BLOCK = 200, 1 << 16
+#: Bytes of the query vectors that go out at once.
+QUERY_BYTES = 32 << 20
 SPREAD = 32
+FOUND = "q long, vec_id long, times long, s double"
 
 
 def valid(embedding: str) -> Column:
@@ -153,6 +156,59 @@ def _ranked(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= k)
 
 
+def _searched(block: list[pa.RecordBatch], qs: np.ndarray, vs: np.ndarray, book: Codebook, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
+    """The k + 1 best different ids of a block of coded vectors for each query (and all that tie within them)."""
+    t = pa.Table.from_batches(block).combine_chunks()
+    ids, times = t["ids"].combine_chunks(), t["times"].combine_chunks().flatten().to_numpy()
+    starts, many, ids = ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py(), ids.value_lengths().to_numpy(), ids.flatten().to_numpy()
+    code = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(t), -1)
+    x, left_out = t["v"].combine_chunks().flatten().to_numpy().reshape(len(t), -1).astype(float), t["left_out"].to_numpy()
+    least, long = ids[starts], np.linalg.norm(x, axis=1) + left_out
+    for lo in range(0, len(qs), 256):
+        out = []
+        for i, s in scan(code, book.tables(vs[lo : lo + 256])):
+            q = vs[lo + i]
+            length = np.linalg.norm(q)
+            at = np.argpartition(-s, rerank - 1)[:rerank] if rerank < len(s) else np.arange(len(s))
+            score = exact(x[at], q)
+            # What may still be among them: the tables' single precision is allowed for.
+            lead = _leading(score, least[at], k + 1)
+            enough = len(np.unique(least[at[lead]])) > k
+            may = s + length * (left_out + 1e-5 * long) >= score[lead[-1]] if enough else np.ones(len(s), bool)
+            may[at] = False
+            if len(more := np.flatnonzero(may)):
+                near = x[more] @ q
+                if enough:
+                    more = more[near >= score[lead[-1]] - 1e-9 * length * long[more]]
+                at, score = np.concatenate([at, more]), np.concatenate([score, exact(x[more], q)])
+                lead = _leading(score, least[at], k + 1)
+            at, score = at[lead], score[lead]
+            each = np.repeat(at, many[at])
+            own = starts[each] + np.arange(len(each)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
+            score = np.repeat(score, many[at])
+            first = _leading(score, ids[own], k + 1)
+            out.append((np.full(len(first), qs[lo + i]), ids[own[first]], times[own[first]], score[first]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(4)], names=["q", "vec_id", "times", "s"])
+
+
+def _against(coded: DataFrame, sent: Broadcast, book: Codebook, k: int, rerank: int, block: int) -> DataFrame:
+    """What each block of ``coded`` holds for the queries that were sent (their numbers, their vectors). A task cuts what it reads into blocks."""
+
+    def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in it:
+            while b.num_rows:
+                held.append(b.slice(0, block - n))
+                n, b = n + held[-1].num_rows, b.slice(held[-1].num_rows)
+                if n == block:
+                    yield from _searched(held, *sent.value, book, k, rerank)
+                    held, n = [], 0
+        if n:
+            yield from _searched(held, *sent.value, book, k, rerank)
+
+    return batches(coded, step, FOUND)
+
+
 def nearest(table: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the k rows of largest inner product among all others.
 
@@ -160,7 +216,8 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK
     ``rerank`` of each query and block are scored exactly (double precision, dimension after dimension). So are all others of the
     block whose table score, with the length of what the code leaves out of the vector, may reach the k + 1 best of these: the
     result is exact. Vectors are searched once for each distinct value, whose k + 1 smallest vec_ids stand for it, and ties go
-    to the smaller vec_id. Queries that are equal are searched once.
+    to the smaller vec_id. Queries that are equal are searched once. They are sent to the codes in groups of at most some QUERY_BYTES;
+    vectors and codes are written once and not shuffled again, however many queries there are.
 
     Rows whose vector is null, empty, zero or has a null or non-finite component take no part, nor do rows with a null vec_id, nor vectors
     of another length than the most frequent one. Rows that repeat a vec_id are all its own, never its candidates, and are queries
@@ -196,46 +253,24 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK
             left_out = np.linalg.norm(wide.astype(float) - book.centres[np.arange(codes.shape[1]), codes].reshape(len(x), -1), axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in packed(codes)], pa.binary()), pa.array(left_out)], names=[*b.schema.names, "code", "left_out"])
 
-    coded = batches(classes, code, f"c long, v {dict(classes.dtypes)['v']}, ids array<long>, times array<long>, code binary, left_out double")
-    blocks, groups = -(-n // BLOCK), -(-n_asked // QUERIES)
-    number = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "c"), F.lit(m)).cast("int")
-    left = coded.withColumn("block", number("b", blocks)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = classes.join(asked.select("c").distinct(), "c", "left_semi").select("c", "v", number("g", groups).alias("group")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(codes) or not len(queries):
-            return pd.DataFrame({"q": [], "vec_id": [], "times": [], "s": []})
-        code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
-        x, left_out = np.stack(codes["v"].to_numpy()).astype(float), codes["left_out"].to_numpy()
-        ids, times = codes["ids"].to_numpy(), codes["times"].to_numpy()
-        least, out = np.array([i[0] for i in ids]), []
-        long = np.linalg.norm(x, axis=1) + left_out
-        for lo in range(0, len(queries), 256):
-            part = queries.iloc[lo : lo + 256]
-            qs, vs = part["c"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float)
-            for i, s in scan(code, book.tables(vs)):
-                length = np.linalg.norm(vs[i])
-                at = np.argpartition(-s, rerank - 1)[:rerank] if rerank < len(s) else np.arange(len(s))
-                score = exact(x[at], vs[i])
-                # What may still be among them: the tables' single precision is allowed for.
-                lead = _leading(score, least[at], k + 1)
-                enough = len(np.unique(least[at[lead]])) > k
-                may = s + length * (left_out + 1e-5 * long) >= score[lead[-1]] if enough else np.ones(len(s), bool)
-                may[at] = False
-                if len(more := np.flatnonzero(may)):
-                    near = x[more] @ vs[i]
-                    if enough:
-                        more = more[near >= score[lead[-1]] - 1e-9 * length * long[more]]
-                    at, score = np.concatenate([at, more]), np.concatenate([score, exact(x[more], vs[i])])
-                    lead = _leading(score, least[at], k + 1)
-                at, score = at[lead], score[lead]
-                own, n = np.concatenate(ids[at]), np.concatenate(times[at])
-                each = np.repeat(score, [len(ids[j]) for j in at])
-                first = _leading(each, own, k + 1)
-                out.append((np.full(len(first), qs[i]), own[first], n[first], each[first]))
-        return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("q", "vec_id", "times", "s"))})
-
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(search, "q long, vec_id long, times long, s double")
+    # Codes and vectors stay where they are. Queries go out in groups of a bounded size, each of which passes over them once.
+    block, groups = BLOCK, -(-n_asked // max(1, QUERY_BYTES // (8 * size["n"])))
+    parts = max(-(-n // block), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
+    coded = written(batches(classes.repartition(parts, "c"), code, f"c long, v {dict(classes.dtypes)['v']}, ids array<long>, times array<long>, code binary, left_out double"), "coded")
+    queries = classes.join(asked.select("c").distinct(), "c", "left_semi").select("c", "v", F.pmod(F.xxhash64(F.lit("g"), "c"), F.lit(groups)).cast("int").alias("group"))
+    at = shared_path(spark, "queries")
+    queries.write.partitionBy("group").parquet(at)
+    queries = spark.read.schema(queries.schema).parquet(at)
+    found = shared_path(spark, "found")
+    for g in range(groups):
+        rows = queries.filter(F.col("group") == g).select("c", "v").toPandas()
+        sent = spark.sparkContext.broadcast((rows["c"].to_numpy(), np.array(rows["v"].tolist(), float).reshape(len(rows), -1)))
+        _against(coded, sent, book, k, rerank, block).write.mode("append").parquet(found)
+        sent.unpersist()
+    found = spark.read.schema(FOUND).parquet(found)
+    for table in (classes, coded):
+        dropped(table)
+    removed(spark, at)
     # Own rows go out first. A row that is there more than once counts as often.
     own = asked.join(found.select(F.col("q").alias("c"), "vec_id", "times", F.col("s").alias("score")), "c").filter("vec_id <> query_id")
     own = _ranked(own, ["query_id", "c"], [F.desc("score"), F.col("vec_id")], k).drop("_rank").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))

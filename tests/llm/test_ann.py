@@ -89,3 +89,20 @@ def test_repeated_rows(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(8).astype(np.float32).tolist(), 0, 0.0, 1, "x") for i in range(200)]
     agrees(spark, rows + [rows[0]] * 25 + [rows[20]] + [rows[7]] * 3)
+
+
+def test_many_groups_and_blocks_give_the_same(spark, monkeypatch):
+    """Queries in some ten groups against blocks of 100: nothing depends on how they meet."""
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 8 * 8 * 6)
+    rng = np.random.default_rng(5)
+    agrees(spark, [(i, rng.standard_normal(8).astype(np.float32).tolist(), 0, 0.0, 1, "x") for i in range(1200)], rerank=30)
+
+
+def test_vectors_are_not_shuffled_for_queries(spark):
+    """Scanning the codes for a group of queries is one pass over their table, without an exchange."""
+    x = np.random.default_rng(6).standard_normal((50, 4))
+    coded = spark.createDataFrame([(1, [1.0] * 4, [1], [1], b"\0", 0.0)], "c long, v array<double>, ids array<long>, times array<long>, code binary, left_out double")
+    sent = spark.sparkContext.broadcast((np.arange(50), x))
+    found = ann._against(coded, sent, ann.Codebook.fit(x), 20, 200, 100)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 50
