@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, dropped, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 5
 #: Whole texts that are learned from, for each language at most.
 TEXTS = 400
+#: Labels that are learned at most, most frequent first; bytes of the longest word that is learned from, and words learned at most, all languages together.
+LANGS, LONG_WORD, VOCABULARY = 1000, 256, 2_000_000
 #: Robust deviations above the median cost at which a text is rejected.
 SPREADS = 10
 #: Words whose scores a worker keeps, and the longest of them.
@@ -180,42 +182,63 @@ class Scorer:
 
 
 def learned_sample(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
-    """(lang, text) of at most ``texts`` whole texts of each language, chosen by a hash of doc_id."""
+    """(lang, text, r) of at most ``texts`` whole texts of each of the LANGS most frequent languages, chosen and numbered from 1 by a hash of doc_id.
+
+    Rows without a language or a text are left out; rows that repeat a doc_id are ordered by their texts; an empty table gives an empty result.
+    """
     known = docs.filter("lang is not null and text is not null")
     h = F.pmod(F.xxhash64(F.lit("learned"), "doc_id"), F.lit(1_000_000))
-    n = known.groupBy("lang").agg(F.count("*").alias("n"))
+    n = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
     near = known.select("lang", "text", h.alias("h")).join(F.broadcast(n), "lang").filter(F.col("h") < F.greatest(F.lit(1), F.ceil(F.lit(2e6 * texts) / F.col("n"))))
     first = Window.partitionBy("lang").orderBy("h", "text")
-    return near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= texts).select("lang", "text")
+    return near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= texts).select("lang", "text", "r")
+
+
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """(lang, word, n, part): how often the texts of each language have each word, and how often those that are not for calibration have it."""
+
+    def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found: dict[tuple[str, bool], Counter] = {}
+            for lang, text, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found.setdefault((lang, r % 5 > 0), Counter()).update(w for w in letters(text) if len(w.encode("utf-8", "surrogatepass")) <= LONG_WORD)
+            rows = [(lang, w, n, n if part else 0) for (lang, part), words in found.items() for w, n in words.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "word", "n", "part"])
+
+    counted = batches(sample.select("lang", "text", "r"), step, "lang string, word string, n long, part long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("part").alias("part"))
 
 
 def fit(docs: DataFrame, texts: int = TEXTS) -> Model:
     """A model of each language in ``docs`` (lang, text, doc_id), and the rejection level.
 
-    The level is calibrated on every fifth sampled text, scored by models of the others: the highest ``_level`` of any language. It is made
-    of medians, so a few odd or mislabelled texts don't move it.
-    """
-    rows = sorted((r["lang"], r["text"]) for r in learned_sample(docs, texts).collect())
-    words = [Counter(letters(t)) for _, t in rows]
-
-    def counts(pick) -> dict[str, Counter]:
-        out: dict[str, Counter] = {}
-        for i, (lang, _) in enumerate(rows):
-            if pick(i) and words[i]:
-                out.setdefault(lang, Counter()).update(words[i])
-        return out
+    Words of the sampled texts are counted in tasks; the driver gets the counts of at most VOCABULARY words, the most frequent of each language,
+    and no text. The level is calibrated on every fifth sampled text of a language, scored by models of the others: the highest ``_level`` of any language. It is made
+    of medians, so a few odd or mislabelled texts don't move it. Languages with fewer than five texts have none for it.
 
-    model = fit_words(counts(lambda i: True))
-    part = fit_words(counts(lambda i: i % 5))
+    Rows without a language or a text are not learned from; of repeated rows each counts; an empty table gives a model without languages, which rejects nothing by its level.
+    """
+    sample = written(learned_sample(docs, texts), "learned")
+    counted = written(_word_counts(sample), "words")
+    langs = counted.select("lang").distinct().count()
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    rows = counted.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= VOCABULARY // max(langs, 1)).select("lang", "word", "n", "part").toPandas().sort_values(["lang", "word"])
+    dropped(counted)
+
+    def counts(column: str) -> dict[str, Counter]:
+        some = rows[rows[column] > 0]
+        return {lang: Counter(dict(zip(of["word"], of[column].tolist(), strict=True))) for lang, of in some.groupby("lang", sort=True)}
+
+    model = fit_words(counts("n"))
+    part = fit_words(counts("part"))
     if part.langs:
-        tried = [row for i, row in enumerate(rows) if i % 5 == 0]
-        cost, n = Scorer(part)([t for _, t in tried])
+        tried = predict(sample.filter("r % 5 = 0"), part, ("lang",), sizes=True).filter("n >= 20").select("lang", "cost").collect()
         by: dict[str, list[float]] = {}
-        for (lang, _), c, size in zip(tried, cost.min(1).tolist(), n.tolist(), strict=True):
-            if size >= 20:
-                by.setdefault(lang, []).append(c)
+        for r in tried:
+            by.setdefault(r["lang"], []).append(r["cost"])
         if by:
             model.reject_above = max(map(_level, by.values()))
+    dropped(sample)
     return model
 
 
@@ -225,14 +248,14 @@ def _level(costs: list[float]) -> float:
     return max(1.75 * mid, mid + SPREADS * 1.4826 * float(np.median(np.abs(np.array(costs) - mid))))
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), sizes: bool = False) -> DataFrame:
     """The columns in ``keep`` and lang_pred, score (0 to 1), cost (nats for each letter or word end, null if there is none), rejected.
 
     The language is the one whose model has the lowest cost of the whole text, ties to the smaller name; score is its share among
     all languages, given at most 60 letters' evidence. A text that is null or has no letter is ``und`` with score 0, and
     rejected; so are texts that cost more than the calibrated level, though their lang_pred stands. Without learned languages
     all are ``und``. Rows are predicted one by one, so repeated rows agree; an empty table gives an empty result; further
-    columns are ignored unless kept.
+    columns are ignored unless kept. With ``sizes`` there is n as well, the letters and word ends of a text.
     """
     langs, kinds = model.langs, dict(docs.dtypes)
 
@@ -249,9 +272,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 n, best, low, share = np.zeros(len(texts), int), np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts))
             ok = n > 0
             pred = [langs[j] if k else "und" for j, k in zip(best.tolist(), ok.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(low, mask=~ok), pa.array(~ok | (low > model.reject_above))], names=[*keep, "lang_pred", "score", "cost", "rejected"])
+            out = [*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(low, mask=~ok), pa.array(~ok | (low > model.reject_above))]
+            names = [*keep, "lang_pred", "score", "cost", "rejected"]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(n, pa.int64())] if sizes else out, names=[*names, "n"] if sizes else names)
 
-    return batches(docs.select(*keep, F.col("text").alias("_text")), step, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, cost double, rejected boolean")
+    return batches(docs.select(*keep, F.col("text").alias("_text")), step, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, cost double, rejected boolean" + (", n long" if sizes else ""))
 
 
 def held_out(mod: int, remainder: int):

@@ -122,3 +122,30 @@ def test_number_signs_are_no_letters(spark):
     got = langid.predict(frame(spark, [(i, t, "en", "s", 0, 0.0, 0, 0, 0, 0, "") for i, t in enumerate(signs)]), model).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
     assert langid.letters("Añ²b é½ Ωmega") == ["añ", "b", "é", "ωmega"]
+
+
+def test_the_driver_gets_counts_of_a_bounded_vocabulary(spark, monkeypatch):
+    """Very long texts and words: what the models are made of stays within its bound, and languages are told apart."""
+    rows = [(i, " ".join([text(lang, i, 8000), "ka" * 2000]), lang, *r) for i, _, lang, *r in corpus(30)]
+    docs = frame(spark, rows)
+    monkeypatch.setattr(langid, "VOCABULARY", 300)
+    learned = []
+    fit_words = langid.fit_words
+    monkeypatch.setattr(langid, "fit_words", lambda counts: learned.append(counts) or fit_words(counts))
+    model = langid.fit(docs)
+    assert all(len(c) <= 100 for counts in learned for c in counts.values()) and len(learned) == 2
+    assert all(len(w) <= langid.LONG_WORD for c in learned[0].values() for w in c)
+    got = langid.predict(frame(spark, corpus(60)), model).collect()
+    assert all(r.lang_pred == "xx yy zz".split()[r.doc_id % 3] and not r.rejected for r in got)
+
+
+def test_counts_of_tasks_equal_plain_ones(spark):
+    docs = frame(spark, corpus(60)).repartition(7)
+    sample = langid.learned_sample(docs)
+    got = {(r.lang, r.word): (r.n, r.part) for r in langid._word_counts(sample).collect()}
+    want = {}
+    for r in sample.collect():
+        for w in langid.letters(r.text):
+            n, part = want.get((r.lang, w), (0, 0))
+            want[r.lang, w] = (n + 1, part + (r.r % 5 > 0))
+    assert got == want
