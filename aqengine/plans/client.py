@@ -50,10 +50,9 @@ def filtered(m: DataFrame, location: str = "all", pollutant: str = "all") -> Dat
 
 
 def defaulted(raw: DataFrame) -> DataFrame:
-    """Timestamp, location, pollutant, value and unit of loose rows; the first column that has something counts."""
+    """Timestamp, location, pollutant, value and unit of loose rows; the first column that has something counts. A reading of 0 is something."""
     has = lambda *cols: F.coalesce(*[F.col(c) for c in cols if c in raw.columns])
-    some = lambda c: F.when(F.col(c) != 0, F.col(c))
-    value = F.coalesce(*[some(c) for c in ("value", "concentration", "aqi") if c in raw.columns], F.lit(0.0))
+    value = F.coalesce(*[F.col(c) for c in ("value", "concentration", "aqi") if c in raw.columns], F.lit(0.0))
     word = lambda *cols: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cols if c in raw.columns])
     return raw.withColumns({"timestamp": has("timestamp", "time", "created_at"), "location": F.coalesce(word("location", "city"), F.lit("Unknown location")), "pollutant": F.coalesce(word("pollutant"), F.lit("O3")), "value": value, "unit": F.coalesce(word("unit"), F.lit("AQI")) if "unit" in raw.columns else F.lit("AQI")})
 
