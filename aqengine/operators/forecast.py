@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..interim import dropped, written
+from ..interim import dropped, sized
 from .aggregate import daily_mean
 from .series import DAILY, HOURLY, add_lags, calendar, split_tag
 
@@ -125,18 +125,12 @@ def _assembled(df: DataFrame, xs: list[str]) -> DataFrame:
 SHARE = 100_000
 
 
-def _sized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once, and read in as many parts as its size needs: each level of each tree is a job over all of them."""
-    df = written(df, name)
-    return df.coalesce(max(1, -(-df.count() // SHARE)))
-
-
 def forecast_gbt(s: DataFrame, cutoff: Column, grain: str = "hourly", trees: int = 80, depth: int = 4, rate: float = 0.05, seed: int = 42) -> DataFrame:
     """Train, Test and Next rows under one model of boosted trees over all sites."""
     f, xs = features(s, grain)
     rows = usable(f, xs, cutoff, grain)
     cols = ["SiteID", "timestamp", "PM25", *xs, "Forecast_Type"]
-    rows = _sized(rows.select(*cols), "features")
+    rows = sized(rows.select(*cols), "features", SHARE)
     train = _assembled(rows.filter("Forecast_Type = 'Train'"), xs)
     if train.isEmpty():
         return s.sparkSession.createDataFrame([], "SiteID string, timestamp timestamp, Model_Name string, Actual_PM25 double, Predicted_PM25 double, Forecast_Type string")
@@ -153,7 +147,7 @@ def tune_gbt(s: DataFrame, cutoff: Column, grain: str = "hourly", draws: int = 3
     """
     grid = grid or {"trees": [50, 100, 150], "depth": [3, 5, 7], "rate": [0.01, 0.05, 0.1]}
     f, xs = features(s, grain)
-    rows = _sized(usable(f, xs, cutoff, grain).filter("Forecast_Type = 'Train'").select(F.unix_seconds("timestamp").cast("double").alias("t"), F.col("PM25").cast("double").alias("PM25"), *xs), "tuning")
+    rows = sized(usable(f, xs, cutoff, grain).filter("Forecast_Type = 'Train'").select(F.unix_seconds("timestamp").cast("double").alias("t"), F.col("PM25").cast("double").alias("PM25"), *xs), "tuning", SHARE)
     ends = rows.approxQuantile("t", [i / (folds + 1) for i in range(1, folds + 2)], 0.001)
     picks = [list(product(*grid.values()))[i] for i in np.random.default_rng(seed).permutation(int(np.prod([len(v) for v in grid.values()])))[:draws]]
     vectors = _assembled(rows, xs).select("t", "PM25", "features")

@@ -181,3 +181,18 @@ def test_serving_edges(spark, sf_dir):
     assert client.map_centre(loc.limit(0)).first().latitude == client.CENTRE[0]
     assert client.heat_points(joins.with_location(empty, loc)).count() == 0
     assert client.filtered(m).count() == m.count()
+
+
+def test_fits_of_a_sweep_read_few_parts(spark, monkeypatch):
+    """Each round of a fit is a job over all parts of the features, so a small table must not lie in many."""
+    parts = []
+
+    class Spy(cluster.KMeans):
+        def fit(self, df):
+            parts.append(df.rdd.getNumPartitions())
+            return super().fit(df)
+
+    monkeypatch.setattr(cluster, "KMeans", Spy)
+    rows = spark.range(90).select(*[(F.col("id") % 3 * 10 + F.rand(i) / 10).alias(c) for i, c in enumerate("ab")]).repartition(64)
+    got = cluster.sweep_clusters(cluster.assemble(rows, ["a", "b"]), (2, 3)).collect()
+    assert parts == [1, 1] and [r.k for r in got if r.best] == [3] and got[1].kmeans > 0.99
