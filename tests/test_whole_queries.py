@@ -137,3 +137,12 @@ def test_nearest_places_of_none(spark):
     places = spark.createDataFrame([("a", "s", 1.0, 1.0)], "city string, state string, c_lon double, c_lat double")
     assert [x.city for x in joins.nearest_places(users, places, 5).collect()] == ["a"]
     assert joins.nearest_places(users, places.limit(0), 5).collect() == [] and joins.nearest_places(users.limit(0), places, 5).collect() == []
+
+
+@pytest.mark.parametrize("name", ["alert_recipients", "alert_outbox"])
+def test_nothing_is_worked_out_for_each_recipient_of_each_alert(spark, sf_dir, name):
+    """The last join makes a row for each alert and subscriber; texts, times and distances are ready before."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    after = plan.split("Join Inner")[0]
+    assert not any(f in after.lower() for f in ("format_string", "date_format", "round("))
+    assert "RepartitionByExpression" in plan
