@@ -146,3 +146,14 @@ def test_nothing_is_worked_out_for_each_recipient_of_each_alert(spark, sf_dir, n
     after = plan.split("Join Inner")[0]
     assert not any(f in after.lower() for f in ("format_string", "date_format", "round("))
     assert "RepartitionByExpression" in plan
+
+
+def test_users_meet_lists_of_places(spark):
+    """A user and the places of a leaf are one row, so rows of users times places are neither dealt nor sorted; a leaf at the least level may hold any number of places."""
+    r = random.Random(5)
+    places = [(f"c{i}", "S", 1.0 + r.random() / 1e7, 1.0 + r.random() / 1e7) for i in range(150)] + [("far", "S", 9.0, 9.0)]
+    users = [(i, 1.0 + r.random() / 1e7, 1.0) for i in range(20)]
+    near = joins.nearest_places(spark.createDataFrame(users, "id long, longitude double, latitude double"), spark.createDataFrame(places, "city string, state string, c_lon double, c_lat double"), 3)
+    assert "Window" not in near._jdf.queryExecution().optimizedPlan().toString()
+    want = {(i, c) for i, x, y in users for _, c in sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, c) for c, _, a, b in places)[:3]}
+    assert {(p.id, p.city) for p in near.collect()} == want
