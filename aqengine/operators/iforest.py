@@ -58,22 +58,30 @@ def isolation_forest_fit(df: DataFrame, cols: list[str], key: list[str], trees:
     return picks.groupBy("t").applyInPandas(build, "tree int, n int, column array<int>, cut array<double>, left array<int>, size array<double>")
 
 
+def _looped(column: np.ndarray, cut: np.ndarray, left: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A tree whose leaves lead to themselves, so that all rows take the same number of steps, and that number."""
+    leaf, depth = column < 0, np.zeros(len(column), int)
+    for i in np.flatnonzero(~leaf):  # children come after their parent
+        depth[left[i]] = depth[left[i] + 1] = depth[i] + 1
+    return np.where(leaf, 0, column), np.where(leaf, np.nan, cut), np.where(leaf, np.arange(len(column)), left), size, int(depth.max())
+
+
 def isolation_forest_score(df: DataFrame, forest: DataFrame, cols: list[str]) -> DataFrame:
     """``df`` with score = 2^(-E[path] / c(n)); higher is more anomalous. The forest is of a fixed size (trees times sample), so it is broadcast."""
     rows = forest.orderBy("tree").collect()
-    model = df.sparkSession.sparkContext.broadcast([tuple(np.array(r[c]) for c in ("column", "cut", "left", "size")) for r in rows])
+    model = df.sparkSession.sparkContext.broadcast([_looped(*[np.array(r[c]) for c in ("column", "cut", "left", "size")]) for r in rows])
     norm = float(np.mean(mean_depth([r["n"] for r in rows]))) if rows else 1.0
 
     @F.pandas_udf("double")
     def score(*parts: pd.Series) -> pd.Series:
-        x = np.stack([p.to_numpy(float) for p in parts], 1)
-        total, every = np.zeros(len(x)), np.arange(len(x))
-        for column, cut, left, size in model.value:
-            at = np.zeros(len(x), int)
-            while len(open_ := every[column[at] >= 0]):
-                a = at[open_]
-                at[open_] = left[a] + (x[open_, column[a]] >= cut[a])
-            total += size[at]
+        x = np.concatenate([p.to_numpy(float) for p in parts])
+        n = len(parts[0])
+        total, every = np.zeros(n), np.arange(n)
+        for column, cut, left, size, depth in model.value:
+            at = np.zeros(n, int)
+            for _ in range(depth):
+                at = left.take(at) + (x.take(column.take(at) * n + every) >= cut.take(at))
+            total += size.take(at)
         return pd.Series(np.exp2(-total / max(1, len(model.value)) / max(norm, 1e-9)))
 
     return df.withColumn("score", score(*[F.col(c).cast("double") for c in cols]))

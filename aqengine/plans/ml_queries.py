@@ -40,6 +40,13 @@ def _anomaly_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     return cluster.anomaly_features(wide, cols), [*cols, *[f"{c}_delta" for c in cols], "hour_sin", "hour_cos"]
 
 
+def _scored(spark, sf_dir) -> DataFrame:
+    """Hourly rows with their isolation score. The rows are written once, as they are counted, drawn from and scored."""
+    rows, cols = _anomaly_rows(spark, sf_dir)
+    rows = written(rows.select("SiteID", "timestamp", *cols), "rows")
+    return iforest.isolation_forest_score(rows, iforest.isolation_forest_fit(rows, cols, ["SiteID", "timestamp"]), cols).select("SiteID", "timestamp", "score")
+
+
 @query()
 def cluster_sweep(spark, sf_dir):
     return cluster.sweep_clusters(_profiles(spark, sf_dir))
@@ -103,17 +110,13 @@ def sensor_components(spark, sf_dir):
 
 @query()
 def isolation_forest(spark, sf_dir):
-    rows, cols = _anomaly_rows(spark, sf_dir)
-    forest = iforest.isolation_forest_fit(rows, cols, ["SiteID", "timestamp"])
-    scored = iforest.isolation_forest_score(rows, forest, cols)
+    scored = written(_scored(spark, sf_dir), "scored")
     return aggregate.flag_iqr(scored, "score", error=0.001).select("SiteID", "timestamp", "score", "is_anomaly")
 
 
 @query()
 def isolation_top(spark, sf_dir):
-    rows, cols = _anomaly_rows(spark, sf_dir)
-    scored = iforest.isolation_forest_score(rows, iforest.isolation_forest_fit(rows, cols, ["SiteID", "timestamp"]), cols)
-    return top_anomalies(scored.select("SiteID", "timestamp", "score"))
+    return top_anomalies(_scored(spark, sf_dir))
 
 
 def _spots(spark, sf_dir) -> DataFrame:

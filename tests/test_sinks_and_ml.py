@@ -196,3 +196,25 @@ def test_fits_of_a_sweep_read_few_parts(spark, monkeypatch):
     rows = spark.range(90).select(*[(F.col("id") % 3 * 10 + F.rand(i) / 10).alias(c) for i, c in enumerate("ab")]).repartition(64)
     got = cluster.sweep_clusters(cluster.assemble(rows, ["a", "b"]), (2, 3)).collect()
     assert parts == [1, 1] and [r.k for r in got if r.best] == [3] and got[1].kmeans > 0.99
+
+
+def test_trees_are_walked_in_steps(spark):
+    """Rows in leaves stay there, whatever their values, so that scores are those of a walk that stops."""
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    column, cut, left, size = (np.array(a) for a in iforest._grow(x, np.random.default_rng(1), 8))
+    c, t, go, _, depth = iforest._looped(column, cut, left, size)
+    for row in [*x, np.array([np.inf] * 3), np.array([-np.inf] * 3), np.array([np.nan] * 3)]:
+        at, to = 0, 0
+        while column[at] >= 0:
+            at = left[at] + int(row[column[at]] >= cut[at])
+        for _ in range(depth):
+            to = go[to] + int(row[c[to]] >= t[to])
+        assert at == to
+
+
+def test_rows_are_scored_once(spark, sf_dir, monkeypatch):
+    """Neither the quartiles nor the flags score rows again."""
+    from aqengine.plans import registry
+
+    plan = registry.QUERIES["isolation_forest"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Window" not in plan
