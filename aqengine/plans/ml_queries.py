@@ -151,7 +151,7 @@ def dbscan(spark, sf_dir):
 SELECT id, coalesce(label.label, other.label, -1) AS cluster FROM p LEFT JOIN label ON label.p = id LEFT JOIN other ON other.p = id""")
 def dbscan_profiles(spark, sf_dir):
     """Density clusters of sites by their five profile columns on a common scale."""
-    p = cluster.scaled_profiles(aggregate.site_profile(_cleaned(spark, sf_dir)))
+    p = cluster.scaled_profiles(written(aggregate.site_profile(_cleaned(spark, sf_dir)).select("SiteID", *cluster.PROFILE), "profiles"))
     return cluster.dbscan(p.withColumn("id", F.col("SiteID").cast("long")), "id", cluster.PROFILE, 1.0, 5)
 
 

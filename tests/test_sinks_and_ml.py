@@ -218,3 +218,29 @@ def test_rows_are_scored_once(spark, sf_dir, monkeypatch):
 
     plan = registry.QUERIES["isolation_forest"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["dbscan_sweep", "dbscan_profiles"])
+def test_density_clusters_read_events_once(spark, sf_dir, name):
+    from aqengine.plans import registry
+
+    assert not any("events" in f for f in registry.QUERIES[name](spark, sf_dir).inputFiles())
+
+
+def test_cells_whose_facing_rows_do_not_meet(spark):
+    """Three groups of rows: the first two are joined only by rows at the rims of their cells, not by those nearest to the other's middle; the third is apart."""
+    cell = 1 / 2**0.5
+    left = [(i, 0.6, 0.35 + i / 1000) for i in range(6)] + [(6, 0.55, 0.01)]
+    right = [(10 + i, 1.75 + i / 1000, 0.35) for i in range(6)] + [(16, 1.5, 0.01)]
+    rows = [*left, *right, *[(20 + i, 9.0 + i / 100, 9.0) for i in range(6)]]
+    assert cell < 1.5 < 3 * cell
+    got = dict(cluster.dbscan(spark.createDataFrame(rows, "id long, x double, y double"), "id", ["x", "y"], 1.0, 5).collect())
+    near = {i: {j for j, a, b in rows if (a - x) ** 2 + (b - y) ** 2 <= 1.0} for i, x, y in rows}
+    core, label = {i for i in near if len(near[i]) >= 5}, {}
+    for i in sorted(core):
+        todo = [] if i in label else [i]
+        while todo:
+            j = todo.pop()
+            label[j] = i
+            todo += [q for q in near[j] & core if q not in label]
+    assert got == {i: label.get(i, min((label[j] for j in near[i] & core), default=-1)) for i in near}
