@@ -8,8 +8,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,32 +138,71 @@ def forecast_gbt(s: DataFrame, cutoff: Column, grain: str = "hourly", trees: int
     return _shaped(model.transform(_assembled(every, xs)), "BoostedTrees")
 
 
+#: Bins of a feature, as many as Spark's trees have by default; rows of a task's share of a table that several fits read at the same time.
+BINS, TUNED = 32, 250_000
+
+
+def _bounds(rows: DataFrame, xs: list[str]) -> list[list[float]]:
+    """For each column the borders of its bins, from all rows: between all its values if these are few, else after quantiles."""
+    out = []
+    for x, q in zip(xs, rows.approxQuantile(xs, [i / BINS for i in range(1, BINS)], 0.001), strict=True):
+        borders = np.nextafter(np.unique(q), np.inf)
+        if len(borders) < BINS - 1 and len(few := rows.select(x).distinct().limit(BINS + 1).collect()) <= BINS:
+            values = np.unique([r[0] for r in few])
+            borders = (values[1:] + values[:-1]) / 2
+        out.append([-np.inf, *map(float, borders), np.inf])
+    return out
+
+
+def _cells(rows: DataFrame, xs: list[str], bounds: list[list[float]]) -> DataFrame:
+    """Rows in the same bins of all columns as one: features (numbers of the bins), n, PM25 (their mean), rest (their squared distances from it).
+
+    Boosting by squares takes such rows apart nowhere, so its trees are those of all rows, and its error is known from these sums.
+    """
+    names = [f"{x}_bin" for x in xs]
+    binned = Bucketizer(splitsArray=bounds, inputCols=xs, outputCols=names).transform(rows)
+    n = F.count("*").cast("double")
+    numbers = [F.col(b).cast("int").alias(b) for b in names]  # a cast number is no category any more: bins have an order
+    cells = sized(binned.groupBy(*numbers).agg(n.alias("n"), F.avg("PM25").alias("PM25"), (n * F.var_pop("PM25")).alias("rest")), "cells", TUNED)
+    return _assembled(cells, names).select("n", "PM25", "rest", "features")
+
+
 def tune_gbt(s: DataFrame, cutoff: Column, grain: str = "hourly", draws: int = 3, folds: int = 3, seed: int = 42, grid: dict[str, list] | None = None, at_once: int = 8) -> DataFrame:
     """trees, depth, rate, rmse of random draws from a grid; each fold learns from the time before it.
 
-    The features are computed and written once. The fits don't depend on one another, so ``at_once`` of them are Spark jobs of this session at the same time: while one waits
-    for its driver, others use the cluster. A fold without rows to learn from or to judge by counts for nothing.
+    The features are computed and written once, and each fold's rows once as cells (see ``_cells``), which grow with the rows only until the bins that occur together are filled. A fold's
+    bins come from the rows that it learns from. The fits don't depend on one another, so ``at_once`` of them, the longest first, are Spark jobs of this session at the same time: while
+    one waits for its driver, others use the cluster. A fold without rows to learn from or to judge by counts for nothing.
     """
     grid = grid or {"trees": [50, 100, 150], "depth": [3, 5, 7], "rate": [0.01, 0.05, 0.1]}
     f, xs = features(s, grain)
     rows = sized(usable(f, xs, cutoff, grain).filter("Forecast_Type = 'Train'").select(F.unix_seconds("timestamp").cast("double").alias("t"), F.col("PM25").cast("double").alias("PM25"), *xs), "tuning", SHARE)
     ends = rows.approxQuantile("t", [i / (folds + 1) for i in range(1, folds + 2)], 0.001)
     picks = [list(product(*grid.values()))[i] for i in np.random.default_rng(seed).permutation(int(np.prod([len(v) for v in grid.values()])))[:draws]]
-    vectors = _assembled(rows, xs).select("t", "PM25", "features")
 
     @inheritable_thread_target(s.sparkSession)
-    def error(trees: int, depth: int, rate: float, i: int) -> float | None:
-        train, test = vectors.filter(F.col("t") <= ends[i]), vectors.filter((F.col("t") > ends[i]) & (F.col("t") <= ends[i + 1]))
+    def parted(i: int) -> tuple[DataFrame, DataFrame] | None:
+        train, test = rows.filter(F.col("t") <= ends[i]), rows.filter((F.col("t") > ends[i]) & (F.col("t") <= ends[i + 1]))
         if train.isEmpty() or test.isEmpty():
             return None
-        model = GBTRegressor(featuresCol="features", labelCol="PM25", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(train)
-        return RegressionEvaluator(labelCol="PM25", metricName="rmse").evaluate(model.transform(test))
+        bounds = _bounds(train, xs)
+        return _cells(train, xs, bounds), _cells(test, xs, bounds)
+
+    @inheritable_thread_target(s.sparkSession)
+    def error(trees: int, depth: int, rate: float, i: int) -> float:
+        train, test = parts[i]
+        model = GBTRegressor(featuresCol="features", labelCol="PM25", weightCol="n", maxBins=BINS, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(train)
+        off = F.col("PM25") - F.col("prediction")
+        return model.transform(test).agg(F.sqrt(F.sum(F.col("n") * off * off + F.col("rest")) / F.sum("n"))).first()[0]
 
     with ThreadPoolExecutor(at_once) as pool:
-        fits = {(pick, i): pool.submit(error, *pick, i) for pick in picks for i in range(folds if ends else 0)}
+        parts = [part.result() for part in [pool.submit(parted, i) for i in range(folds if ends else 0)]]
+        due = sorted(((pick, i) for pick in picks for i, part in enumerate(parts) if part), key=lambda k: -k[0][0] * k[0][1] * (k[1] + 1))
+        fits = {k: pool.submit(error, *k[0], k[1]) for k in due}
         errors = {k: fit.result() for k, fit in fits.items()}
     mean = lambda pick: (lambda known: float(np.mean(known)) if known else None)([e for i in range(folds) if (e := errors.get((pick, i))) is not None])
-    dropped(rows)
+    for table in (rows, *[t for part in parts if part for t in part]):
+        dropped(table)
     return s.sparkSession.createDataFrame([(trees, depth, float(rate), mean((trees, depth, rate))) for trees, depth, rate in picks], "trees int, depth int, rate double, rmse double")
 
 

@@ -144,6 +144,35 @@ def test_tuning_judges_every_fold(spark):
     assert len(none) == 2 and all(r["rmse"] is None for r in none)
 
 
+def test_tuning_learns_from_cells_as_from_all_rows(spark, monkeypatch):
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    rng, t0, sizes = np.random.default_rng(7), datetime(2024, 1, 1), []
+    level = rng.integers(1, 6, (2, 400)).cumsum(1) % 20
+
+    class Trees(forecast.GBTRegressor):
+        def fit(self, df):
+            sizes.append(df.count())
+            return super().fit(df)
+
+    def tuned(sites):
+        s = spark.createDataFrame([(f"s{j}", t0 + timedelta(hours=i), float(level[j % 2, i])) for j in range(sites) for i in range(400)], "SiteID string, timestamp timestamp, PM25 double")
+        sizes.clear()
+        (row,) = forecast.tune_gbt(s, F.lit(t0 + timedelta(hours=350)), draws=1, folds=1, grid={"trees": [2], "depth": [2], "rate": [0.5]}).collect()
+        return s, row["rmse"], sizes[:]
+
+    monkeypatch.setattr(forecast, "GBTRegressor", Trees)
+    s, once, few = tuned(2)
+    _, often, many = tuned(10)
+    assert few == many and abs(once - often) < 1e-9  # five times the rows, in the same cells
+    f, xs = forecast.features(s)
+    rows = forecast._assembled(forecast.usable(f, xs, F.lit(t0 + timedelta(hours=350)), "hourly").filter("Forecast_Type = 'Train'"), xs)
+    end, last = rows.select(F.unix_seconds("timestamp").cast("double").alias("t")).approxQuantile("t", [0.5, 1.0], 0.001)
+    at = F.unix_seconds("timestamp")
+    model = monkeypatch.undo() or forecast.GBTRegressor(labelCol="PM25", maxIter=2, maxDepth=2, stepSize=0.5, seed=42).fit(rows.filter(at <= end))
+    assert abs(RegressionEvaluator(labelCol="PM25").evaluate(model.transform(rows.filter((at > end) & (at <= last)))) - once) < 1e-6
+
+
 def test_isolation_forest_finds_outliers(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (1500, 3)), rng.normal(0, 1, (10, 3)) + 9])
