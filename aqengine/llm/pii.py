@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -13,13 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from ..interim import sized
+from .common import batches, dropped
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the trees are fitted on at most, candidates of them at most; trees, their depth, and bins of a feature.
-SAMPLE, CANDIDATES, TREES, DEPTH, BINS = 3000, 30_000, 40, 3, 16
-#: Share of added candidates that must be right, on the part of the sample that calibrates the thresholds.
-PRECISION = 0.98
+#: Trees, their depth, and bins of a feature.
+TREES, DEPTH, BINS = 40, 3, 16
+#: Share of added candidates that must be right, on the documents that calibrate the thresholds; steps of a threshold.
+PRECISION, STEPS = 0.98, 10_000
+#: Distinct candidates that a task of the first pass holds, and that a task of the later ones reads.
+HELD, SHARE = 50_000, 200_000
 
 # The base formats. They are written so that a failed attempt isn't repeated inside the same run of characters; an
 # address is looked for at each @, its characters before it and its host after it.
@@ -121,10 +125,25 @@ class Boosted:
         return 1 / (1 + np.exp(-out))
 
 
+def _split(g: list[np.ndarray], h: list[np.ndarray], gs: float, hs: float, cuts: list[np.ndarray], reg: float) -> tuple[float, int, int]:
+    """The best cut of a node: its gain, feature and number (-1: none). ``g``, ``h``: sums of gradients for each feature by bin; ``gs``, ``hs``: all."""
+    best = (1e-9, 0, -1)
+    for j, q in enumerate(cuts):
+        left_g, left_h = np.cumsum(g[j])[: len(q)], np.cumsum(h[j])[: len(q)]
+        gain = left_g**2 / (left_h + reg) + (gs - left_g) ** 2 / (hs - left_h + reg) - gs**2 / (hs + reg)
+        if len(gain) and gain.max() > best[0]:
+            best = (float(gain.max()), j, int(gain.argmax()))
+    return best
+
+
+def _log_odds(share: float) -> float:
+    share = np.clip(share, 1e-3, 1 - 1e-3)
+    return float(np.log(share / (1 - share)))
+
+
 def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = 0.2, reg: float = 5.0) -> Boosted:
     """Gradient boosting on the logistic loss, with cuts at quantiles of each feature."""
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    model = Boosted(start=float(np.log(share / (1 - share))))
+    model = Boosted(start=_log_odds(y.mean()))
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(q, c) for q, c in zip(cuts, x.T, strict=True)], 1)  # bin > i means value > cut i
     score = np.full(len(y), model.start)
@@ -136,17 +155,11 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = 0.2, r
         f, c, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(y), np.int64)
         for at in range(inner):
             own = np.flatnonzero(node == at)
-            best = (1e-9, 0, -1)
             if len(own) >= 20:
-                gs, hs = g[own].sum(), h[own].sum()
-                for j, q in enumerate(cuts):
-                    left_g = np.cumsum(np.bincount(binned[own, j], g[own], len(q) + 1))[:-1]
-                    left_h = np.cumsum(np.bincount(binned[own, j], h[own], len(q) + 1))[:-1]
-                    gain = left_g**2 / (left_h + reg) + (gs - left_g) ** 2 / (hs - left_h + reg) - gs**2 / (hs + reg)
-                    if len(gain) and gain.max() > best[0]:
-                        best = (float(gain.max()), j, int(gain.argmax()))
-            if best[2] >= 0:
-                f[at], c[at] = best[1], cuts[best[1]][best[2]]
+                by_bin = lambda w, own=own: [np.bincount(binned[own, j], w[own], len(q) + 1) for j, q in enumerate(cuts)]
+                _, j, i = _split(by_bin(g), by_bin(h), g[own].sum(), h[own].sum(), cuts, reg)
+                if i >= 0:
+                    f[at], c[at] = j, cuts[j][i]
             node[own] = 2 * at + 1 + (x[own, f[at]] > c[at])
         leaf = node - inner
         value = rate * np.bincount(leaf, g, leaves) / (np.bincount(leaf, h, leaves) + reg)
@@ -156,6 +169,54 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = 0.2, r
     return model
 
 
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    """The features (first column) of a batch of candidates."""
+    return b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def _sums(cells: DataFrame, model: Boosted, f: np.ndarray, c: np.ndarray, level: int, cuts: list[np.ndarray]) -> np.ndarray:
+    """Of all candidates, for each node of a level of the next tree (so far ``f``, ``c``), each feature and bin: the sums of gradients, their slopes, and the number."""
+    nodes = 2**level
+
+    def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((nodes, 3, len(cuts), BINS))
+        for b in it:
+            x, y, n = _matrix(b), b.column(1).to_numpy(), b.column(2).to_numpy().astype(float)
+            p, node, rows = model.predict(x), np.zeros(len(x), np.int64), np.arange(len(x))
+            for _ in range(level):
+                node = 2 * node + 1 + (x[rows, f[node]] > c[node])
+            for j, q in enumerate(cuts):
+                at = (node - (nodes - 1)) * BINS + np.searchsorted(q, x[:, j])
+                for k, w in enumerate((n * (y - p), n * p * (1 - p), n)):
+                    out[:, k, j] += np.bincount(at, w, nodes * BINS).reshape(nodes, BINS)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["w"])
+
+    parts = batches(cells.select("x", "y", "n"), step, "w binary", 20_000).collect()
+    return sum(np.frombuffer(r["w"]) for r in parts).reshape(nodes, 3, len(cuts), BINS)
+
+
+def boosted(cells: DataFrame, trees: int = TREES, rate: float = 0.2, reg: float = 5.0) -> Boosted:
+    """``boost`` of candidates in a table: x (features), y (1: right), n (how many are alike). Every level of a tree is one pass, from which the driver gets sums by bin."""
+    right, n = cells.agg(F.sum(F.col("n") * F.col("y")), F.sum("n")).first()
+    probs = np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    values = cells.select("n", F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.percentile("v", probs, F.col("n")).alias("q")).orderBy("j").collect()
+    cuts, model = [np.unique(r["q"]) for r in values], Boosted(start=_log_odds(right / n))
+    inner, leaves = 2**DEPTH - 1, 2**DEPTH
+    for _ in range(trees):
+        f, c, value = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(leaves)
+        for level in range(DEPTH):
+            for i, (g, h, n) in enumerate(_sums(cells, model, f, c, level, cuts)):
+                at, j, k = 2**level - 1 + i, 0, BINS  # without a cut all go left
+                if n[0].sum() >= 20:
+                    _, j, best = _split(g, h, g[0].sum(), h[0].sum(), cuts, reg)
+                    if best >= 0:
+                        f[at], c[at], k = j, cuts[j][best], best + 1
+                if level == DEPTH - 1:
+                    value[2 * i : 2 * i + 2] = [rate * g[j, own].sum() / (h[j, own].sum() + reg) for own in (slice(k), slice(k, None))]
+        model.feature, model.cut, model.leaf = np.vstack([model.feature, f]), np.vstack([model.cut, c]), np.vstack([model.leaf, value])
+    return model
+
+
 def _rewritten(kind: str, s: str) -> list[str]:
     """A base span as it is written where the base format misses it."""
     if kind == "email":
@@ -215,38 +276,58 @@ def training_rows(text: str) -> list[tuple[int, list[float]]]:
     return rows
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Boosted:
-    """Trees and thresholds from at most ``sample`` documents (whole texts), chosen by a hash; see ``training_rows``.
+def training_cells(docs: DataFrame) -> DataFrame:
+    """Candidates of all texts (see ``training_rows``), alike ones as one row: calibrates (those of every third document, by a hash), x, y, n. Written."""
+    h = F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1_000_000))
+
+    def out(held: Counter) -> pa.RecordBatch:
+        cols = [*zip(*held, strict=True), held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.bool_(), pa.list_(pa.float64()), pa.int64(), pa.int64()), strict=True)], names=["calibrates", "x", "y", "n"])
+
+    def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for b in it:
+            for text, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.update((c, tuple(x), y) for y, x in training_rows(text))
+                if len(held) > HELD:
+                    yield out(held)
+                    held.clear()
+        if held:
+            yield out(held)
+
+    rows = batches(docs.filter("text is not null").select("text", (h % 3 == 0).alias("calibrates")), step, "calibrates boolean, x array<double>, y long, n long")
+    return sized(rows.groupBy("calibrates", "x", "y").agg(F.sum("n").alias("n")).sortWithinPartitions("calibrates", "x", "y"), "candidates", SHARE)
 
-    Every third document calibrates: a kind's threshold is the lowest at which PRECISION of its candidates there are right;
-    a kind with fewer than 20 right ones adds nothing. Null texts are left out; ties of the hash go by text; repeated rows count each; without candidates, as in an empty
+
+def fit(docs: DataFrame) -> Boosted:
+    """Trees and thresholds from the whole texts of all ``docs``; see ``training_rows``.
+
+    Every third document calibrates: a kind's threshold is the lowest (in STEPS) at which PRECISION of its candidates there are right;
+    a kind with fewer than 20 right ones adds nothing. Null texts are left out; repeated rows count each; without candidates, as in an empty
     table, no kind adds anything.
     """
-    n = docs.count()
-    h = F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1_000_000))
-    near = docs.select("text", h.alias("h")).filter(F.col("text").isNotNull() & (F.col("h") < max(1, int(1.5e6 * sample / max(n, 1)))))
+    cells = training_cells(docs)
+    learned, rest = cells.filter("not calibrates"), cells.filter("calibrates")
+    if learned.isEmpty() or rest.isEmpty():
+        dropped(cells)
+        return Boosted()
+    model = boosted(learned)
 
     def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(h, y, x) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for y, x in training_rows(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.float64())))], names=["h", "y", "x"])
+            x, n = _matrix(b), b.column(2).to_numpy()
+            at = np.floor(model.predict(x) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[:, -1].astype(np.int64), at, n * b.column(1).to_numpy(), n)], names=["kind", "at", "good", "n"])
 
-    rows = batches(near.orderBy("h", "text").limit(sample), step, "h long, y long, x array<double>").orderBy("h", "y", "x").limit(CANDIDATES).collect()
-    if not rows:
-        return Boosted()
-    h, y, x = (np.array([r[i] for r in rows]) for i in range(3))
-    part = h % 3 == 0
-    if not part.any() or part.all():
-        return Boosted()
-    model = boost(x[~part], y[~part].astype(float))
-    p = model.predict(x[part])
+    # At most a row for each kind and step.
+    found = batches(rest.select("x", "y", "n"), step, "kind long, at long, good long, n long", 20_000).groupBy("kind", "at").agg(F.sum("good"), F.sum("n")).filter(F.col("at") >= STEPS // 2).collect()
     for i, kind in enumerate(KINDS):
-        own = x[part][:, -1] == i
-        order = np.argsort(-p[own], kind="stable")
-        right, probs = y[part][own][order].cumsum(), p[own][order]
-        good = np.flatnonzero((right / (np.arange(len(right)) + 1) >= PRECISION) & (right >= 20) & (probs >= 0.5))
+        own = np.array(sorted((r[1:] for r in found if r["kind"] == i), reverse=True), np.int64).reshape(-1, 3)
+        right, n = own[:, 1].cumsum(), own[:, 2].cumsum()
+        good = np.flatnonzero((right >= PRECISION * n) & (right >= 20))
         if len(good):
-            model.threshold[kind] = float(probs[good[-1]])
+            model.threshold[kind] = float(own[good[-1], 0]) / STEPS
+    dropped(cells)
     return model
 
 

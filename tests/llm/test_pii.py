@@ -6,6 +6,7 @@ import time
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from aqengine.llm import pii
 
@@ -134,3 +135,20 @@ def test_many_added_spans_in_one_text():
     ((base, every),) = pii.find_spans([text], model)
     assert not any(base.values()) and len(every["phone"]) == 20_000
     assert time.monotonic() - started < 30
+
+
+def test_trees_learn_from_all_documents(spark):
+    ids = spark.range(4500).select("id", F.pmod(F.xxhash64(F.lit("pii"), F.col("id")), F.lit(1_000_000)).alias("h"))
+    first = {r.id for r in ids.orderBy("h").limit(3000).collect()}
+    docs = frame(spark, [(i, "nothing here" if i in first else text, *rest) for i, text, *rest in sample(4500)])
+    assert "email" in pii.fit(docs).threshold
+
+
+def test_boosting_of_a_table_is_that_of_its_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 40, (3000, 4)).astype(float)
+    y = ((x[:, 0] > 20) ^ (x[:, 2] > 11)) & (rng.random(3000) < 0.9)
+    cells = spark.createDataFrame([(r.tolist(), int(v), 1) for r, v in zip(x, y, strict=True)], "x array<double>, y long, n long").repartition(3).groupBy("x", "y").agg(F.sum("n").alias("n"))
+    want, got = pii.boost(x, y.astype(float), 5), pii.boosted(cells, 5)
+    assert (want.feature == got.feature).all() and (want.cut == got.cut).all() and np.allclose(want.leaf, got.leaf)
+    assert np.allclose(want.predict(x), got.predict(x))
