@@ -132,6 +132,14 @@ def test_soft_counts():
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_small_shares_count_beside_large_sums():
+    share = np.ones((1001, lm.TABLES), np.float32)
+    share[0] = 2**24
+    soft = lm.Soft.of(np.full(1001, 7), share)
+    assert soft.pair.tolist() == [7] and (soft.sums == 2**24 + 1000).all()
+    assert len(lm.Soft.of(np.zeros(0, np.int64), share[:0]).pair) == 0
+
+
 def test_pairs_are_spread_as_their_windows_share_them():
     soft = some_soft(5, 2000)
     pair, count = lm._counted(np.concatenate([soft.pair, soft.pair[:500], [3, 5]]), np.concatenate([np.full(len(soft.pair), 7), np.full(500, 2), [4, 4]]))
