@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, dropped, written
-from .memo import Memo, flat_binary, flat_bytes, gathered, places, sums
+from .memo import flat_binary, flat_bytes, gathered, places, sums
 
 #: Inputs of a window, and how many of its last targets it scores; windows overlap by the rest, so each token is scored once.
 WINDOW, SCORED = 32, 24
@@ -33,11 +33,13 @@ ROUNDS, GRADED, RATE, SIZE, RENEWED = 2, 4, 0.003, 128, 40_000
 SLICES = 16
 #: Words with counts that every task has at hand, and the longest of them in bytes; all others are joined.
 COMMON, LONGEST = 262_144, 64
-#: Words whose ids a worker keeps, bytes of texts that it takes at a time, and windows whose shares it takes at a time.
-KEPT, GATHERED, SHARED = 800_000, 4 << 20, 8192
+#: Bytes of texts that a worker takes at a time, words of them that it encodes at a time, and windows whose shares it takes at a time.
+GATHERED, ENCODED, SHARED = 4 << 20, 32_768, 8192
 END = b"\n"  # no word can hold it
 #: Fixed value: a word with its space is cut into letters, digits and others before pairs are merged.
 PIECES = r"\x20?\p{L}+|\x20?\p{N}+|\x20?[^\s\p{L}\p{N}]+|\s+"
+#: White space that a word can hold: ``\s`` there without a space.
+SPACES = re.compile("[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def default_tokenizer() -> str:
@@ -58,31 +60,73 @@ class Subwords:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.own = tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-        place = {t: i + 257 for i, t in enumerate(vocab)}
-        self.spelled = {rank: np.array([place[rank]] if rank in place else [1 + b for b in token], "<u2").tobytes() for token, rank in ranks.items()}
-        self.memo = Memo(self._new, lambda: KEPT, LONGEST)
+        place, n = {t: i + 257 for i, t in enumerate(vocab)}, max(ranks.values()) + 1
+        spelled, self.begins = [b""] * n, np.zeros(n, bool)
+        for token, rank in ranks.items():
+            spelled[rank] = np.array([place[rank]] if rank in place else [1 + b for b in token], "<u2").tobytes()
+            self.begins[rank] = token[:1] == b" "
+        self.size = np.fromiter(map(len, spelled), np.int64, n) // 2
+        self.start, self.pool = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(spelled), "<u2")
+        self.common = self.kept = None
 
     def raw(self, word: bytes) -> list[int]:
         """The file's own ids."""
         return self.own.encode_ordinary(" " + word.decode("utf-8", "replace"))
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def raw_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The file's own ids of all words one after the other, and how many each word has.
+
+        Words are encoded as one text: a piece holds a space at its start alone, so no pair is merged across words, and a word begins with each id that begins with a space.
+        Empty words and those with other white space, which could be one piece with the next word's space, are encoded one by one."""
+        words = words.cast(pa.binary())
+        if len(words) > ENCODED:
+            ids, n = zip(*(self.raw_all(words[a : a + ENCODED]) for a in range(0, len(words), ENCODED)), strict=True)
+            return np.concatenate(ids), np.concatenate(n)
+        if not len(words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        alone = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        text = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b" ")[0].as_py().decode("utf-8", "replace")
+        if SPACES.search(text):
+            alone = alone | np.array([SPACES.search(w.decode("utf-8", "replace")) is not None for w in words.to_pylist()])
+        if not alone.any():
+            ids = np.array(self.own.encode_ordinary(text), np.int64)
+            return ids, np.diff(np.flatnonzero(self.begins[ids]), append=len(ids))
+        single = [self.raw(w) for w in words.filter(pa.array(alone)).to_pylist()]
+        ids, n = self.raw_all(words.filter(pa.array(~alone)))
+        size = np.empty(len(words), np.int64)
+        size[alone], size[~alone] = [len(i) for i in single], n
+        out, which = np.empty(int(size.sum()), np.int64), np.repeat(alone, size)
+        out[which], out[~which] = [i for one in single for i in one], ids
+        return out, size
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each word has."""
-        got = [b"".join([self.spelled[i] for i in self.raw(w)]) for w in words]
-        return np.frombuffer(b"".join(got), "<u2"), np.fromiter(map(len, got), np.int64, len(got)) // 2
-
-    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, n = self([w.encode() for w in words.to_pylist()])
-        return ids.astype(np.uint32), np.cumsum(n) - n, n
+        raw, n = self.raw_all(words)
+        size = self.size[raw]
+        return self.pool[places(self.start[raw], size)], sums(size, n)
 
-    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[pa.Array, np.ndarray, np.ndarray]]:
-        """Ids of all texts one after the other, how many each text has, and its words: distinct ones, numbers of these one after the other, and how many
-        a text has."""
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``of_words`` of a list."""
+        return self.of_words(pa.array(words, pa.binary()))
+
+    def keep(self, common: pa.Array) -> None:
+        """Encodes these words once and for all."""
+        if self.common is None or not self.common.equals(common):
+            ids, size = self.of_words(common)
+            self.common, self.kept = common, (ids, np.cumsum(size) - size, size)
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of all texts one after the other, how many each text has, and its words: distinct ones, numbers of these one after the other, how many
+        a text has, and the distinct ones' places among the common words (-1: none)."""
         words, codes, count = split_words(texts)
-        pool, start, size = self.memo(words, np.bincount(codes, minlength=len(words)))
-        each = size[codes]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(pool[places(start, size)].astype(np.uint16)))
-        return lists.take(pa.array(codes)).flatten().to_numpy(), sums(each, count), (words, codes, count)
+        pool, start, size = self.kept
+        at = pc.fill_null(pc.index_in(words, value_set=self.common), -1).to_numpy()
+        ids, n = self.of_words(words.filter(pa.array(at < 0)))
+        starts, each = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[at < 0], each[at < 0] = len(pool) + np.cumsum(n) - n, n
+        starts[at >= 0], each[at >= 0] = start[at[at >= 0]], size[at[at >= 0]]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(np.concatenate([pool, ids])[places(starts, each)]))
+        return lists.take(pa.array(codes)).flatten().to_numpy(), sums(each[codes], count), (words, codes, count, at)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -180,7 +224,14 @@ class Soft:
 
     def plus(self, other: Soft, share: float = 1) -> Soft:
         """Both; this one counts ``share``."""
-        return Soft.of(np.concatenate([self.pair, other.pair]), np.concatenate([self.sums * np.float32(share), other.sums]))
+        place = np.full(VOCAB * VOCAB, -1, np.int32)
+        place[self.pair] = place[other.pair] = 0
+        both = np.flatnonzero(place >= 0)
+        place[both] = np.arange(len(both))
+        sums = np.zeros((len(both), TABLES), np.result_type(self.sums, other.sums))
+        sums[place[self.pair]] = self.sums * np.float32(share)
+        sums[place[other.pair]] += other.sums  # each pair is once in either
+        return Soft(both, sums)
 
 
 @dataclass
@@ -251,15 +302,21 @@ class Attention:
         return net, net.train(x, y)
 
     def hidden(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        p, lead = self.p, WINDOW - SCORED
-        e = p["e"][x] + p["pos"]
-        k, v, own = e @ p["k"], e @ p["v"], e[:, lead:]
-        q = own @ p["q"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5)
-        s = np.exp(np.minimum(s, np.float32(60))) * _CAUSAL * (x != VOCAB)[:, None]
-        s /= s.sum(2, keepdims=True)
-        c = s @ v
-        return e, k, v, q, s, c, np.maximum(own @ p["w"] + c @ p["c"] + p["b"], 0)
+        """Inputs, keys, values, scored inputs, queries, attention, what it brings, and the hidden layer; all places are rows of one matrix where they can be."""
+        p, n = self.p, len(x)
+        e = np.take(p["e"], x, 0) + p["pos"]
+        own = np.ascontiguousarray(e[:, WINDOW - SCORED :])
+        flat, last = e.reshape(-1, WIDTH), own.reshape(-1, WIDTH)
+        k, v = (flat @ p[w] for w in "kv")
+        q = last @ (p["q"] * np.float32(WIDTH**-0.5))
+        s = q.reshape(n, SCORED, WIDTH) @ k.reshape(n, WINDOW, WIDTH).transpose(0, 2, 1)
+        _attention(s, x)
+        s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype)).reshape(n, SCORED, 1)
+        c = (s @ v.reshape(n, WINDOW, WIDTH)).reshape(-1, WIDTH)
+        h = last @ p["w"]
+        h += c @ p["c"]
+        h += p["b"]
+        return flat, k, v, last, q, s, c, np.maximum(h, 0, out=h)
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each target, 0 for padding."""
@@ -267,37 +324,42 @@ class Attention:
 
     def shares(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The mix, and each table's share in the probability of the target."""
-        mix = h.reshape(-1, HIDDEN) @ self.p["u"] + self.p["z"]
-        mix = np.exp(mix - mix.max(1, keepdims=True))
-        mix /= mix.sum(1, keepdims=True)
+        mix = h @ self.p["u"]
+        mix += self.p["z"]
+        mix, one = _exps(mix), np.ones(TABLES, mix.dtype)
+        mix /= (mix @ one)[:, None]
         joint = mix * self.tables.of(pairs(x, y))
-        return mix, joint / joint.sum(1, keepdims=True)
+        joint /= (joint @ one)[:, None]
+        return mix, joint
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Each table's share in each target, and the gradients of the mean negative log probability."""
-        p, lead = self.p, WINDOW - SCORED
-        e, k, v, q, s, c, h = self.hidden(x)
+        p, lead, n = self.p, WINDOW - SCORED, len(x)
+        e, k, v, own, q, s, c, h = self.hidden(x)
         mix, share = self.shares(h, x, y)
         real = y.ravel() >= 0
         d = (mix - share) * (real / np.maximum(1, real.sum())).astype(h.dtype)[:, None]
-        g = {"u": h.reshape(-1, HIDDEN).T @ d, "z": d.sum(0)}
-        dz = (d @ p["u"].T).reshape(h.shape) * (h > 0)
-        own = e[:, lead:]
-        two = lambda a, b: np.tensordot(a, b, ((0, 1), (0, 1)))
-        g["b"], g["w"], g["c"] = dz.sum((0, 1)), two(own, dz), two(c, dz)
-        down = dz @ p["w"].T
+        one = np.ones(len(d), d.dtype)
+        g = {"u": h.T @ d, "z": one @ d}
+        dz = d @ p["u"].T
+        dz *= h > 0
+        g["b"], g["w"], g["c"] = one @ dz, own.T @ dz, c.T @ dz
         dc = dz @ p["c"].T
-        ds = dc @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dc
-        ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = two(own, dq), two(e, dk), two(e, dv)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, lead:] += down + dq @ p["q"].T
-        g["pos"] = de.sum(0)
-        flat, de = x.ravel(), de.reshape(-1, WIDTH)
-        g["e"] = np.stack([np.bincount(flat, de[:, i], VOCAB + 1) for i in range(WIDTH)], 1).astype(h.dtype)
-        return share[real], g
+        inner = (dc * c) @ np.ones(WIDTH, dc.dtype)  # of each row of attention with its gradients
+        by_window = lambda a: a.reshape(n, -1, WIDTH)
+        ds = by_window(dc) @ by_window(v).transpose(0, 2, 1)
+        dv = (s.transpose(0, 2, 1) @ by_window(dc)).reshape(-1, WIDTH)
+        ds -= inner.reshape(n, SCORED, 1)
+        ds *= s
+        dq, dk = (ds @ by_window(k)).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5), (ds.transpose(0, 2, 1) @ by_window(q)).reshape(-1, WIDTH)
+        g["q"], g["k"], g["v"] = own.T @ dq, e.T @ dk, e.T @ dv
+        de = dk @ p["k"].T
+        de += dv @ p["v"].T
+        by_window(de)[:, lead:] += by_window(dz @ p["w"].T + dq @ p["q"].T)
+        g["pos"] = (np.ones(n, de.dtype) @ de.reshape(n, -1)).reshape(WINDOW, WIDTH)
+        at = x.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
+        g["e"] = np.bincount(at.ravel(), de.ravel(), (VOCAB + 1) * WIDTH).astype(h.dtype).reshape(-1, WIDTH)
+        return share if real.all() else share[real], g
 
     def train(self, x: np.ndarray, y: np.ndarray, passes: int = PASSES, rate: float = 0.01, seed: int = 5) -> Soft:
         """Steps over shuffled windows, the rate falling to nothing; few windows are passed over more often. Tables are renewed from the shares of the windows
@@ -364,22 +426,16 @@ class Scorer:
         kind, scale = p["e"].dtype, WIDTH**-0.5
         self.tables = net.tables
         self.key, self.key_pos = p["e"] @ p["k"], p["pos"] @ p["k"]
-        # A last column of ones sums the weights; padding adds nothing to either.
-        self.value = np.concatenate([p["e"] @ p["v"], np.ones((n, 1), kind)], 1)
-        self.value[VOCAB] = 0
-        self.value_pos = np.concatenate([p["pos"] @ p["v"], np.zeros((WINDOW, 1), kind)], 1)
+        self.value, self.value_pos = p["e"] @ p["v"], p["pos"] @ p["v"]
         self.query, self.query_pos = p["e"] @ p["q"] * scale, p["pos"][lead:] @ p["q"] * scale
-        # And one of the hidden values is always one: the mix's offsets are a row of its matrix.
-        self.own = np.concatenate([p["e"] @ p["w"] + p["b"], np.ones((n, 1), kind)], 1)
-        self.own_pos = np.concatenate([p["pos"][lead:] @ p["w"], np.zeros((SCORED, 1), kind)], 1)
-        self.through = np.concatenate([p["c"], np.zeros((WIDTH, 1), kind)], 1)
-        self.mix = np.concatenate([p["u"], p["z"][None]])
-        # Exponents are held back only where these weights could bring them out of range.
-        longest = lambda *parts: sum(float(np.linalg.norm(t, axis=-1).max()) for t in parts)
-        hidden = longest(self.own, self.own_pos, (self.value[:, :-1] @ p["c"]), (self.value_pos[:, :-1] @ p["c"]))
-        self.calm = longest(self.query, self.query_pos) * longest(self.key, self.key_pos) < 80 and hidden * longest(self.mix.T) < 80
+        self.own, self.own_pos = p["e"] @ p["w"] + p["b"], p["pos"][lead:] @ p["w"]
+        self.through, self.mix = p["c"], p["u"]
+        # The mix's offsets are factors of its exponentials, so they are sums' weights.
+        self.weight = np.exp(p["z"] - p["z"].max())
+        # Numpy takes whole arrays several times faster than one number or a short row for each row.
+        self.weights, self.none, self.ones = np.tile(self.weight, (ROWS * SCORED, 1)), np.zeros((ROWS * SCORED, HIDDEN), kind), np.ones(WINDOW, kind)
         # Room for ROWS windows is used again and again: new pages for each step would cost as much as the work.
-        shapes = {"k": (WINDOW, WIDTH), "v": (WINDOW, WIDTH + 1), "q": (SCORED, WIDTH), "s": (SCORED, WINDOW), "c": (SCORED, WIDTH + 1), "d": (SCORED, WIDTH), "h": (SCORED, HIDDEN + 1), "m": (SCORED, HIDDEN + 1), "l": (SCORED, TABLES), "t": (SCORED, TABLES)}
+        shapes = {"k": (WINDOW, WIDTH), "v": (WINDOW, WIDTH), "q": (SCORED, WIDTH), "s": (SCORED, WINDOW), "c": (SCORED, WIDTH), "h": (SCORED, HIDDEN), "m": (SCORED, HIDDEN), "l": (SCORED, TABLES), "t": (SCORED, TABLES)}
         self.room = {n: np.empty((ROWS, *shape), kind) for n, shape in shapes.items()}
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -387,49 +443,69 @@ class Scorer:
         out = np.zeros(y.shape)
         for a in range(0, len(x), ROWS):
             joint, mix = self._joint(x[a : a + ROWS].astype(np.int64), y[a : a + ROWS])
-            one = np.ones(TABLES, mix.dtype)
-            out[a : a + ROWS] = np.log((joint @ one) / (mix @ one)).reshape(-1, SCORED)
+            out[a : a + ROWS] = np.log((joint @ self.weight) / (mix @ self.weight)).reshape(-1, SCORED)
         out[y < 0] = 0
         return out
 
     def shares(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Each table's share in each target that is not padding."""
-        out = []
+        real, at = y.ravel() >= 0, 0
+        out = np.empty((np.count_nonzero(real), TABLES), self.key.dtype)
         for a in range(0, len(x), ROWS):
             joint, _ = self._joint(x[a : a + ROWS].astype(np.int64), y[a : a + ROWS])
-            joint = joint[y[a : a + ROWS].ravel() >= 0]
-            out.append(joint / joint.sum(1, keepdims=True))
-        return np.concatenate([np.zeros((0, TABLES), np.float32), *out])
+            if not (own := real[a * SCORED : a * SCORED + len(joint)]).all():
+                joint = joint[own]
+            joint *= self.weights[: len(joint)]
+            np.divide(joint, (joint @ self.ones[:TABLES])[:, None], out=out[at : at + len(joint)])
+            at += len(joint)
+        return out
 
     def _joint(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The mix (not yet divided by its sum) times the tables' probabilities of the targets, and the mix."""
+        """The mix (without its offsets, and not yet divided by its sum) times the tables' probabilities of the targets, and the mix."""
         own = np.ascontiguousarray(x[:, WINDOW - SCORED :])
-        k, v, q, s, c, d, h, m, mix, t = (self.room[n][: len(x)] for n in "kvqscdhmlt")
+        k, v, q, s, c, h, m, mix, t = (self.room[n][: len(x)] for n in "kvqschmlt")
         for table, at, place, out in ((self.key, x, self.key_pos, k), (self.value, x, self.value_pos, v), (self.query, own, self.query_pos, q), (self.own, own, self.own_pos, h)):
             np.take(table, at, 0, out=out, mode="clip")
             out += place
-        if (x == VOCAB).any():
-            v *= (x != VOCAB)[:, :, None]
         np.matmul(q, k.transpose(0, 2, 1), out=s)
-        if not self.calm:
-            np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        s *= _CAUSAL
+        _attention(s, x)
         np.matmul(s, v, out=c)
-        np.divide(c[:, :, :-1], c[:, :, -1:], out=d)
-        h, m, mix, t = h.reshape(-1, HIDDEN + 1), m.reshape(-1, HIDDEN + 1), mix.reshape(-1, TABLES), t.reshape(-1, TABLES)
-        np.matmul(d.reshape(-1, WIDTH), self.through, out=m)
+        c, h, m, mix, t = c.reshape(-1, WIDTH), h.reshape(-1, HIDDEN), m.reshape(-1, HIDDEN), mix.reshape(-1, TABLES), t.reshape(-1, TABLES)
+        c /= (s.reshape(-1, WINDOW) @ self.ones)[:, None]
+        np.matmul(c, self.through, out=m)
         h += m
-        np.maximum(h, 0, out=h)
+        np.maximum(h, self.none[: len(h)], out=h)
         np.matmul(h, self.mix, out=mix)
-        if not self.calm:
-            mix -= mix.max(1, keepdims=True)
-        np.exp(mix, out=mix)
+        _exps(mix)
         self.tables.of(pairs(x, y), t)
         t *= mix
         return t, mix
 
 
+def _exps(mix: np.ndarray) -> np.ndarray:
+    """Exponentials in place, up to a factor of each row. The rows' maxima cost as much as all else here, so they are taken off only where it is needed."""
+    if len(mix) and mix.max() > 60:
+        mix -= mix.max(1, keepdims=True)
+    elif len(mix) and mix.min() < -60:
+        kept = mix.copy()
+        np.exp(mix, out=mix)
+        low = np.flatnonzero(mix @ np.ones(mix.shape[1], mix.dtype) < 1e-20)
+        mix[low] = np.exp(kept[low] - kept[low].max(1, keepdims=True))
+        return mix
+    return np.exp(mix, out=mix)
+
+
+def _attention(s: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exponentials of queries times keys in place, none for what comes later or is padding."""
+    if s.size and s.max() > 60:
+        np.minimum(s, 60, out=s)
+    np.exp(s, out=s)
+    s *= _CAUSAL
+    if len(padded := np.flatnonzero((x == VOCAB).any(1))):
+        s[padded] *= (x[padded] != VOCAB)[:, None]
+    return s
+
+
 _CAUSAL = (np.arange(WINDOW) <= np.arange(SCORED)[:, None] + WINDOW - SCORED).astype(np.float32)
 
 
@@ -486,9 +562,9 @@ def encoded(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None
     def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, vocab, common, times, ends = shared.value
         sub = subwords(tokenizer, vocab)
+        sub.keep(common)
         for *rest, texts in gathered(it, -1, GATHERED):
-            ids, sizes, (words, codes, count) = sub.of_texts(texts)
-            place = pc.fill_null(pc.index_in(words, value_set=common), -1).to_numpy()
+            ids, sizes, (words, codes, count, place) = sub.of_texts(texts)
             c = np.where(place >= 0, times[place], 0) if len(times) else np.zeros(len(words), np.int64)
             hit = c[codes] > 0
             hits = sums(hit.astype(np.int64), count)
@@ -636,12 +712,13 @@ def vocabulary(counts: DataFrame, tokenizer: str | None = None) -> Model:
     common = words.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
 
     def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = subwords(tokenizer, ()), Counter()
-        for b in it:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for i in own.raw(w):
-                    held[i] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["id", "n"])
+        own = subwords(tokenizer, ())
+        held = np.zeros(len(own.size), np.int64)
+        for words, n in gathered(it, 0, GATHERED // 4):
+            raw, size = own.raw_all(words)
+            held += np.bincount(raw, np.repeat(n.to_numpy(), size), len(held)).astype(np.int64)
+        met = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(held[met])], names=["id", "n"])
 
     ids = batches(words, pieces, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(VOCAB - 257).collect()
     vocab = tuple(r["id"] for r in ids)

@@ -198,3 +198,42 @@ def test_context_outside_the_sample_is_learned(spark):
 def test_every_window_is_read_in_one_round():
     for rounds in (1, 2, 3):
         assert (sum(lm.in_round(17, r, rounds).astype(int) for r in range(rounds)) == 1).all()
+
+
+def test_words_are_encoded_as_one_text_and_as_if_alone():
+    sub = lm.Subwords(lm.default_tokenizer(), [11, 300, 5000])
+    odd = ["", "a\u00a0", "\u00a0", "\u3000x", "y\u2028z", "\x85", "\x1c", "end\u2003", "e\u0301", "\U0001f600", "it's", "a1b2"]
+    many = [w.encode() for w in words(4, 3000, 2000).split() + odd * 2] + [b"\xff\xe2\x82", b"\xe2"]
+    alone = [sub.raw(w) for w in many]
+    ids, size = sub.raw_all(lm.pa.array(many, lm.pa.binary()))
+    assert size.tolist() == [len(i) for i in alone] and ids.tolist() == [i for one in alone for i in one]
+    calls = []
+
+    class Spy:
+        def encode_ordinary(self, text, own=sub.own):
+            calls.append(text)
+            return own.encode_ordinary(text)
+
+    sub.own = Spy()
+    plain = [w for w in many if w.isalnum()]
+    sub(plain)
+    assert len(plain) > 2000 and len(calls) == 1
+
+
+def test_common_words_are_encoded_once():
+    sub = lm.Subwords(lm.default_tokenizer(), [])
+    texts = lm.pa.array(["Ab  cd ab", None, "", "x y\tcd"])
+    sub.keep(lm.pa.array(["ab", "y", "z"]))
+    ids, sizes, (named, codes, count, place) = sub.of_texts(texts)
+    want = [sub(w)[0].tolist() if w else [] for w in ([b"ab", b"cd", b"ab"], [], [], [b"x", b"y", b"cd"])]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want] and count.tolist() == [3, 0, 0, 3]
+    at = dict(zip(named.to_pylist(), place.tolist(), strict=True))
+    assert (at["ab"], at["y"], at["cd"], at["x"]) == (0, 1, -1, -1)
+
+
+def test_exponentials_far_out_of_range():
+    rows = np.array([[0, 1, -1], [-300, -301, -302], [5, -200, 5], [-90, -90, -91]], np.float32)
+    for mix in (rows, rows + np.float32(20), np.concatenate([rows, 100 - rows])):
+        want = np.exp(mix.astype(float) - mix.max(1, keepdims=True))
+        got = lm._exps(mix.copy()).astype(float)
+        assert np.allclose(got / got.sum(1, keepdims=True), want / want.sum(1, keepdims=True), atol=1e-5)
