@@ -67,7 +67,7 @@ class Subwords:
             self.begins[rank] = token[:1] == b" "
         self.size = np.fromiter(map(len, spelled), np.int64, n) // 2
         self.start, self.pool = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(spelled), "<u2")
-        self.common = self.kept = None
+        self.common = self.kept = self.find = None
 
     def raw(self, word: bytes) -> list[int]:
         """The file's own ids."""
@@ -113,14 +113,14 @@ class Subwords:
         """Encodes these words once and for all."""
         if self.common is None or not self.common.equals(common):
             ids, size = self.of_words(common)
-            self.common, self.kept = common, (ids, np.cumsum(size) - size, size)
+            self.common, self.kept, self.find = common, (ids, np.cumsum(size) - size, size), Places(common)
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
         """Ids of all texts one after the other, how many each text has, and its words: distinct ones, numbers of these one after the other, how many
         a text has, and the distinct ones' places among the common words (-1: none)."""
         words, codes, count = split_words(texts)
         pool, start, size = self.kept
-        at = pc.fill_null(pc.index_in(words, value_set=self.common), -1).to_numpy()
+        at = self.find(words)
         ids, n = self.of_words(words.filter(pa.array(at < 0)))
         starts, each = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         starts[at < 0], each[at < 0] = len(pool) + np.cumsum(n) - n, n
@@ -129,6 +129,35 @@ class Subwords:
         return lists.take(pa.array(codes)).flatten().to_numpy(), sums(each[codes], count), (words, codes, count, at)
 
 
+class Places:
+    """The places of words in a list that stays the same. Arrow's ``index_in`` hashes the whole list again each time."""
+
+    def __init__(self, known: pa.Array) -> None:
+        self.mixed = np.random.default_rng(11).integers(1, 2**63, LONGEST, np.uint64) * np.uint64(2) + np.uint64(1)
+        h = self._hashes(known)
+        self.order = np.argsort(h, kind="stable")
+        self.known, self.hashes = known, h[self.order]
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        """-1: not in the list, as are words that share a hash with an earlier one of it."""
+        if not len(self.known) or not len(words):
+            return np.full(len(words), -1)
+        h = self._hashes(words)
+        near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        at, hit = self.order[near], np.flatnonzero(self.hashes[near] == h)
+        same = pc.equal(words.take(pa.array(hit)), self.known.take(pa.array(at[hit]))).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), -1)
+        out[hit[same]] = at[hit[same]]
+        return out
+
+    def _hashes(self, words: pa.Array) -> np.ndarray:
+        words = words.cast(pa.binary())
+        size = pc.binary_length(words).to_numpy().astype(np.int64)
+        data, first = flat_bytes(words), np.cumsum(size) - size
+        each = (data + np.uint64(1)) * self.mixed[places(np.zeros(len(size), np.int64), size) % LONGEST]
+        return np.add.reduceat(np.append(each, np.uint64(0)), first) if len(size) else each
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Of lower-cased texts: distinct words, the numbers of all words one after the other, and how many each text has. Null counts as empty."""
     low = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
@@ -394,7 +423,12 @@ class SoftCounts:
 
     def sums(self) -> Soft:
         if self.held:
-            self.total = self.total.plus(Soft.of(*(np.concatenate(part) for part in zip(*self.held, strict=True))))
+            pair, share = zip(*self.held, strict=True)
+            by_table, at = np.empty((TABLES, self.size), share[0].dtype), 0  # each table's shares in one piece
+            for part in share:
+                by_table[:, at : at + len(part)] = part.T
+                at += len(part)
+            self.total = self.total.plus(Soft.of(np.concatenate(pair), by_table.T))
             self.held, self.size = [], 0
         return self.total
 
@@ -450,15 +484,16 @@ class Scorer:
     def shares(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Each table's share in each target that is not padding."""
         real, at = y.ravel() >= 0, 0
-        out = np.empty((np.count_nonzero(real), TABLES), self.key.dtype)
+        out = np.empty((TABLES, np.count_nonzero(real)), self.key.dtype)  # as they are summed
         for a in range(0, len(x), ROWS):
             joint, _ = self._joint(x[a : a + ROWS].astype(np.int64), y[a : a + ROWS])
             if not (own := real[a * SCORED : a * SCORED + len(joint)]).all():
                 joint = joint[own]
             joint *= self.weights[: len(joint)]
-            np.divide(joint, (joint @ self.ones[:TABLES])[:, None], out=out[at : at + len(joint)])
+            joint /= (joint @ self.ones[:TABLES])[:, None]
+            out[:, at : at + len(joint)] = joint.T
             at += len(joint)
-        return out
+        return out.T
 
     def _joint(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The mix (without its offsets, and not yet divided by its sum) times the tables' probabilities of the targets, and the mix."""

@@ -237,3 +237,18 @@ def test_exponentials_far_out_of_range():
         want = np.exp(mix.astype(float) - mix.max(1, keepdims=True))
         got = lm._exps(mix.copy()).astype(float)
         assert np.allclose(got / got.sum(1, keepdims=True), want / want.sum(1, keepdims=True), atol=1e-5)
+
+
+def test_places_of_words_in_a_list(monkeypatch):
+    known = lm.pa.array(["b", "a", "é", "x" * 64, "ab", "ba"])
+    ask = lm.pa.array(["", "a", "q", "é", "x" * 64, "x" * 65, "ba", "b", "", "ab", ""])
+    assert lm.Places(known)(ask[1:]).tolist() == [1, -1, 2, 3, -1, 5, 0, -1, 4, -1]
+    assert lm.Places(known[:0])(ask).tolist() == [-1] * len(ask) and len(lm.Places(known)(ask[:0])) == 0
+    monkeypatch.setattr(lm.Places, "_hashes", lambda self, words: np.full(len(words), 7, np.uint64))
+    assert lm.Places(known)(lm.pa.array(["b", "a", "q"])).tolist() == [0, -1, -1]  # never another word's
+
+
+def test_shares_of_a_table_lie_in_one_piece():
+    x, y = lm.windows([np.arange(1, n, dtype=np.uint16) % 300 for n in (2, 90, 7000)])
+    share = lm.Scorer(some_net()).shares(x, y)
+    assert share.shape == ((y >= 0).sum(), lm.TABLES) and share.flags.f_contiguous and np.allclose(share.sum(1), 1, atol=1e-5)
