@@ -117,7 +117,7 @@ class Subwords:
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
         """Ids of all texts one after the other, how many each text has, and its words: distinct ones, numbers of these one after the other, how many
-        a text has, and the distinct ones' places among the common words (-1: none)."""
+        a text has, and the distinct ones' places among the common words of ``keep``, which comes first (-1: none)."""
         words, codes, count = split_words(texts)
         pool, start, size = self.kept
         at = self.find(words)
